@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import templates
 from sparkcurate.functions.names import clean
-from sparkcurate.operators.ranking import first_per_key, rank_rows
+from sparkcurate.operators.ranking import first_per_key, rank_rows, top_per_key
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -156,3 +156,37 @@ def oversample(df: DataFrame, first: Column, times: int = 3) -> DataFrame:
     """Repeat the rows of step 0 ``times`` times."""
     copies = F.when(first, F.lit(times)).otherwise(F.lit(1))
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+
+
+def label_block(images: DataFrame, labels: DataFrame, area: str, order: Sequence[str], k: int = 12) -> DataFrame:
+    """Text block per image over its k largest labels: names in order, and counts with
+    the most common first. ``labels`` carries ``image, name``; images without labels
+    read ``(none)``. The instance count covers all labels, not only the k."""
+    top = top_per_key(labels, ["image"], [F.col(area).desc(), *[F.col(c) for c in order]], k, "_rk")
+    named = top.withColumn("name", clean(F.col("name"))).filter("name <> ''")
+    each = named.groupBy("image", "name").agg(F.count(F.lit(1)).alias("n"), F.min("_rk").alias("at"))
+    # at most k names per image
+    block = each.groupBy("image").agg(
+        F.array_sort(F.collect_list(F.struct("at", "name"))).alias("names"),
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "at", "name", "n"))).alias("counts"),
+    )
+    totals = labels.groupBy("image").agg(F.count(F.lit(1)).alias("n_instances"))
+    line = F.transform("counts", lambda x: F.concat(x["name"], F.lit(": "), x["n"].cast("string")))
+    none = F.lit("(none)")
+    return (
+        images.join(totals, "image", "left")
+        .join(block, "image", "left")
+        .select(
+            "image",
+            F.coalesce("n_instances", F.lit(0)).alias("n_instances"),
+            F.coalesce(F.array_join(F.col("names")["name"], "\n"), none).alias("label_names"),
+            F.coalesce(F.array_join(line, "\n"), none).alias("label_counts"),
+        )
+    )
+
+
+def category_ids(names: DataFrame, name: str) -> DataFrame:
+    """Contiguous 0-based class ids in name order. The category list is one array of a
+    detection document, so it is built and numbered as one."""
+    listed = names.select(name).distinct().agg(F.array_sort(F.collect_list(name)).alias("c"))
+    return listed.select(F.posexplode("c").alias("cid", name))

@@ -8,7 +8,7 @@ from sparkcurate.plans.registry import ORACLES, QUERIES
 
 FAMILIES = [
     "candidates",
-    # "labels",
+    "labels",
     # "responses",
     # "wording",
     # "feeds",

@@ -23,6 +23,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     priority = F.col("o_orderpriority")
     return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         *ROW,
+        F.col("l_returnflag").alias("source_file"),
         F.concat(F.lit("class_"), cls.cast("string")).alias("target_object"),
         F.when(cls % 2 == 1, "wear").otherwise("grasp").alias("affordance"),
         (5 - F.col("l_partkey") % 3).alias("image_quality"),
@@ -43,7 +44,7 @@ raw AS (
     CAST(floor(sqrt(l_partkey)) AS BIGINT) AS cls
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 cand AS (
-  SELECT {ROW_SQL}, 'class_' || cls AS target_object,
+  SELECT {ROW_SQL}, l_returnflag AS source_file, 'class_' || cls AS target_object,
     CASE WHEN cls % 2 = 1 THEN 'wear' ELSE 'grasp' END AS affordance,
     5 - l_partkey % 3 AS image_quality, l_suppkey % 4 AS clutter,
     5 - l_orderkey % 3 AS affordance_quality, 3 - l_linenumber % 3 AS object_visible,
@@ -173,19 +174,17 @@ def object_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "funnel_rollup",
-    f"""WITH {CAND}, flow AS (SELECT l_returnflag AS source_file, j.reason FROM judged j
-        JOIN (SELECT DISTINCT {ROW_SQL}, l_returnflag FROM lineitem) USING ({ROW_SQL}))
+    f"""WITH {CAND}
     SELECT source_file, count(*) AS rows_in,
       count(*) FILTER (WHERE reason <> 'bw_yellow_veto') AS rows_no_veto,
       count(*) FILTER (WHERE reason NOT IN ('bw_yellow_veto', 'image_quality', 'clutter')) AS rows_imgpass,
       count(*) FILTER (WHERE reason IN ('pass', 'final_score')) AS rows_evalpass,
       count(*) FILTER (WHERE reason = 'pass') AS rows_passed
-    FROM flow GROUP BY GROUPING SETS ((source_file), ())""",
+    FROM judged GROUP BY GROUPING SETS ((source_file), ())""",
 )
 def funnel_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    flags = table(spark, sf, "lineitem").select(*ROW, F.col("l_returnflag").alias("source_file")).distinct()
     scored = select.score(candidates(spark, sf))
-    judged = select.judge(scored, select.class_thresholds(scored)).select(*ROW, "reason").join(flags, ROW)
+    judged = select.judge(scored, select.class_thresholds(scored))
     reason = F.col("reason")
     return metrics.funnel(
         judged,
