@@ -9,7 +9,7 @@ from sparkcurate.plans.registry import ORACLES, QUERIES
 FAMILIES = [
     "candidates",
     "labels",
-    # "responses",
+    "responses",
     # "wording",
     # "feeds",
     # "steps",
