@@ -156,11 +156,13 @@ TASK_ROWS = [
     ) + " FROM events",
 )
 def default_result(spark: SparkSession, sf: str) -> DataFrame:
-    doc = answers.fenced_json(pick(4, *TASK_DOCS))
     known = F.when(F.col("event_id") % 10 == 0, "spout")
-    got = answers.default_answer(doc, F.col("event_type"), known)
+    rows = table(spark, sf, "events").select(
+        "event_id", "event_type", F.try_parse_json(answers.fenced_json(pick(4, *TASK_DOCS))).alias("tree")
+    )
+    got = answers.default_answer(F.col("tree"), F.col("event_type"), known)
     got["tasks"] = F.array_join(got["tasks"], "|")
-    return table(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in got.items()])
+    return rows.select("event_id", *[c.alias(n) for n, c in got.items()])
 
 
 COUNT_REPLY = pick_sql(
@@ -185,13 +187,24 @@ def count_replies(spark: SparkSession, sf: str) -> DataFrame:
         '{"estimated_count": "2", "confidence": "low", "reason": "  "}',
         '{"estimated_count": "2", "confidence": "low"}', "[1, 2]", "garbage",
     )
-    doc = answers.json_object(answers.answer_json(raw))
-    error = answers.count_error(*[answers.field(doc, f) for f in ("estimated_count", "confidence", "reason")])
-    return table(spark, sf, "events").select(
+    tree = answers.answer_tree(F.col("raw"))
+    rows = table(spark, sf, "events").select("event_id", raw.alias("raw")).select("event_id", tree.alias("tree"))
+    rows = rows.select(
+        "event_id", answers.is_object(F.col("tree")).alias("parsed"),
+        *[names.clean(answers.get(F.col("tree"), f)).alias(f) for f in ("estimated_count", "confidence", "reason")],
+    )
+    rows = rows.withColumn(
+        "error_msg",
+        F.when(~F.col("parsed"), "parse_fail").otherwise(
+            answers.count_error(F.col("estimated_count"), F.col("confidence"), F.col("reason"))
+        ),
+    )
+    msg = F.col("error_msg")
+    return rows.select(
         "event_id",
-        F.when(doc.isNull(), 1).when(error.isNotNull(), 2).otherwise(0).alias("error_code"),
-        F.when(doc.isNull(), "parse_fail").otherwise(error).alias("error_msg"),
-        F.when(doc.isNotNull() & error.isNull(), F.lower(names.clean(answers.field(doc, "estimated_count")))).alias("estimated_count"),
+        F.when(msg.isNull(), 0).when(msg == "parse_fail", 1).otherwise(2).alias("error_code"),
+        "error_msg",
+        F.when(msg.isNull(), F.lower("estimated_count")).alias("estimated_count"),
     )
 
 
