@@ -10,8 +10,8 @@ FAMILIES = [
     "candidates",
     "labels",
     "responses",
-    # "wording",
-    # "feeds",
+    "wording",
+    "feeds",
     # "steps",
     # "masks",
     # "places",
