@@ -92,13 +92,27 @@ def accumulated(
     return steps.withColumn(out, F.collect_list(item).over(w)).drop("_step")
 
 
-def summarise(df: DataFrame, keys: Sequence[str], order: Sequence[str], iou: str, step: str) -> DataFrame:
-    """Step count, best step (first maximum), and best, final and first value."""
-    at = F.struct(*order)
+def summarise(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], iou: str, step: str, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Step count, best step (first maximum), and best, final and first value; ``extra``
+    columns are taken from the same three steps."""
+    at, best = F.struct(*order), F.struct(-F.col(iou), F.col(step))
+    cols = [(iou, "iou"), *[(c, c) for c in extra]]
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_steps"),
-        F.min_by(step, F.struct(-F.col(iou), F.col(step))).alias("best_step"),
-        F.max(iou).alias("best_iou"),
-        F.max_by(iou, at).alias("final_iou"),
-        F.min_by(iou, at).alias("step0_iou"),
+        F.min_by(step, best).alias("best_step"),
+        *[F.min_by(c, best).alias(f"best_{n}") for c, n in cols],
+        *[F.max_by(c, at).alias(f"final_{n}") for c, n in cols],
+        *[F.min_by(c, at).alias(f"step0_{n}") for c, n in cols],
     )
+
+
+def overlay_plan(
+    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], mask: str, name: Column, existing: DataFrame
+) -> DataFrame:
+    """Which mask each step after the first is drawn on (that of the step before), and
+    the name of the drawn image; names that exist already are left out."""
+    steps = step_numbers(df, keys, block, order)
+    planned = blocked_lag(steps, keys, block, order, {"mask_of": mask}).filter("step > 0")
+    return planned.withColumn("name", name).join(existing.select("name"), "name", "left_anti")

@@ -12,7 +12,7 @@ FAMILIES = [
     "responses",
     "wording",
     "feeds",
-    # "steps",
+    "steps",
     # "masks",
     # "places",
     # "rows",
