@@ -365,6 +365,45 @@ def content_match(entries: DataFrame, release: DataFrame, order: Sequence[Column
     return first_per_key(entries, ["base", "md5"], order).join(release.select("base", "md5"), ["base", "md5"], "left_semi")
 
 
+def name_lookup(images: DataFrame, entries: DataFrame, order: Sequence[Column], default_text: str) -> DataFrame:
+    """Entry of each image by its base name, the last one winning. When no image has an
+    entry, all of them come back with the default text."""
+    index = first_per_key(entries, ["base"], [c.desc() for c in order]).select("base", "path", "text")
+    joined = images.select("base").join(index.withColumn("_hit", F.lit(True)), "base", "left")
+    total = joined.agg(F.count_if(F.col("_hit")).alias("_total"))  # a single row
+    kept = joined.crossJoin(F.broadcast(total)).filter(F.col("_hit") | (F.col("_total") == 0))
+    return kept.select(
+        "base", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit(default_text)).alias("text")
+    )
+
+
+def integrity(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Compare content hashes with a published manifest. Both carry ``path, sha256``,
+    one row per path."""
+    status = (
+        F.when(F.col("have").isNull(), "missing")
+        .when(F.col("want").isNull(), "unlisted")
+        .when(F.col("have") != F.col("want"), "mismatch")
+        .otherwise("ok")
+    )
+    return (
+        files.select("path", F.col("sha256").alias("have"))
+        .join(manifest.select("path", F.col("sha256").alias("want")), "path", "full_outer")
+        .select("path", status.alias("status"))
+    )
+
+
+def size_check(masks: DataFrame, images: DataFrame, key: str) -> DataFrame:
+    """Masks whose height and width agree with their image."""
+    sizes = images.select(key, F.col("height").alias("_h"), F.col("width").alias("_w"))
+    status = (
+        F.when(F.col("_h").isNull(), "no_image")
+        .when((F.col("height") == F.col("_h")) & (F.col("width") == F.col("_w")), "ok")
+        .otherwise("size_mismatch")
+    )
+    return masks.join(sizes, key, "left").withColumn("status", status).drop("_h", "_w")
+
+
 # -- descriptions ------------------------------------------------------------
 
 

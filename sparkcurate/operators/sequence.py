@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurate.operators.blocks import blocked_lag, blocked_running
-from sparkcurate.operators.ranking import top_per_key
 
 
 def step_numbers(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], out: str = "step") -> DataFrame:
@@ -83,12 +82,14 @@ def peak_trim(
 
 
 def accumulated(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], item: Column, max_steps: int, out: str
+    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], item: Column, max_steps: int, out: str
 ) -> DataFrame:
-    """Items of all steps up to the current one. A run has at most ``max_steps`` steps:
-    that is the length of the click loop, so later rows belong to no run."""
-    steps = top_per_key(df, keys, [F.col(c) for c in order], max_steps, "_step")
-    w = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    """Items of all steps of a run up to the current one. A click loop makes at most
+    ``max_steps`` steps; what follows them belongs to the next ``run``. So every row
+    stays, and no list grows beyond the length of a loop."""
+    steps = step_numbers(df, keys, block, order, "_step")
+    steps = steps.withColumn("run", F.floor(F.col("_step") / max_steps).cast("bigint"))
+    w = Window.partitionBy(*keys, "run").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
     return steps.withColumn(out, F.collect_list(item).over(w)).drop("_step")
 
 

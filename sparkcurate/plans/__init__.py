@@ -13,8 +13,8 @@ FAMILIES = [
     "wording",
     "feeds",
     "steps",
-    # "masks",
-    # "places",
+    "masks",
+    "places",
     # "rows",
     # "nested",
     # "runlog",

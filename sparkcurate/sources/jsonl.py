@@ -71,17 +71,21 @@ def last_by_key(lines: DataFrame, key: Column, order: Sequence[Column], value: s
     return first_per_key(keyed, ["key"], order)
 
 
+def with_extension(files: DataFrame, path: Column, extensions: Sequence[str]) -> DataFrame:
+    """Files whose extension, in any case, is one of those given."""
+    return files.filter(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin([e.lower() for e in extensions]))
+
+
 def file_inventory(spark: SparkSession, path: str, extensions: Sequence[str], hashes: bool = False) -> DataFrame:
     """Files of the given extensions under a folder, with size and, on request, their
     content hashes. Without hashes the content column is pruned from the scan."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
-    wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin([e.lower() for e in extensions])
     cols = ["path", "length"]
     if hashes:
         cols += [F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")]
-    return files.filter(wanted).select(*cols)
+    return with_extension(files, F.col("path"), extensions).select(*cols)
 
 
 def patch_files(df: DataFrame, path: Column, first: int, last: int) -> DataFrame:
