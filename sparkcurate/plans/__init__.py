@@ -15,9 +15,9 @@ FAMILIES = [
     "steps",
     "masks",
     "places",
-    # "rows",
-    # "nested",
-    # "runlog",
+    "rows",
+    "nested",
+    "runlog",
 ]
 
 
