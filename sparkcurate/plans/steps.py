@@ -16,10 +16,16 @@ KEYS, ORDER = ["user_id", "week"], ["ts", "event_id"]
 W, H = 641, 487
 
 
+def overlap_share() -> Column:
+    """A value of 0..1 that grows with ``value``. The constants keep two-decimal texts
+    away from exact ties, which engines round differently."""
+    return F.col("value") / (F.col("value") + 37.123457)
+
+
 def steps(spark: SparkSession, sf: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
     union = (1000 + F.col("event_id") % 50).cast("bigint")
-    iou = F.col("value") / 491.0
+    iou = overlap_share()
     return table(spark, sf, "events").select(
         "user_id", F.floor(day / 7).alias("week"), "ts", "event_id", "event_type", hour_block("ts").alias("block"),
         iou.alias("iou"), F.col("event_type").isin("click", "purchase").alias("is_positive"),
@@ -29,8 +35,8 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 S = """s AS (SELECT user_id, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7) AS BIGINT) AS week, ts, event_id, event_type,
-    value / 491.0::DOUBLE AS iou, event_type IN ('click', 'purchase') AS is_positive, event_id % 7 AS x, event_id % 5 AS y,
-    CAST(floor(value / 491.0::DOUBLE * (1000 + event_id % 50)) AS BIGINT) AS inter, 1000 + event_id % 50 AS uni,
+    (value / (value + 37.123457::DOUBLE)) AS iou, event_type IN ('click', 'purchase') AS is_positive, event_id % 7 AS x, event_id % 5 AS y,
+    CAST(floor((value / (value + 37.123457::DOUBLE)) * (1000 + event_id % 50)) AS BIGINT) AS inter, 1000 + event_id % 50 AS uni,
     row_number() OVER (PARTITION BY user_id, floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7) ORDER BY ts, event_id) - 1 AS step
   FROM events)"""
 T = "PARTITION BY user_id, week ORDER BY ts, event_id"
@@ -194,18 +200,18 @@ def oversample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REQUEST_SQL = "'" + templates.REQUEST_TEXT.split("{description}")[0].replace("\n", "' || chr(10) || '") + "' || event_type || '</ref>'"
-ANSWER_SQL = """'<ref>' || event_type || '</ref> Current IOU: ' || printf('%.2f', value / 983.0::DOUBLE) || ', '
+ANSWER_SQL = """'<ref>' || event_type || '</ref> Current IOU: ' || printf('%.2f', (value / (2 * value + 73.123457::DOUBLE))) || ', '
   || CASE WHEN event_type IN ('click', 'purchase') THEN 'Positive' ELSE 'Negative' END || ' point: ('
   || CAST(trunc((event_id % 7) / 641.0::DOUBLE * 1000) AS INT) || ', ' || CAST(trunc((event_id % 5) / 487.0::DOUBLE * 1000) AS INT)
-  || '), Predicted next IOU: ' || printf('%.2f', value / 491.0::DOUBLE)"""
+  || '), Predicted next IOU: ' || printf('%.2f', (value / (value + 37.123457::DOUBLE)))"""
 
 
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("event_type")
     x, y = geometry.to_thousand(F.col("x"), F.lit(W)), geometry.to_thousand(F.col("y"), F.lit(H))
-    answer = templates.answer_text(text, F.col("value") / 983.0, F.col("is_positive"), x, y, F.col("iou"))
+    answer = templates.answer_text(text, F.col("value") / (2 * F.col("value") + 73.123457), F.col("is_positive"), x, y, F.col("iou"))
     rows = table(spark, sf, "events").select(
-        "event_id", "event_type", "value", (F.col("value") / 491.0).alias("iou"),
+        "event_id", "event_type", "value", (overlap_share()).alias("iou"),
         text.isin("click", "purchase").alias("is_positive"), (F.col("event_id") % 7).alias("x"), (F.col("event_id") % 5).alias("y"),
     )
     return rows.select("event_id", templates.request_text(text).alias("request"), answer.alias("answer"), image_path().alias("path"))
@@ -240,11 +246,11 @@ def noisy() -> Column:
 @query(
     "parse_answer",
     """SELECT event_id, CASE WHEN event_id % 5 <> 3 THEN event_type END AS description,
-      CASE WHEN event_id % 5 <> 3 THEN CAST(printf('%.2f', value / 983.0::DOUBLE) AS DOUBLE) END AS current_iou,
+      CASE WHEN event_id % 5 <> 3 THEN CAST(printf('%.2f', (value / (2 * value + 73.123457::DOUBLE))) AS DOUBLE) END AS current_iou,
       CASE WHEN event_id % 5 <> 3 THEN event_type IN ('click', 'purchase') END AS is_positive,
       CASE WHEN event_id % 5 <> 3 THEN CAST(trunc((event_id % 7) / 641.0::DOUBLE * 1000) AS INT) END AS x_norm,
       CASE WHEN event_id % 5 <> 3 THEN CAST(trunc((event_id % 5) / 487.0::DOUBLE * 1000) AS INT) END AS y_norm,
-      CASE WHEN event_id % 5 NOT IN (1, 3) THEN CAST(printf('%.2f', value / 491.0::DOUBLE) AS DOUBLE) END AS next_iou FROM events""",
+      CASE WHEN event_id % 5 NOT IN (1, 3) THEN CAST(printf('%.2f', (value / (value + 37.123457::DOUBLE))) AS DOUBLE) END AS next_iou FROM events""",
 )
 def parse_answer(spark: SparkSession, sf: str) -> DataFrame:
     rows = rendered(spark, sf).select("event_id", noisy().alias("text"))
@@ -321,7 +327,7 @@ def validate_records(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "validation_profile",
     """WITH v AS (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN 'Positive' ELSE 'Negative' END AS click_type,
-        floor(CAST(printf('%.2f', value / 983.0::DOUBLE) AS DOUBLE) * 10) / 10 AS iou_bin,
+        floor(CAST(printf('%.2f', (value / (2 * value + 73.123457::DOUBLE))) AS DOUBLE) * 10) / 10 AS iou_bin,
         CAST(trunc((event_id % 7) / 641.0::DOUBLE * 1000) AS INT) AS x, CAST(trunc((event_id % 5) / 487.0::DOUBLE * 1000) AS INT) AS y
       FROM events WHERE event_id % 13 = 12)
     SELECT click_type, iou_bin, count(*) AS n, min(x) AS min_x, max(x) AS max_x, round(avg(x), 6) AS mean_x,
@@ -403,11 +409,11 @@ def traj_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "traj_scan",
     """SELECT 'f' || event_id || '.json' AS source_file, 'img_' || user_id AS image_name, event_type AS caption, 480 AS height,
-      round(value / 491.0::DOUBLE, 6) AS final_iou, CASE WHEN event_id % 4 = 1 THEN 2 ELSE 1 END AS n_clicks FROM events WHERE event_id % 4 IN (0, 1)""",
+      round((value / (value + 37.123457::DOUBLE)), 6) AS final_iou, CASE WHEN event_id % 4 = 1 THEN 2 ELSE 1 END AS n_clicks FROM events WHERE event_id % 4 IN (0, 1)""",
 )
 def traj_scan(spark: SparkSession, sf: str) -> DataFrame:
     slot = F.col("event_id") % 4
-    click = F.struct(F.lit(0).alias("idx"), F.lit(True).alias("is_positive"), (F.col("value") / 491.0).alias("iou"))
+    click = F.struct(F.lit(0).alias("idx"), F.lit(True).alias("is_positive"), (overlap_share()).alias("iou"))
     item = F.struct(
         F.when(slot == 3, "").otherwise(F.concat(F.lit("img_"), F.col("user_id").cast("string"))).alias("image_name"),
         F.lit(480).alias("height"), F.struct(F.col("event_type").alias("caption")).alias("gt_ann"),
