@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.functions import answers, templates
@@ -102,43 +102,53 @@ def repair_caption(original: Column, generated: Column) -> Column:
     return F.when(text.isNull(), original).otherwise(whole)
 
 
-def chat_errors(
-    messages: Column, images: Column, image_found: Column, pattern: str = answers.FULL_ANSWER_PATTERN
-) -> Column:
-    """Names of the rules a training record breaks; empty when it is valid."""
-    n_messages = F.coalesce(F.size(messages), F.lit(0))
-    user = F.coalesce(F.try_element_at(messages, F.lit(1))["content"], F.lit(""))
-    reply = F.coalesce(F.try_element_at(messages, F.lit(2))["content"], F.lit(""))
-    missing = messages.isNull() | images.isNull()
-    two = ~missing & (n_messages == 2)
-    user_ref = F.regexp_extract(user, r"<ref>(.+?)</ref>", 1)
-    has_ref = user_ref != ""
-    user_desc = clean(user_ref)
+def with_chat_errors(
+    df: DataFrame, image_found: str, pattern: str = answers.FULL_ANSWER_PATTERN, out: str = "errors"
+) -> DataFrame:
+    """Add the names of the rules a training record (``messages``, ``images``) breaks;
+    empty when it is valid. Every pattern group is read once, in a step of its own."""
     anchored = "^" + pattern
-    matches = F.rlike(reply, F.lit(anchored))
-    parsed = {i: F.regexp_extract(reply, anchored, i) for i in range(1, 7)}
-    read = two & matches
-
-    def share(i: int, name: str) -> list[Column]:
-        v = parsed[i].try_cast("double")
-        return [
-            F.when(read & v.isNull(), f"invalid_{name}"),
-            F.when(read & ~v.between(0.0, 1.0), f"{name}_out_of_range"),
-        ]
-
-    x, y = parsed[4].try_cast("bigint"), parsed[5].try_cast("bigint")
+    two = F.coalesce(F.size("messages") == 2, F.lit(False))
+    texts = df.withColumns(
+        {
+            "_user": F.coalesce(F.try_element_at("messages", F.lit(1))["content"], F.lit("")),
+            "_reply": F.coalesce(F.try_element_at("messages", F.lit(2))["content"], F.lit("")),
+            "_missing": F.col("messages").isNull() | F.col("images").isNull(),
+        }
+    )
+    read = texts.withColumns({f"_g{i}": F.regexp_extract("_reply", anchored, i) for i in range(1, 7)})
+    read = read.withColumn("_ref", F.regexp_extract("_user", r"<ref>(.+?)</ref>", 1))
+    read = read.withColumns(
+        {
+            "_two": ~F.col("_missing") & two,
+            "_read": ~F.col("_missing") & two & (F.col("_g1") != ""),
+            "_desc": clean(F.col("_ref")),
+            "_now": F.col("_g2").try_cast("double"),
+            "_next": F.col("_g6").try_cast("double"),
+            "_x": F.col("_g4").try_cast("bigint"),
+            "_y": F.col("_g5").try_cast("bigint"),
+        }
+    )
+    pair, ok, desc = F.col("_two"), F.col("_read"), F.col("_desc")
+
+    def share(col: str, name: str) -> list[Column]:
+        v = F.col(col)
+        return [F.when(ok & v.isNull(), f"invalid_{name}"), F.when(ok & ~v.between(0.0, 1.0), f"{name}_out_of_range")]
+
+    inside = F.col("_x").between(0, 1000) & F.col("_y").between(0, 1000)
     rules = [
-        F.when(missing, "missing_key"),
-        F.when(~missing & (n_messages != 2), "message_count"),
-        F.when(two & (F.size(images) != 1), "image_count"),
-        F.when(two & ~image_found, "image_not_found"),
-        F.when(two & ~F.contains(user, F.lit("<image>")), "no_image_tag"),
-        F.when(two & ~has_ref, "no_user_ref"),
-        F.when(two & has_ref & (user_desc == ""), "empty_description"),
-        F.when(two & ~matches, "bad_answer"),
-        F.when(read & (user_desc != "") & (clean(parsed[1]) != user_desc), "description_mismatch"),
-        *share(2, "current_iou"),
-        *share(6, "next_iou"),
-        F.when(read & ~(x.between(0, 1000) & y.between(0, 1000)), "coordinate_range"),
+        F.when(F.col("_missing"), "missing_key"),
+        F.when(~F.col("_missing") & ~two, "message_count"),
+        F.when(pair & (F.size("images") != 1), "image_count"),
+        F.when(pair & ~F.col(image_found), "image_not_found"),
+        F.when(pair & ~F.contains("_user", F.lit("<image>")), "no_image_tag"),
+        F.when(pair & (F.col("_ref") == ""), "no_user_ref"),
+        F.when(pair & (F.col("_ref") != "") & (desc == ""), "empty_description"),
+        F.when(pair & ~ok, "bad_answer"),
+        F.when(ok & (desc != "") & (clean(F.col("_g1")) != desc), "description_mismatch"),
+        *share("_now", "current_iou"),
+        *share("_next", "next_iou"),
+        F.when(ok & ~inside, "coordinate_range"),
     ]
-    return F.array_compact(F.array(*rules))
+    made = read.withColumn(out, F.array_compact(F.array(*rules)))
+    return made.select(*df.columns, out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.numbers import fixed
+
 
 def clip(v: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(v, hi))
@@ -37,8 +39,12 @@ def centre_to_xyxy(cx, cy, w, h, width, height) -> list[Column]:
 
 
 def box_text(box: list[Column], sep: str = ",", decimals: int = 2) -> Column:
-    spec = f"%.{decimals}f"
-    return F.format_string("[" + sep.join([spec] * 4) + "]", *box)
+    return F.concat(F.lit("["), F.concat_ws(sep, *[fixed(c, decimals) for c in box]), F.lit("]"))
+
+
+def label_line(class_id: Column, box: list[Column], decimals: int = 5) -> Column:
+    """One line of a label file: class id and centre-normalised box."""
+    return F.concat_ws(" ", class_id.cast("string"), *[fixed(c, decimals) for c in box])
 
 
 def crop_fixed(x1, y1, x2, y2, width, height, pad: int = 20) -> list[Column]:

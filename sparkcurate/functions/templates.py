@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from itertools import chain
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.names import clean, lower_name
+from sparkcurate.functions.numbers import fixed
 
 # ---------------------------------------------------------------------------
 # Results depend on these texts, keep them as they are.
@@ -110,8 +112,11 @@ REQUEST_TEXT = (
     "object as accurately as possible. "
     "The object description is as follows: <ref>{description}</ref>"
 )
-ANSWER_FORMAT = "<ref>%s</ref> Current IOU: %.2f, %s point: (%d, %d), Predicted next IOU: %.2f"
-ONE_CLICK_FORMAT = "<ref>%s</ref> Current IOU: 0  %s point: (%d, %d)"
+ANSWER_TEXT = (
+    "<ref>{description}</ref> Current IOU: {current_iou}, {sign} point: ({x}, {y}), "
+    "Predicted next IOU: {next_iou}"
+)
+ONE_CLICK_TEXT = "<ref>{description}</ref> Current IOU: 0  {sign} point: ({x}, {y})"
 
 # (object, part, affordances) that do not go together.
 BAD_TRIPLES = [
@@ -232,19 +237,29 @@ def compose_caption(caption: Column, part: Column, obj: Column) -> Column:
 
 
 def request_text(description: Column) -> Column:
-    return F.replace(F.lit(REQUEST_TEXT), F.lit("{description}"), description)
+    return render(REQUEST_TEXT, description=description)
 
 
 def click_sign(positive: Column) -> Column:
     return F.when(positive, "Positive").otherwise("Negative")
 
 
+def render(template: str, **values: Column) -> Column:
+    """The template with each ``{name}`` replaced by the text of its column."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    cols = [values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces)]
+    return F.concat(*cols)
+
+
 def answer_text(description, current_iou, positive, x, y, next_iou) -> Column:
-    return F.format_string(ANSWER_FORMAT, description, current_iou, click_sign(positive), x, y, next_iou)
+    return render(
+        ANSWER_TEXT, description=description, current_iou=fixed(current_iou, 2), sign=click_sign(positive),
+        x=x, y=y, next_iou=fixed(next_iou, 2),
+    )
 
 
 def one_click_text(description, positive, x, y) -> Column:
-    return F.format_string(ONE_CLICK_FORMAT, description, click_sign(positive), x, y)
+    return render(ONE_CLICK_TEXT, description=description, sign=click_sign(positive), x=x, y=y)
 
 
 def chat_record(request: Column, answer: Column, image: Column) -> list[Column]:

@@ -74,60 +74,57 @@ def flag_bad_triples(
 # -- vocabulary match --------------------------------------------------------
 
 
-def _edits(cutoff: float, length: int) -> int:
-    """Most inserted or deleted characters a string of this length may differ by."""
-    longest = int(length * (2 / cutoff - 1) + 1e-9)
-    return int((1 - cutoff) * (length + longest) + 1e-9)
+def _segments(size: Column, cutoff: float) -> Column:
+    """Segments ``(i, at, len)`` of a name of ``size`` characters: one more than the
+    insertions and deletions that a ratio of ``cutoff`` leaves room for."""
+    edits = _edits(size, cutoff)
+    pieces = edits + 1
+    base, extra = F.floor(size / pieces).cast("int"), size % pieces
+    whole = pieces - extra
+    return F.transform(
+        F.sequence(F.lit(0), edits),
+        lambda i: F.struct(
+            i.alias("i"),
+            (i * base + F.greatest(F.lit(0), i - whole) + 1).alias("at"),
+            (base + F.when(i >= whole, 1).otherwise(0)).alias("len"),
+        ),
+    )
+
+
+def _edits(size: Column, cutoff: float) -> Column:
+    longest = F.floor(size * (2 / cutoff - 1) + 1e-9)
+    return F.floor((1 - cutoff) * (size + longest) + 1e-9).cast("int")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float = 0.9) -> DataFrame:
     """Pairs ``(left, right, score)`` of distinct names whose sequence ratio reaches
     ``cutoff``. ``left`` and ``right`` are one-column frames named so.
 
-    A ratio of ``cutoff`` bounds the inserted and deleted characters; cut into one
-    segment more than that bound, a right name keeps at least one segment unchanged
-    inside the left name, at most that many places away. Only pairs sharing a segment
-    are scored, so the candidate set is complete and never a cross product.
+    A ratio of ``cutoff`` bounds the inserted and deleted characters. Cut into one
+    segment more than that bound, the right name keeps at least one segment unchanged
+    inside the left name, at most that many places away. Only pairs that share a segment
+    of the same name length, number and place are scored, so the candidate set is
+    complete without being a cross product.
     """
     right = right.select("right").distinct().filter(F.length("right") > 0)
     left = left.select("left").distinct().filter(F.length("left") > 0)
-    limit = 1000
-    widest = max(-(-n // (_edits(cutoff, n) + 1)) for n in range(1, limit))
     size = F.length("right")
-    edits = F.floor((1 - cutoff) * (size + F.floor(size * (2 / cutoff - 1) + 1e-9)) + 1e-9).cast("int")
-    pieces = edits + 1
-    base, extra = F.floor(size / pieces).cast("int"), size % pieces
-    segments = F.transform(
-        F.sequence(F.lit(0), edits),
-        lambda i: F.struct(
-            (i * base + F.greatest(F.lit(0), i - (pieces - extra)) + 1).alias("at"),
-            (base + F.when(i >= pieces - extra, 1).otherwise(0)).alias("len"),
-        ),
-    )
-    cut = right.select("right", edits.alias("_edits"), F.explode(segments).alias("_s")).select(
-        "right", "_edits", F.col("_s.at").alias("_at"),
-        F.substring(F.col("right"), F.col("_s.at"), F.col("_s.len")).alias("_piece"),
-    )
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("left")),
-            lambda p: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(widest), F.length("left") - p + 1)),
-                lambda n: F.struct(p.alias("at"), F.substring(F.col("left"), p, n).alias("text")),
-            ),
-        )
-    )
-    wide = left.select("left", F.explode(grams).alias("_g")).select(
-        "left", F.col("_g.at").alias("_pos"), F.col("_g.text").alias("_piece")
-    )
-    la, lb = F.length("left"), F.length("right")
-    pairs = (
-        wide.join(cut, "_piece")
-        .filter(F.abs(F.col("_pos") - F.col("_at")) <= F.col("_edits"))
-        .filter(2 * F.least(la, lb) >= cutoff * (la + lb) - 1e-9)
-        .select("left", "right")
-        .distinct()
-    )
+    cut = right.select("right", size.alias("_n"), F.explode(_segments(size, cutoff)).alias("_s")).select(
+        "right", "_n", F.col("_s.i").alias("_i"), F.substring(F.col("right"), F.col("_s.at"), F.col("_s.len")).alias("_piece")
+    )
+    mine = F.length("left")
+    shortest = F.ceil(mine * (cutoff / (2 - cutoff)) - 1e-9).cast("int")
+    longest = F.floor(mine * (2 / cutoff - 1) + 1e-9).cast("int")
+    # every length the other name may have, its segments, and the places they may be found
+    sized = left.select("left", F.explode(F.sequence(F.greatest(F.lit(1), shortest), longest)).alias("_n"))
+    placed = sized.select("left", "_n", _edits(F.col("_n"), cutoff).alias("_e"), F.explode(_segments(F.col("_n"), cutoff)).alias("_s"))
+    first = F.greatest(F.lit(1), F.col("_s.at") - F.col("_e"))
+    last = F.least(F.col("_s.at") + F.col("_e"), mine - F.col("_s.len") + 1)
+    probes = placed.filter(first <= last).select(
+        "left", "_n", F.col("_s.i").alias("_i"), F.col("_s.len").alias("_len"), F.explode(F.sequence(first, last)).alias("_p")
+    )
+    probes = probes.select("left", "_n", "_i", F.substring(F.col("left"), F.col("_p"), F.col("_len")).alias("_piece"))
+    pairs = probes.join(cut, ["_n", "_i", "_piece"]).select("left", "right").distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = SequenceMatcher()
@@ -211,17 +208,25 @@ def kth_match(requests: DataFrame, boxes: DataFrame, order: Sequence[Column]) ->
     """The k-th box, in annotation order, whose category is the requested name, or,
     when no category has that name, holds it or is held by it. ``requests`` carries
     ``image, name, k`` (0-based); ``boxes`` carries ``image, category`` and payload.
-    Requests without such a box are kept with nulls."""
+    Requests without such a box are kept with nulls.
+
+    Names are first reduced to the set of categories they match. Boxes are ranked once
+    per (image, category set), not once per request."""
     categories = boxes.select(F.lower("category").alias("right")).distinct()
     wanted = requests.select(F.lower("name").alias("left")).distinct()
     exact = wanted.join(categories, F.col("left") == F.col("right")).select("left", "right")
     loose = contains_pairs(wanted.join(exact, "left", "left_anti"), categories)
     pairs = exact.unionByName(loose)
-    asked = requests.select("image", F.lower("name").alias("left")).distinct().join(pairs, "left")
-    hits = boxes.withColumn("right", F.lower("category")).join(asked, ["image", "right"]).drop("right")
-    ranked = rank_rows(hits, ["image", "left"], order, "_r")
+    # a set holds names of the category vocabulary
+    sets = pairs.groupBy("left").agg(F.array_sort(F.collect_set("right")).alias("_cats"))
+    sets = sets.withColumn("_set", F.md5(F.to_json("_cats")))
+    asked = requests.withColumn("left", F.lower("name")).join(sets.select("left", "_set"), "left", "left").drop("left")
+    members = sets.select("_set", F.explode("_cats").alias("right")).distinct()
+    needed = asked.filter(F.col("_set").isNotNull()).select("image", "_set").distinct().join(members, "_set")
+    hits = boxes.withColumn("right", F.lower("category")).join(needed, ["image", "right"]).drop("right")
+    ranked = rank_rows(hits, ["image", "_set"], order, "_r")
     ranked = ranked.withColumn("k", F.col("_r") - 1).drop("_r")
-    return requests.withColumn("left", F.lower("name")).join(ranked, ["image", "left", "k"], "left").drop("left")
+    return asked.join(ranked, ["image", "_set", "k"], "left").drop("_set")
 
 
 def nearest_rank(requests: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -370,8 +375,8 @@ def name_lookup(images: DataFrame, entries: DataFrame, order: Sequence[Column],
     entry, all of them come back with the default text."""
     index = first_per_key(entries, ["base"], [c.desc() for c in order]).select("base", "path", "text")
     joined = images.select("base").join(index.withColumn("_hit", F.lit(True)), "base", "left")
-    total = joined.agg(F.count_if(F.col("_hit")).alias("_total"))  # a single row
-    kept = joined.crossJoin(F.broadcast(total)).filter(F.col("_hit") | (F.col("_total") == 0))
+    total = joined.select(F.count_if(F.col("_hit"))).scalar()
+    kept = joined.filter(F.col("_hit") | (total == 0))
     return kept.select(
         "base", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit(default_text)).alias("text")
     )

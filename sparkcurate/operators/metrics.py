@@ -97,15 +97,17 @@ def split_log(df: DataFrame) -> DataFrame:
 def best_checkpoint(log: DataFrame, order: Sequence[str]) -> DataFrame:
     """The evaluation with the smallest loss (first of equals) and the last training row."""
     at = F.struct(*order)
-    ev = log.filter("kind = 'eval'").agg(
-        F.count(F.lit(1)).alias("eval_rows"),
-        F.min_by(F.struct("step", "eval_loss"), F.struct(F.col("eval_loss"), at.alias("at"))).alias("b"),
+    is_eval, is_train = F.col("kind") == "eval", F.col("kind") == "train"
+    # a null ordering value takes a row out of the contest
+    both = log.agg(
+        F.count_if(is_eval).alias("eval_rows"),
+        F.min_by(
+            F.struct("step", "eval_loss"), F.when(is_eval, F.struct(F.col("eval_loss"), at.alias("at")))
+        ).alias("b"),
+        F.count_if(is_train).alias("train_rows"),
+        F.max_by(F.struct("step", "loss"), F.when(is_train, at)).alias("l"),
     )
-    tr = log.filter("kind = 'train'").agg(
-        F.count(F.lit(1)).alias("train_rows"), F.max_by(F.struct("step", "loss"), at).alias("l")
-    )
-    # two single rows
-    return ev.crossJoin(F.broadcast(tr)).select(
+    return both.select(
         "eval_rows", F.col("b.step").alias("best_step"), F.col("b.eval_loss").alias("best_eval_loss"),
         "train_rows", F.col("l.step").alias("last_step"), F.col("l.loss").alias("last_loss"),
     )

@@ -105,12 +105,16 @@ def catalog_line(df: DataFrame) -> DataFrame:
 def affordance_rollup(df: DataFrame) -> DataFrame:
     """Rows at two levels: (affordance, object) and affordance alone (object null), with
     item, image and part counts and the sorted parts."""
-    return df.groupingSets(
-        [["affordance", "object"], ["affordance"]], "affordance", "object"
-    ).agg(
-        F.count(F.lit(1)).alias("item_count"),
-        F.countDistinct("image_path").alias("image_count"),
-        F.array_sort(F.collect_set("part")).alias("parts"),
+    # equal (affordance, object, part, image) rows are merged before the rollup
+    base = df.groupBy("affordance", "object", "part", "image_path").agg(F.count(F.lit(1)).alias("_n"))
+    sets = [["affordance", "object"], ["affordance"]]
+    items = base.groupingSets(sets, "affordance", "object").agg(
+        F.sum("_n").alias("item_count"), F.array_sort(F.collect_set("part")).alias("parts")
+    )
+    images = base.groupingSets(sets, "affordance", "object").agg(F.countDistinct("image_path").alias("image_count"))
+    same = items["affordance"].eqNullSafe(images["affordance"]) & items["object"].eqNullSafe(images["object"])
+    return items.join(images, same).select(
+        items["affordance"], items["object"], "item_count", "image_count", "parts"
     )
 
 
@@ -186,7 +190,6 @@ def label_block(images: DataFrame, labels: DataFrame, area: str, order: Sequence
 
 
 def category_ids(names: DataFrame, name: str) -> DataFrame:
-    """Contiguous 0-based class ids in name order. The category list is one array of a
-    detection document, so it is built and numbered as one."""
-    listed = names.select(name).distinct().agg(F.array_sort(F.collect_list(name)).alias("c"))
-    return listed.select(F.posexplode("c").alias("cid", name))
+    """Contiguous 0-based class ids in name order."""
+    ranked = rank_rows(names.select(name).distinct(), [], [F.col(name)], "_r")
+    return ranked.select(name, (F.col("_r") - 1).alias("cid"))

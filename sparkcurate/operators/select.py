@@ -38,11 +38,10 @@ def class_thresholds(candidates: DataFrame) -> DataFrame:
     """One row per class with its candidate count and cut-offs. Written out, so that the
     planner sees the size of the class table before it joins it to the candidates."""
     counts = materialise(candidates.groupBy("target_object").agg(F.count(F.lit(1)).alias("n")), "class-counts")
-    top = counts.agg(F.max("n").alias("n_max"))  # a single row
-    wide = counts.crossJoin(F.broadcast(top))
-    return wide.select("target_object", "n", *[
-        c.alias(name) for name, c in scoring.thresholds(F.col("n"), F.col("n_max")).items()
-    ])
+    top = counts.select(F.max("n")).scalar()
+    return counts.select(
+        "target_object", "n", *[c.alias(name) for name, c in scoring.thresholds(F.col("n"), top).items()]
+    )
 
 
 def judge(candidates: DataFrame, cuts: DataFrame, allow_veto: bool = False) -> DataFrame:

@@ -16,14 +16,14 @@ ROW_SQL = ", ".join(ROW)
 
 
 def left_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("doc_id % 3 <> 0").select(
+    return table(spark, sf, "documents").filter("lang <> 'de'").select(
         "doc_id", F.col("source").alias("object"), F.col("lang").alias("part"), F.lit("Open").alias("affordance"),
         F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("q "), "lang")).alias("query"),
     )
 
 
 def right_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "labels").filter("doc_id % 2 = 0").select(
+    return table(spark, sf, "labels").select(
         "doc_id", F.concat(F.lit("label"), F.col("quality").cast("string")).alias("object"),
         F.concat(F.lit("tox"), F.col("toxic").cast("string")).alias("part"), F.lit("Press").alias("affordance"),
         F.concat(F.lit(" do "), F.col("doc_id").cast("string")).alias("task"),
@@ -33,8 +33,8 @@ def right_feed(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "outer_merge",
     """WITH l AS (SELECT doc_id, source AS object, lang AS part, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'q ' || lang END AS query
-        FROM documents WHERE doc_id % 3 <> 0),
-    r AS (SELECT doc_id, 'label' || quality AS object, 'tox' || toxic AS part, 'do ' || doc_id AS task FROM labels WHERE doc_id % 2 = 0)
+        FROM documents WHERE lang <> 'de'),
+    r AS (SELECT doc_id, 'label' || quality AS object, 'tox' || toxic AS part, 'do ' || doc_id AS task FROM labels)
     SELECT coalesce(l.doc_id, r.doc_id) AS doc_id,
       CASE WHEN l.doc_id IS NULL THEN 'no_left' WHEN r.doc_id IS NULL THEN 'no_right' ELSE 'both' END AS status,
       coalesce(r.object, l.object) AS object, coalesce(r.part, l.part) AS part,
@@ -57,7 +57,7 @@ def outer_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "key_union",
-    """SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 UNION SELECT doc_id FROM labels WHERE doc_id % 2 = 0""",
+    """SELECT doc_id FROM documents WHERE lang <> 'de' UNION SELECT doc_id FROM labels""",
 )
 def key_union(spark: SparkSession, sf: str) -> DataFrame:
     return left_feed(spark, sf).select("doc_id").union(right_feed(spark, sf).select("doc_id")).distinct()
@@ -81,7 +81,7 @@ def union_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """WITH items AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN 'manual' ELSE 'merged.jsonl:' || doc_id || ':a0:p1' END AS src FROM documents),
     p AS (SELECT *, TRY_CAST(nullif(regexp_extract(src, ':(\\d+):a\\d+:p\\d+$', 1), '') AS BIGINT) AS line FROM items),
     a AS (SELECT doc_id AS line, quality + 1 AS bucket FROM labels),
-    b AS (SELECT lang, source, min(n_chars % 5 + 1) AS bucket FROM documents WHERE n_chars % 2 = 0 AND lang <> 'de' GROUP BY 1, 2)
+    b AS (SELECT lang, source, min(n_chars % 5 + 1) AS bucket FROM documents WHERE lang <> 'de' GROUP BY 1, 2)
     SELECT doc_id, line, coalesce(a.bucket, b.bucket) AS bucket,
       CASE WHEN a.bucket IS NOT NULL THEN 'line' WHEN b.bucket IS NOT NULL THEN 'pair' ELSE 'unmatched' END AS matched_by
     FROM p LEFT JOIN a USING (line) LEFT JOIN b USING (lang, source)""",
@@ -93,7 +93,7 @@ def two_tier_lookup(spark: SparkSession, sf: str) -> DataFrame:
     )
     items = docs.select("doc_id", "lang", "source", source_line(source).alias("line"))
     by_line = table(spark, sf, "labels").select(F.col("doc_id").alias("line"), (F.col("quality") + 1).cast("bigint").alias("bucket"))
-    by_pair = docs.filter("n_chars % 2 = 0 AND lang <> 'de'").groupBy("lang", "source").agg(F.min(F.col("n_chars") % 5 + 1).alias("bucket"))
+    by_pair = docs.filter("lang <> 'de'").groupBy("lang", "source").agg(F.min(F.col("n_chars") % 5 + 1).alias("bucket"))
     return match.two_tier_lookup(items, by_line, by_pair, "line", ["lang", "source"], "bucket").select(
         "doc_id", "line", "bucket", "matched_by"
     )
@@ -179,7 +179,7 @@ def part_lists(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "nested_regroup",
     f"""WITH {ITEMS}, e AS (SELECT l_orderkey AS image_path, object, affordance,
-        CASE WHEN l_suppkey % 4 = 0 THEN 'whole_object' ELSE part END AS part FROM items WHERE l_linenumber <> 7)
+        CASE WHEN l_suppkey % 4 = 0 THEN 'whole_object' ELSE part END AS part FROM items)
     SELECT image_path, object, affordance, array_to_string(list_sort(list(DISTINCT part)), ',') AS parts FROM e GROUP BY 1, 2, 3""",
 )
 def nested_regroup(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,9 +188,8 @@ def nested_regroup(spark: SparkSession, sf: str) -> DataFrame:
     own = F.when(F.col("l_suppkey") % 4 == 0, F.array(F.lit(" "))).otherwise(F.array(part))
     first = F.when(F.col("l_linenumber") % 3 == 0, own)
     second = F.when(F.col("l_linenumber") % 3 == 1, own)
-    third = F.when((F.col("l_linenumber") % 3 == 2) | (F.col("l_linenumber") == 7), own)
-    given = F.coalesce(first, second, third)
-    rows = part_items(spark, sf).filter("l_linenumber <> 7").withColumn("part", F.explode(gates.parts_or_whole(given)))
+    given = F.coalesce(first, second, own)
+    rows = part_items(spark, sf).withColumn("part", F.explode(gates.parts_or_whole(given)))
     out = regroup.nested_regroup(rows, ["image_path", "object"], "affordance", "part")
     return out.select("image_path", "object", "affordance", F.array_join("leaves", ",").alias("parts"))
 

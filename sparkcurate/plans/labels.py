@@ -86,22 +86,21 @@ def topk_area(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "label_block",
-    f"""WITH t AS (SELECT l_suppkey, l_returnflag AS name,
-        row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, {ROW_SQL}) AS rk FROM lineitem
-        WHERE l_suppkey % 10 <> 9),
-    e AS (SELECT l_suppkey, name, count(*) AS n, min(rk) AS first FROM t WHERE rk <= 12 GROUP BY 1, 2),
-    b AS (SELECT l_suppkey, string_agg(name, chr(10) ORDER BY first) AS label_names,
+    f"""WITH t AS (SELECT l_orderkey, l_returnflag || l_linestatus AS name,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, {ROW_SQL}) AS rk FROM lineitem),
+    e AS (SELECT l_orderkey, name, count(*) AS n, min(rk) AS first FROM t WHERE rk <= 4 GROUP BY 1, 2),
+    b AS (SELECT l_orderkey, string_agg(name, chr(10) ORDER BY first) AS label_names,
         string_agg(name || ': ' || n, chr(10) ORDER BY n DESC, first) AS label_counts FROM e GROUP BY 1),
-    c AS (SELECT l_suppkey, count(*) AS n FROM t GROUP BY 1)
-    SELECT s_suppkey AS image, coalesce(c.n, 0) AS n_instances, coalesce(label_names, '(none)') AS label_names,
+    c AS (SELECT l_orderkey, count(*) AS n FROM t GROUP BY 1)
+    SELECT o_orderkey AS image, coalesce(c.n, 0) AS n_instances, coalesce(label_names, '(none)') AS label_names,
       coalesce(label_counts, '(none)') AS label_counts
-    FROM supplier LEFT JOIN c ON s_suppkey = c.l_suppkey LEFT JOIN b ON s_suppkey = b.l_suppkey""",
+    FROM orders LEFT JOIN c ON o_orderkey = c.l_orderkey LEFT JOIN b ON o_orderkey = b.l_orderkey""",
 )
 def label_block(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lines(spark, sf, "l_returnflag").filter("l_suppkey % 10 <> 9")
-    labels = rows.withColumn("image", F.col("l_suppkey")).withColumnRenamed("l_returnflag", "name")
-    images = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image"))
-    return regroup.label_block(images, labels, "l_quantity", ROW)
+    name = F.concat("l_returnflag", "l_linestatus")
+    labels = table(spark, sf, "lineitem").select(*ROW, F.col("l_orderkey").alias("image"), name.alias("name"))
+    images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))
+    return regroup.label_block(images, labels, "l_quantity", ROW, k=4)
 
 
 def centre_box() -> list[Column]:
@@ -124,7 +123,7 @@ CENTRE = """SELECT *, (l_partkey % 97 + 1) / 101.0::DOUBLE AS cx, (l_suppkey % 8
 )
 def label_lines(spark: SparkSession, sf: str) -> DataFrame:
     cats = regroup.category_ids(table(spark, sf, "part"), "p_brand")
-    line = F.format_string("%d %.5f %.5f %.5f %.5f", "cid", *centre_box())
+    line = geometry.label_line(F.col("cid"), centre_box())
     return with_part(spark, sf, "p_brand").join(cats, "p_brand").select(F.col("l_orderkey").alias("stem"), line.alias("line"))
 
 
@@ -161,13 +160,13 @@ def semi_reduce(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "vocab_semi",
     f"""SELECT {ROW_SQL}, p_name AS object FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size > 45 AND p_partkey % 2 = 0)""",
+    WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size = 50 AND p_type = 'PROMO')""",
 )
 def vocab_semi(spark: SparkSession, sf: str) -> DataFrame:
     # both spellings differ from the stored one and meet after normalisation
     shouted = F.concat(F.lit("  "), F.upper(F.replace("p_name", F.lit(" "), F.lit(" \t "))))
     allowed = (
-        table(spark, sf, "part").filter("p_size > 45 AND p_partkey % 2 = 0")
+        table(spark, sf, "part").filter("p_size = 50 AND p_type = 'PROMO'")
         .select(names.squeezed_name(F.initcap("p_name")).alias("object")).distinct()
     )
     rows = with_part(spark, sf, "p_name").withColumn("object", names.squeezed_name(shouted))
@@ -177,7 +176,7 @@ def vocab_semi(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "manifest_enrich",
     f"""WITH b AS ({CENTRE}), m AS (SELECT o_orderkey, 500 + o_custkey % 141 AS w, 400 + o_custkey % 87 AS h
-        FROM orders WHERE o_orderkey % 5 <> 0),
+        FROM orders WHERE o_orderstatus <> 'P'),
     x AS (SELECT b.*, w, h, greatest(0, least((cx - bw / 2) * w, w)) AS x1, greatest(0, least((cy - bh / 2) * h, h)) AS y1,
         greatest(0, least((cx + bw / 2) * w, w)) AS x2, greatest(0, least((cy + bh / 2) * h, h)) AS y2
       FROM b LEFT JOIN m ON l_orderkey = o_orderkey)
@@ -188,7 +187,7 @@ def vocab_semi(spark: SparkSession, sf: str) -> DataFrame:
 )
 def manifest_enrich(spark: SparkSession, sf: str) -> DataFrame:
     cust = F.col("o_custkey")
-    manifest = table(spark, sf, "orders").filter("o_orderkey % 5 <> 0").select(
+    manifest = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("l_orderkey"), (500 + cust % 141).alias("image_width"), (400 + cust % 87).alias("image_height")
     )
     rows = match.lookup_join(lines(spark, sf, "l_returnflag"), manifest, ["l_orderkey"])
@@ -346,10 +345,10 @@ def crop_box(spark: SparkSession, sf: str) -> DataFrame:
     "det_samples_filter",
     """SELECT 'objects365_v2_' || l_orderkey AS stem, l_partkey % 25 AS category_id, l_quantity AS x1,
       l_linenumber * 1.0::DOUBLE AS y1, l_quantity + l_suppkey % 7 AS x2, l_linenumber * 1.0::DOUBLE + l_suppkey % 5 AS y2
-    FROM lineitem WHERE l_orderkey % 3 = 0""",
+    FROM lineitem WHERE l_returnflag = 'N'""",
 )
 def det_samples_filter(spark: SparkSession, sf: str) -> DataFrame:
-    prefix = F.when(F.col("l_orderkey") % 3 == 0, paths.V2_PREFIX).otherwise(paths.V1_PREFIX)
+    prefix = F.when(F.col("l_returnflag") == "N", paths.V2_PREFIX).otherwise(paths.V1_PREFIX)
     path = F.concat(F.lit("train/"), prefix, F.col("l_orderkey").cast("string"), F.lit(".jpg"))
     box = F.array(
         F.col("l_quantity"), F.col("l_linenumber") * F.lit(1.0), (F.col("l_suppkey") % 7).cast("double"),

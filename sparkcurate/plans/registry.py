@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkcurate.session import tune
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _tuned(fn: QueryFn) -> QueryFn:
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(tune(spark), sf_dir)
+
+    return run
+
+
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
     """Register a query under ``name``, with its SQL twin when there is one."""
 
     def add(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = _tuned(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn

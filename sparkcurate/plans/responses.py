@@ -258,25 +258,25 @@ def with_uid(df: DataFrame) -> DataFrame:
     "todo_antijoin",
     f"""WITH e AS (SELECT event_id, user_id, event_type, value, {UID_SQL} AS uid FROM events)
     SELECT uid, min(event_id) AS event_id FROM e
-    WHERE uid NOT IN (SELECT uid FROM e WHERE value > 480) GROUP BY uid""",
+    WHERE uid NOT IN (SELECT uid FROM e WHERE value > 100) GROUP BY uid""",
 )
 def todo_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     # a ledger row counts whatever its outcome was: failed responses are handled too
     rows = with_uid(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value"))
-    ledger = rows.filter("value > 480").select("uid").distinct()
+    ledger = rows.filter("value > 100").select("uid").distinct()
     return match.todo(rows, ledger, "uid", [F.col("event_id")]).select("uid", "event_id")
 
 
 @query(
     "append_ledger",
-    f"""WITH e AS (SELECT event_id, event_id % 3 AS batch, {UID_SQL} AS uid FROM events)
+    f"""WITH e AS (SELECT event_id, hour(ts) // 8 AS batch, {UID_SQL} AS uid FROM events)
     SELECT uid, event_id FROM e QUALIFY row_number() OVER (PARTITION BY uid ORDER BY batch, event_id) = 1""",
 )
 def append_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_uid(table(spark, sf, "events").select("event_id", "user_id", "event_type")).select("uid", "event_id")
-    sink = new_path(spark, "ledger")
+    rows = with_uid(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"))
+    sink, third = new_path(spark, "ledger"), F.floor(F.hour("ts") / 8)
     for batch in (0, 1, 2, 2):  # the last batch is replayed, as after a failure
-        streams.append_new(rows.filter(F.col("event_id") % 3 == batch), sink, "uid", ["event_id"])
+        streams.append_new(rows.filter(third == batch).select("uid", "event_id"), sink, "uid", ["event_id"])
     return spark.read.parquet(sink)
 
 

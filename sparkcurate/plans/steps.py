@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import answers, checks, geometry, paths, templates
 from sparkcurate.operators import gates, metrics, regroup, sequence
-from sparkcurate.operators.blocks import hour_block
+from sparkcurate.operators.blocks import time_block
 from sparkcurate.plans.registry import query, table
 from sparkcurate.sources import documents
 
@@ -27,7 +27,7 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
     union = (1000 + F.col("event_id") % 50).cast("bigint")
     iou = overlap_share()
     return table(spark, sf, "events").select(
-        "user_id", F.floor(day / 7).alias("week"), "ts", "event_id", "event_type", hour_block("ts").alias("block"),
+        "user_id", F.floor(day / 7).alias("week"), "ts", "event_id", "event_type", "value", time_block("ts").alias("block"),
         iou.alias("iou"), F.col("event_type").isin("click", "purchase").alias("is_positive"),
         (F.col("event_id") % 7).cast("int").alias("x"), (F.col("event_id") % 5).cast("int").alias("y"),
         F.floor(iou * union).alias("inter"), union.alias("union"),
@@ -50,7 +50,7 @@ RUNS = """r AS (SELECT user_id, event_id, ts, value, event_type,
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     return sequence.islands(
-        steps(spark, sf).select("user_id", "ts", "event_id", "event_type", "block", "iou"),
+        steps(spark, sf).select("user_id", "ts", "event_id", "event_type", "block", "value"),
         ["user_id"], "block", ORDER, F.col("event_type") == "signup",
     )
 
@@ -62,12 +62,12 @@ def traj_islands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "traj_by_key",
-    f"""WITH {RUNS}, k AS (SELECT user_id, traj FROM runs WHERE event_type = 'signup' AND event_id % 50 = 0)
+    f"""WITH {RUNS}, k AS (SELECT user_id, traj FROM runs WHERE event_type = 'signup' AND value > 150)
     SELECT user_id, traj, event_id FROM runs WHERE (user_id, traj) IN (SELECT (user_id, traj) FROM k)""",
 )
 def traj_by_key(spark: SparkSession, sf: str) -> DataFrame:
     rows = runs(spark, sf)
-    wanted = rows.filter((F.col("event_type") == "signup") & (F.col("event_id") % 50 == 0)).select("user_id", "traj")
+    wanted = rows.filter((F.col("event_type") == "signup") & (F.col("value") > 150)).select("user_id", "traj")
     return rows.join(wanted, ["user_id", "traj"], "left_semi").select("user_id", "traj", "event_id")
 
 
@@ -293,7 +293,9 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(a)
     )
     messages, images = templates.chat_record(F.col("request"), F.col("answer"), F.col("path"))
-    made = rendered(spark, sf).withColumns({"request": request, "answer": answer}).select("event_id", "path", messages, images)
+    path = F.when(at["lost_image"], F.concat(F.lit("lost/"), "path")).otherwise(F.col("path"))
+    made = rendered(spark, sf).withColumns({"request": request, "answer": answer, "path": path})
+    made = made.select("event_id", "path", messages, images)
     slot = F.col("event_id") % 13
     return made.select(
         "event_id", "path",
@@ -303,15 +305,13 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """Image files that are there: all but those of one kind of row."""
-    rows = table(spark, sf, "events").select("event_id", "event_type")
-    return rows.filter("event_id % 13 <> 3").select(image_path().alias("path"), F.lit(True).alias("there")).distinct()
+    """Image files that are there."""
+    return table(spark, sf, "events").select(image_path().alias("path"), F.lit(True).alias("there")).distinct()
 
 
 def checked(spark: SparkSession, sf: str) -> DataFrame:
     rows = records(spark, sf).join(inventory(spark, sf), "path", "left")
-    there = F.coalesce("there", F.lit(False))
-    return rows.withColumn("errors", checks.chat_errors(F.col("messages"), F.col("images"), there))
+    return checks.with_chat_errors(rows.withColumn("there", F.coalesce("there", F.lit(False))), "there")
 
 
 @query(
@@ -409,19 +409,19 @@ def traj_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "traj_scan",
     """SELECT 'f' || event_id || '.json' AS source_file, 'img_' || user_id AS image_name, event_type AS caption, 480 AS height,
-      round((value / (value + 37.123457::DOUBLE)), 6) AS final_iou, CASE WHEN event_id % 4 = 1 THEN 2 ELSE 1 END AS n_clicks FROM events WHERE event_id % 4 IN (0, 1)""",
+      round((value / (value + 37.123457::DOUBLE)), 6) AS final_iou, CASE WHEN event_type = 'view' THEN 2 ELSE 1 END AS n_clicks FROM events WHERE event_type NOT IN ('error', 'signup')""",
 )
 def traj_scan(spark: SparkSession, sf: str) -> DataFrame:
-    slot = F.col("event_id") % 4
+    kind = F.col("event_type")
     click = F.struct(F.lit(0).alias("idx"), F.lit(True).alias("is_positive"), (overlap_share()).alias("iou"))
     item = F.struct(
-        F.when(slot == 3, "").otherwise(F.concat(F.lit("img_"), F.col("user_id").cast("string"))).alias("image_name"),
+        F.when(kind == "signup", "").otherwise(F.concat(F.lit("img_"), F.col("user_id").cast("string"))).alias("image_name"),
         F.lit(480).alias("height"), F.struct(F.col("event_type").alias("caption")).alias("gt_ann"),
-        F.when(slot == 1, F.array(click, click)).otherwise(F.array(click)).alias("clicks_list"),
+        F.when(kind == "view", F.array(click, click)).otherwise(F.array(click)).alias("clicks_list"),
     )
     text = (
-        F.when(slot == 1, F.to_json(F.array(item)))
-        .when(slot == 2, F.lit("{broken"))
+        F.when(kind == "view", F.to_json(F.array(item)))
+        .when(kind == "error", F.lit("{broken"))
         .otherwise(F.to_json(F.struct(F.struct(F.lit(1).alias("v")).alias("info"), F.array(item).alias("data"))))
     )
     docs = table(spark, sf, "events").select(
