@@ -9,15 +9,15 @@ from sparkcurate.operators import masks, match
 from sparkcurate.plans.registry import query, table
 
 H = 8
-PIXELS = """px AS (SELECT vec_id, i, embedding[i + 1] > 0 AND vec_id % 50 NOT IN (0, 1) AS lit
+PIXELS = """px AS (SELECT vec_id, i, embedding[i + 1] > 0 AND label NOT IN (0, 3) AS lit
   FROM embeddings, (SELECT unnest(range(64)) AS i))"""
 RUNS = f"""{PIXELS}, g AS (SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS grp FROM px WHERE lit)"""
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    blank = (F.col("vec_id") % 50).isin(0, 1)
+    blank = F.col("label").isin(0, 3)  # empty masks
     lit = F.transform("embedding", lambda v: (v > 0) & ~blank)
-    return masks.runs(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", lit)
+    return masks.runs(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "vec_id", lit)
 
 
 @query("mask_runs", f"WITH {RUNS} SELECT vec_id, min(i) AS run_start, count(*) AS run_len FROM g GROUP BY vec_id, grp")

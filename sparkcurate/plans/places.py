@@ -11,7 +11,7 @@ from sparkcurate.operators.ranking import first_per_key
 from sparkcurate.plans.registry import query, table
 from sparkcurate.sources import jsonl
 
-P = """p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS clean_url, regexp_extract(url, '://([^/?#]+)', 1) AS host,
+P = """p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS clean_url, regexp_extract(url, '://([^/?#]+)', 1) AS host, starts_with(url, 'https') AS secure,
     regexp_extract(url, '/([a-z][a-z])/(\\d+)', 1) AS lang,
     coalesce(TRY_CAST(nullif(regexp_extract(url, '/([a-z][a-z])/(\\d+)', 2), '') AS BIGINT), 0) AS num FROM pages)"""
 
@@ -22,6 +22,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
         "page_id",
         F.regexp_replace("url", "[?#].*$", "").alias("clean_url"),
         F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"),
+        F.startswith("url", F.lit("https")).alias("secure"),
         F.regexp_extract("url", r"/([a-z][a-z])/(\d+)", 1).alias("lang"),
         F.coalesce(number, F.lit(0)).cast("bigint").alias("num"),
     )
@@ -60,10 +61,10 @@ def path_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CATALOG = f"""{P}, c0 AS (SELECT page_id AS ord, CASE page_id % 4 WHEN 0 THEN 'images/patch' || page_id % 15 || '/' WHEN 1 THEN lang || '/'
-      WHEN 2 THEN '' ELSE 'PATCH' || page_id % 15 || 'x/' || lang || '/' END || num % 40 || '.jpg' AS file_name FROM p WHERE page_id % 3 <> 0),
+      WHEN 2 THEN '' ELSE 'PATCH' || page_id % 15 || 'x/' || lang || '/' END || num % 40 || '.jpg' AS file_name FROM p WHERE secure),
   cat AS (SELECT file_name, min(ord) AS ord, string_split(file_name, '/')[-1] AS base FROM c0 GROUP BY 1),
   q AS (SELECT DISTINCT '/mnt/' || CASE page_id % 5 WHEN 0 THEN 'images/patch1/' WHEN 1 THEN lang || '/' WHEN 2 THEN 'patch' || page_id % 15 || '/'
-      WHEN 3 THEN 'q/1' ELSE 'Patch1/s' || lang || '/' END || num % 40 || '.jpg' AS path FROM p WHERE page_id % 3 = 0 OR page_id % 5 IN (2, 3)),
+      WHEN 3 THEN 'q/1' ELSE 'Patch1/s' || lang || '/' END || num % 40 || CASE WHEN lang = 'de' THEN '.png' ELSE '.jpg' END AS path FROM p),
   qb AS (SELECT path, string_split(path, '/')[-1] AS base, lower(regexp_extract(path, '(?i)patch\\d+')) AS hint FROM q),
   idx AS (SELECT * FROM cat WHERE base IN (SELECT base FROM qb)),
   t AS (SELECT qb.path, qb.base, hint, (SELECT count(*) FROM idx WHERE idx.base = qb.base) AS n,
@@ -82,12 +83,14 @@ def entity_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.when(quarter == 0, cat("images/", patch)).when(quarter == 1, cat(F.col("lang"), "/")).when(quarter == 2, "")
         .otherwise(cat("PATCH", text(F.col("page_id") % 15), "x/", F.col("lang"), "/"))
     )
-    catalog = rows.filter("page_id % 3 <> 0").select(cat(folder, base).alias("file_name"), F.col("page_id").alias("ord"))
+    catalog = rows.filter("secure").select(cat(folder, base).alias("file_name"), F.col("page_id").alias("ord"))
     start = (
         F.when(fifth == 0, "images/patch1/").when(fifth == 1, cat(F.col("lang"), "/")).when(fifth == 2, patch)
         .when(fifth == 3, "q/1").otherwise(cat("Patch1/s", F.col("lang"), "/"))
     )
-    asked = rows.filter("page_id % 3 = 0 OR page_id % 5 IN (2, 3)").select(cat("/mnt/", start, base).alias("path"))
+    # no catalog file is a .png, so those stay unresolved
+    end = F.when(F.col("lang") == "de", ".png").otherwise(".jpg")
+    asked = rows.select(cat("/mnt/", start, text(F.col("num") % 40), end).alias("path"))
     return asked, catalog
 
 
@@ -116,7 +119,7 @@ SUFFIXES = ["_mask", "_m", "", "-seg", "_Label", "_other"]
 
 @query(
     "stem_match",
-    f"""WITH {P}, img AS (SELECT 'images/' || lang || '/' || num % 90 || CASE WHEN page_id % 5 = 0 THEN '_M.PNG' ELSE '.jpg' END AS image_path FROM p WHERE page_id % 2 = 0),
+    f"""WITH {P}, img AS (SELECT 'images/' || lang || '/' || num % 90 || CASE WHEN page_id % 5 = 0 THEN '_M.PNG' ELSE '.jpg' END AS image_path FROM p WHERE secure),
     s AS (SELECT lower(regexp_extract(image_path, '([^/]+)\\.[^.]+$', 1)) AS stem, min(image_path) AS image_path FROM img GROUP BY 1),
     m AS (SELECT page_id, 'masks/' || host || '/' || num % 90 || ['_mask', '_m', '', '-seg', '_Label', '_other'][page_id % 6 + 1] || '.png' AS mask_path FROM p),
     k AS (SELECT *, lower(regexp_extract(mask_path, '([^/]+)\\.[^.]+$', 1)) AS own FROM m)
@@ -126,7 +129,7 @@ SUFFIXES = ["_mask", "_m", "", "-seg", "_Label", "_other"]
 def stem_match(spark: SparkSession, sf: str) -> DataFrame:
     rows = pages(spark, sf)
     end = F.when(F.col("page_id") % 5 == 0, "_M.PNG").otherwise(".jpg")
-    images = rows.filter("page_id % 2 = 0").select(cat("images/", F.col("lang"), "/", text(F.col("num") % 90), end).alias("image_path"))
+    images = rows.filter("secure").select(cat("images/", F.col("lang"), "/", text(F.col("num") % 90), end).alias("image_path"))
     mark = F.get(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("page_id") % 6).cast("int"))
     masks = rows.select("page_id", cat("masks/", F.col("host"), "/", text(F.col("num") % 90), mark, ".png").alias("mask_path"))
     return match.stem_match(masks, images).select("page_id", "mask_path", "image_path")
@@ -134,8 +137,8 @@ def stem_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "first_existing",
-    f"""WITH {P}, inv AS (SELECT 'm/' || num % 300 || '.png' AS path FROM p WHERE page_id % 2 = 0 UNION
-        SELECT 'm/' || num % 300 || '-' || lang || '.png' FROM p WHERE page_id % 3 = 0),
+    f"""WITH {P}, inv AS (SELECT 'm/' || num % 300 || '.png' AS path FROM p WHERE secure UNION
+        SELECT 'm/' || num % 300 || '-' || lang || '.png' FROM p WHERE NOT secure),
     c AS (SELECT page_id, 'm/' || page_id % 300 || '-' || lang || '.png' AS a, 'm/' || page_id % 300 || '.png' AS b, 'm/none_' || page_id || '.png' AS c FROM p)
     SELECT page_id, CASE WHEN a IN (SELECT path FROM inv) THEN a WHEN b IN (SELECT path FROM inv) THEN b ELSE c END AS resolved,
       CASE WHEN a IN (SELECT path FROM inv) THEN a WHEN b IN (SELECT path FROM inv) THEN b ELSE a END AS resolved_first FROM c""",
@@ -143,8 +146,8 @@ def stem_match(spark: SparkSession, sf: str) -> DataFrame:
 def first_existing(spark: SparkSession, sf: str) -> DataFrame:
     rows = pages(spark, sf)
     n = text(F.col("num") % 300)
-    inv = rows.filter("page_id % 2 = 0").select(cat("m/", n, ".png").alias("path")).unionByName(
-        rows.filter("page_id % 3 = 0").select(cat("m/", n, "-", F.col("lang"), ".png").alias("path"))
+    inv = rows.filter("secure").select(cat("m/", n, ".png").alias("path")).unionByName(
+        rows.filter("NOT secure").select(cat("m/", n, "-", F.col("lang"), ".png").alias("path"))
     )
     i = text(F.col("page_id") % 300)
     tries = F.array(cat("m/", i, "-", F.col("lang"), ".png"), cat("m/", i, ".png"), cat("m/none_", text("page_id"), ".png"))
@@ -166,11 +169,12 @@ def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "patch_range_scan",
-    f"""WITH {P} SELECT page_id, CAST(page_id % 60 AS INT) AS patch FROM p WHERE page_id % 60 BETWEEN 10 AND 20 AND page_id % 7 <> 0""",
+    f"""WITH {P} SELECT page_id, CAST(num AS INT) AS patch FROM p WHERE num BETWEEN 100 AND 300 AND lang <> 'de'""",
 )
 def patch_range_scan(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.when(F.col("page_id") % 7 == 0, "all/items.jsonl").otherwise(cat("in/object_Patch", text(F.col("page_id") % 60), "_round1.jsonl"))
-    return jsonl.patch_files(pages(spark, sf).select("page_id"), name, 10, 20)
+    name = F.when(F.col("lang") == "de", "all/items.jsonl").otherwise(cat("in/object_Patch", text("num"), "_round1.jsonl"))
+    rows = pages(spark, sf).select("page_id", name.alias("file"))
+    return jsonl.patch_files(rows, F.col("file"), 100, 300).select("page_id", "patch")
 
 
 @query(
@@ -187,17 +191,17 @@ def unique_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "name_lookup_last",
-    f"""WITH {P}, m AS (SELECT num % 200 || '.jpg' AS base, arg_max(clean_url, page_id) AS path, arg_max(lang, page_id) AS text FROM p GROUP BY 1),
-    i AS (SELECT DISTINCT page_id % 250 || '.jpg' AS base FROM p)
+    f"""WITH {P}, m AS (SELECT num || '.jpg' AS base, arg_max(clean_url, page_id) AS path, arg_max(lang, page_id) AS text FROM p GROUP BY 1),
+    i AS (SELECT DISTINCT page_id || '.jpg' AS base FROM p)
     SELECT 'matched' AS run, i.base, path, text FROM i JOIN m USING (base)
     UNION ALL SELECT 'all', base, '', 'the target object' FROM i""",
 )
 def name_lookup_last(spark: SparkSession, sf: str) -> DataFrame:
     rows = pages(spark, sf)
     entries = rows.select(
-        cat(text(F.col("num") % 200), ".jpg").alias("base"), F.col("clean_url").alias("path"), F.col("lang").alias("text"), "page_id"
+        cat(text("num"), ".jpg").alias("base"), F.col("clean_url").alias("path"), F.col("lang").alias("text"), "page_id"
     )
-    images = rows.select(cat(text(F.col("page_id") % 250), ".jpg").alias("base")).distinct()
+    images = rows.select(cat(text("page_id"), ".jpg").alias("base")).distinct()
     hit = match.name_lookup(images, entries, [F.col("page_id")], "the target object")
     strange = entries.withColumn("base", cat("no_", F.col("base")))
     miss = match.name_lookup(images, strange, [F.col("page_id")], "the target object")
@@ -218,7 +222,7 @@ def route_skip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "routed_path",
-    f"""WITH {P} SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN num % 5 <> 0 THEN '/v1/f_' || num || '.jpg' END
+    f"""WITH {P} SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN num > 200 THEN '/v1/f_' || num || '.jpg' END
       WHEN 1 THEN '/v2/patch' || page_id % 9 || '/objects365_v2_' || num || '.jpg' END AS path FROM p""",
 )
 def routed_path(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +233,7 @@ def routed_path(spark: SparkSession, sf: str) -> DataFrame:
         .when(slot == 2, cat("b/objects365_v2_", n, ".jpg"))
         .otherwise(cat("c/", n, ".jpg"))
     )
-    dim = rows.filter("num % 5 <> 0").select(F.col("num").alias("image_id"), cat("f_", n, ".jpg").alias("v1_name")).distinct()
+    dim = rows.filter("num > 200").select(F.col("num").alias("image_id"), cat("f_", n, ".jpg").alias("v1_name")).distinct()
     asked = rows.select("page_id", raw.alias("raw")).withColumn("image_id", paths.v1_id(F.col("raw")))
     named = asked.join(dim, "image_id", "left")
     return named.select("page_id", paths.routed_path(F.col("raw"), F.col("v1_name"), "/v1", "/v2").alias("path"))
@@ -237,33 +241,32 @@ def routed_path(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "md5_match",
-    """WITH d AS (SELECT doc_id, 'doc_' || doc_id % 300 || '.txt' AS base, md5(text) AS md5 FROM documents),
-    rel AS (SELECT base, arg_max(CASE WHEN doc_id % 8 = 0 THEN md5(md5) ELSE md5 END, doc_id) AS md5 FROM d WHERE doc_id % 4 < 2 GROUP BY 1)
+    """WITH d AS (SELECT doc_id, lang, 'doc_' || (n_chars // 50) || '.txt' AS base, md5(text) AS md5 FROM documents),
+    rel AS (SELECT base, arg_max(CASE WHEN lang = 'fr' THEN md5(md5) ELSE md5 END, doc_id) AS md5 FROM d GROUP BY 1)
     SELECT base, min(doc_id) AS doc_id, md5 FROM d JOIN rel USING (base, md5) GROUP BY base, md5""",
 )
 def md5_match(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
-        "doc_id", cat("doc_", text(F.col("doc_id") % 300), ".txt").alias("base"), F.md5("text").alias("md5")
+        "doc_id", "lang", cat("doc_", text(F.floor(F.col("n_chars") / 50)), ".txt").alias("base"), F.md5("text").alias("md5")
     )
-    altered = F.when(F.col("doc_id") % 8 == 0, F.md5("md5")).otherwise(F.col("md5"))
-    release = docs.filter("doc_id % 4 < 2").withColumn("md5", altered)
-    release = first_per_key(release, ["base"], [F.col("doc_id").desc()])
+    altered = F.when(F.col("lang") == "fr", F.md5("md5")).otherwise(F.col("md5"))
+    release = first_per_key(docs.withColumn("md5", altered), ["base"], [F.col("doc_id").desc()])
     return match.content_match(docs, release, [F.col("doc_id")]).select("base", "doc_id", "md5")
 
 
 @query(
     "integrity_check",
-    """WITH f AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-    m AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0)
+    """WITH f AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'fr'),
+    m AS (SELECT doc_id, CASE WHEN source = 'src3' OR source = 'src7' THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE lang <> 'de')
     SELECT 'f_' || coalesce(f.doc_id, m.doc_id) AS path, CASE WHEN f.h IS NULL THEN 'missing' WHEN m.h IS NULL THEN 'unlisted'
       WHEN f.h <> m.h THEN 'mismatch' ELSE 'ok' END AS status FROM f FULL OUTER JOIN m ON f.doc_id = m.doc_id""",
 )
 def integrity_check(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     path = cat("f_", text("doc_id")).alias("path")
-    files = docs.filter("doc_id % 7 <> 0").select(path, F.sha2("text", 256).alias("sha256"))
-    body = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    manifest = docs.filter("doc_id % 5 <> 0").select(path, F.sha2(body, 256).alias("sha256"))
+    files = docs.filter("lang <> 'fr'").select(path, F.sha2("text", 256).alias("sha256"))
+    body = F.when(F.col("source").isin("src3", "src7"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    manifest = docs.filter("lang <> 'de'").select(path, F.sha2(body, 256).alias("sha256"))
     return match.integrity(files, manifest)
 
 
