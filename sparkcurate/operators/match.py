@@ -351,17 +351,19 @@ def stem_match(masks: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def first_existing(
-    df: DataFrame, key: str, candidates: Column, inventory: DataFrame, default: str = "last", out: str = "resolved"
+    df: DataFrame, keys: Sequence[str], candidates: Column, inventory: DataFrame, default: str = "last",
+    out: str = "resolved",
 ) -> DataFrame:
-    """First candidate path that the inventory lists, else the last (or first) one."""
-    ranked = df.select(key, F.posexplode(candidates).alias("_pos", "path"))
+    """First candidate path that the inventory lists, else the last (or first) one.
+    ``df`` has one row per key."""
+    ranked = df.select(*keys, F.posexplode(candidates).alias("_pos", "path"))
     hits = (
         ranked.join(inventory.select("path").distinct(), "path", "left_semi")
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(F.min(F.struct("_pos", "path"))["path"].alias("_hit"))
     )
     spare = F.element_at(candidates, -1 if default == "last" else 1)
-    return df.join(hits, key, "left").withColumn(out, F.coalesce("_hit", spare)).drop("_hit")
+    return df.join(hits, list(keys), "left").withColumn(out, F.coalesce("_hit", spare)).drop("_hit")
 
 
 def content_match(entries: DataFrame, release: DataFrame, order: Sequence[Column]) -> DataFrame:

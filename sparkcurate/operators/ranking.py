@@ -58,9 +58,10 @@ def rank_rows(
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    if not keys:
-        # one row per partition of the cut: bounded by the partition count
-        offsets = F.broadcast(offsets)
+    # One row per partition without keys; with keys, one per key and partition border.
+    # Written out, so the planner broadcasts it only when it really is small, and then
+    # the ranked rows are not shuffled a second time.
+    offsets = materialise(offsets, "rank-offsets")
     return (
         cut.join(offsets, [*keys, "_seg"])
         .withColumn(out, F.col("_pos") - F.col("_first") + F.col("_before") + 1)

@@ -214,7 +214,7 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "event_type", "value", (overlap_share()).alias("iou"),
         text.isin("click", "purchase").alias("is_positive"), (F.col("event_id") % 7).alias("x"), (F.col("event_id") % 5).alias("y"),
     )
-    return rows.select("event_id", templates.request_text(text).alias("request"), answer.alias("answer"), image_path().alias("path"))
+    return rows.select("event_id", "event_type", templates.request_text(text).alias("request"), answer.alias("answer"), image_path().alias("path"))
 
 
 @query(
@@ -273,10 +273,13 @@ FAULTS = [
 ]
 
 
+def fault(i: int) -> Column:
+    return (F.col("event_type") == "error") & (F.col("event_id") % len(FAULTS) == i)
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """Training records where every thirteenth kind of row carries one fault."""
-    slot = F.col("event_id") % 13
-    at = {name: slot == i for i, (name, _) in enumerate(FAULTS)}
+    """Training records; those of ``error`` events carry one fault each."""
+    at = {name: fault(i) for i, (name, _) in enumerate(FAULTS)}
     a, r = F.col("answer"), F.col("request")
     request = (
         F.when(at["no_tag"], F.replace(r, F.lit("<image>"), F.lit("")))
@@ -295,12 +298,11 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     messages, images = templates.chat_record(F.col("request"), F.col("answer"), F.col("path"))
     path = F.when(at["lost_image"], F.concat(F.lit("lost/"), "path")).otherwise(F.col("path"))
     made = rendered(spark, sf).withColumns({"request": request, "answer": answer, "path": path})
-    made = made.select("event_id", "path", messages, images)
-    slot = F.col("event_id") % 13
+    made = made.select("event_id", "event_type", "path", messages, images)
     return made.select(
         "event_id", "path",
-        F.when(slot == 0, None).when(slot == 1, F.slice("messages", 1, 1)).otherwise(F.col("messages")).alias("messages"),
-        F.when(slot == 2, F.concat("images", "images")).otherwise(F.col("images")).alias("images"),
+        F.when(fault(0), None).when(fault(1), F.slice("messages", 1, 1)).otherwise(F.col("messages")).alias("messages"),
+        F.when(fault(2), F.concat("images", "images")).otherwise(F.col("images")).alias("images"),
     )
 
 
@@ -316,8 +318,9 @@ def checked(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "validate_records",
-    "SELECT event_id, CASE event_id % 13 " + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(FAULTS))
-    + " ELSE '' END AS errors, event_id % 13 = 12 AS valid FROM events",
+    f"SELECT event_id, CASE WHEN event_type <> 'error' THEN '' ELSE CASE event_id % {len(FAULTS)} "
+    + " ".join(f"WHEN {i} THEN '{e}'" for i, (_, e) in enumerate(FAULTS))
+    + " END END AS errors, event_type <> 'error' AS valid FROM events",
 )
 def validate_records(spark: SparkSession, sf: str) -> DataFrame:
     rows = checked(spark, sf)
@@ -329,7 +332,7 @@ def validate_records(spark: SparkSession, sf: str) -> DataFrame:
     """WITH v AS (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN 'Positive' ELSE 'Negative' END AS click_type,
         floor(CAST(printf('%.2f', (value / (2 * value + 73.123457::DOUBLE))) AS DOUBLE) * 10) / 10 AS iou_bin,
         CAST(trunc((event_id % 7) / 641.0::DOUBLE * 1000) AS INT) AS x, CAST(trunc((event_id % 5) / 487.0::DOUBLE * 1000) AS INT) AS y
-      FROM events WHERE event_id % 13 = 12)
+      FROM events WHERE event_type <> 'error')
     SELECT click_type, iou_bin, count(*) AS n, min(x) AS min_x, max(x) AS max_x, round(avg(x), 6) AS mean_x,
       min(y) AS min_y, max(y) AS max_y, round(avg(y), 6) AS mean_y FROM v GROUP BY 1, 2""",
 )
