@@ -160,13 +160,13 @@ def semi_reduce(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "vocab_semi",
     f"""SELECT {ROW_SQL}, p_name AS object FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size = 50 AND p_type = 'PROMO')""",
+    WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size > 45 AND p_type = 'PROMO')""",
 )
 def vocab_semi(spark: SparkSession, sf: str) -> DataFrame:
     # both spellings differ from the stored one and meet after normalisation
     shouted = F.concat(F.lit("  "), F.upper(F.replace("p_name", F.lit(" "), F.lit(" \t "))))
     allowed = (
-        table(spark, sf, "part").filter("p_size = 50 AND p_type = 'PROMO'")
+        table(spark, sf, "part").filter("p_size > 45 AND p_type = 'PROMO'")
         .select(names.squeezed_name(F.initcap("p_name")).alias("object")).distinct()
     )
     rows = with_part(spark, sf, "p_name").withColumn("object", names.squeezed_name(shouted))
