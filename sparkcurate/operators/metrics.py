@@ -116,6 +116,6 @@ def best_checkpoint(log: DataFrame, order: Sequence[str]) -> DataFrame:
 def relabel_report(df: DataFrame, keys: Sequence[str], order: Sequence[str], example: str) -> DataFrame:
     """Rows per change with the first example."""
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, example))[example].alias("example")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, F.col(example).alias("_example")))["_example"].alias("example")
     )
 
