@@ -210,23 +210,17 @@ def kth_match(requests: DataFrame, boxes: DataFrame, order: Sequence[Column]) ->
     ``image, name, k`` (0-based); ``boxes`` carries ``image, category`` and payload.
     Requests without such a box are kept with nulls.
 
-    Names are first reduced to the set of categories they match. Boxes are ranked once
-    per (image, category set), not once per request."""
+    Boxes are ranked once per distinct (image, name), not once per request."""
     categories = boxes.select(F.lower("category").alias("right")).distinct()
-    wanted = requests.select(F.lower("name").alias("left")).distinct()
+    asked = requests.withColumn("left", F.lower("name"))
+    wanted = asked.select("left").distinct()
     exact = wanted.join(categories, F.col("left") == F.col("right")).select("left", "right")
     loose = contains_pairs(wanted.join(exact, "left", "left_anti"), categories)
-    pairs = exact.unionByName(loose)
-    # a set holds names of the category vocabulary
-    sets = pairs.groupBy("left").agg(F.array_sort(F.collect_set("right")).alias("_cats"))
-    sets = sets.withColumn("_set", F.md5(F.to_json("_cats")))
-    asked = requests.withColumn("left", F.lower("name")).join(sets.select("left", "_set"), "left", "left").drop("left")
-    members = sets.select("_set", F.explode("_cats").alias("right")).distinct()
-    needed = asked.filter(F.col("_set").isNotNull()).select("image", "_set").distinct().join(members, "_set")
+    needed = asked.select("image", "left").distinct().join(exact.unionByName(loose), "left")
     hits = boxes.withColumn("right", F.lower("category")).join(needed, ["image", "right"]).drop("right")
-    ranked = rank_rows(hits, ["image", "_set"], order, "_r")
+    ranked = rank_rows(hits, ["image", "left"], order, "_r")
     ranked = ranked.withColumn("k", F.col("_r") - 1).drop("_r")
-    return asked.join(ranked, ["image", "_set", "k"], "left").drop("_set")
+    return asked.join(ranked, ["image", "left", "k"], "left").drop("left")
 
 
 def nearest_rank(requests: DataFrame, boxes: DataFrame) -> DataFrame:

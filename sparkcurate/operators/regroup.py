@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import templates
 from sparkcurate.functions.names import clean
-from sparkcurate.operators.ranking import first_per_key, rank_rows, top_per_key
+from sparkcurate.operators.ranking import first_per_key, paged_lists, rank_rows, top_per_key
+
+
+ALL = "\x00all"  # no object is named so
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -64,31 +67,43 @@ def dominant_labels(
     return top.join(spelling, [*op, label]).join(rest, [*op, label])
 
 
-def nested_regroup(df: DataFrame, keys: Sequence[str], mid: str, leaf: str) -> DataFrame:
-    """(keys, mid) with the sorted distinct leaves. Equal rows are merged map-side first,
-    so a list holds names of the leaf vocabulary only."""
-    return (
-        df.groupBy(*keys, mid)
-        .agg(F.array_sort(F.collect_set(leaf)).alias("leaves"))
-    )
+def distinct_lists(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, page_size: int = 1000
+) -> DataFrame:
+    """Sorted distinct values per key in pages of bounded size. Repeats are merged
+    map-side, and no list has to fit a single row."""
+    return paged_lists(df.select(*keys, value).distinct(), keys, [F.col(value).asc()], F.col(value), page_size, out)
 
 
-def part_catalog(df: DataFrame) -> DataFrame:
+def nested_regroup(
+    df: DataFrame, keys: Sequence[str], mid: str, leaf: str, page_size: int = 1000
+) -> DataFrame:
+    """(keys, mid) with the sorted distinct leaves."""
+    return distinct_lists(df, [*keys, mid], leaf, "leaves", page_size)
+
+
+def part_catalog(df: DataFrame, page_size: int = 1000) -> DataFrame:
     """Per (object, part): distinct affordances, actions and buckets, image and item
     counts. Input: ``object, part, affordance, action, image_path, bucket``.
 
-    The three lists hold vocabulary names and bucket numbers; images are counted in a
-    separate distinct count, so no set of images is built."""
+    Affordances and actions come in pages of bounded size (page 0 is all of an ordinary
+    group); the counts repeat on every page. There are five buckets at most."""
+    key = ["object", "part"]
     named = df.filter((F.col("object") != "") & (F.col("part") != "") & (F.col("affordance") != ""))
-    action = F.when(F.col("action") != "", F.col("action"))
-    lists = named.groupBy("object", "part").agg(
-        F.array_sort(F.collect_set("affordance")).alias("affordances"),
-        F.array_sort(F.collect_set(action)).alias("actions"),
+    combos = named.groupBy(*key, "affordance", "action", "bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = combos.groupBy(*key).agg(
+        F.sum("_n").alias("item_count"),
         F.array_sort(F.collect_set("bucket")).alias("buckets"),
-        F.count(F.lit(1)).alias("item_count"),
+        F.countDistinct("affordance").alias("affordance_count"),
     )
-    images = named.groupBy("object", "part").agg(F.countDistinct("image_path").alias("image_count"))
-    return lists.join(images, ["object", "part"]).withColumn("affordance_count", F.size("affordances"))
+    images = named.groupBy(*key).agg(F.countDistinct("image_path").alias("image_count"))
+    affordances = distinct_lists(combos, key, "affordance", "affordances", page_size)
+    actions = distinct_lists(combos.filter("action <> ''"), key, "action", "actions", page_size)
+    none = F.array().cast("array<string>")
+    lists = affordances.join(actions, [*key, "page"], "full_outer").withColumns(
+        {c: F.coalesce(c, none) for c in ("affordances", "actions")}
+    )
+    return lists.join(counts, key).join(images, key)
 
 
 def catalog_line(df: DataFrame) -> DataFrame:
@@ -102,20 +117,20 @@ def catalog_line(df: DataFrame) -> DataFrame:
     )
 
 
-def affordance_rollup(df: DataFrame) -> DataFrame:
-    """Rows at two levels: (affordance, object) and affordance alone (object null), with
-    item, image and part counts and the sorted parts."""
+def affordance_rollup(df: DataFrame, page_size: int = 1000) -> DataFrame:
+    """Rows at two levels, (affordance, object) and affordance alone (object null), with
+    item, image and part counts and the sorted parts in pages of bounded size."""
     # equal (affordance, object, part, image) rows are merged before the rollup
     base = df.groupBy("affordance", "object", "part", "image_path").agg(F.count(F.lit(1)).alias("_n"))
     sets = [["affordance", "object"], ["affordance"]]
-    items = base.groupingSets(sets, "affordance", "object").agg(
-        F.sum("_n").alias("item_count"), F.array_sort(F.collect_set("part")).alias("parts")
-    )
-    images = base.groupingSets(sets, "affordance", "object").agg(F.countDistinct("image_path").alias("image_count"))
-    same = items["affordance"].eqNullSafe(images["affordance"]) & items["object"].eqNullSafe(images["object"])
-    return items.join(images, same).select(
-        items["affordance"], items["object"], "item_count", "image_count", "parts"
+    counts = base.groupingSets(sets, "affordance", "object").agg(
+        F.sum("_n").alias("item_count"), F.countDistinct("image_path").alias("image_count"),
+        F.countDistinct("part").alias("part_count"),
     )
+    keyed = base.select("affordance", F.explode(F.array("object", F.lit(ALL))).alias("_object"), "part")
+    pages = distinct_lists(keyed, ["affordance", "_object"], "part", "parts", page_size)
+    counts = counts.withColumn("_object", F.coalesce("object", F.lit(ALL)))
+    return counts.join(pages, ["affordance", "_object"]).drop("_object")
 
 
 def bucket_histogram(df: DataFrame, buckets: Sequence[str] = ("1", "2", "3", "4", "5")) -> DataFrame:

@@ -179,8 +179,9 @@ def part_lists(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "nested_regroup",
     f"""WITH {ITEMS}, e AS (SELECT l_orderkey AS image_path, object, affordance,
-        CASE WHEN l_suppkey % 4 = 0 THEN 'whole_object' ELSE part END AS part FROM items)
-    SELECT image_path, object, affordance, array_to_string(list_sort(list(DISTINCT part)), ',') AS parts FROM e GROUP BY 1, 2, 3""",
+        CASE WHEN l_suppkey % 4 = 0 THEN 'whole_object' ELSE part END AS part FROM items),
+    d AS (SELECT *, row_number() OVER (PARTITION BY image_path, object, affordance ORDER BY part) AS r FROM (SELECT DISTINCT * FROM e))
+    SELECT image_path, object, affordance, (r - 1) // 2 AS page, string_agg(part, ',' ORDER BY r) AS parts FROM d GROUP BY 1, 2, 3, 4""",
 )
 def nested_regroup(spark: SparkSession, sf: str) -> DataFrame:
     # the evaluation list comes from the first of three fields that is there
@@ -190,13 +191,13 @@ def nested_regroup(spark: SparkSession, sf: str) -> DataFrame:
     second = F.when(F.col("l_linenumber") % 3 == 1, own)
     given = F.coalesce(first, second, own)
     rows = part_items(spark, sf).withColumn("part", F.explode(gates.parts_or_whole(given)))
-    out = regroup.nested_regroup(rows, ["image_path", "object"], "affordance", "part")
-    return out.select("image_path", "object", "affordance", F.array_join("leaves", ",").alias("parts"))
+    out = regroup.nested_regroup(rows, ["image_path", "object"], "affordance", "part", page_size=2)
+    return out.select("image_path", "object", "affordance", "page", F.array_join("leaves", ",").alias("parts"))
 
 
 @query(
     "part_catalog",
-    f"""WITH {ITEMS} SELECT object, part, count(DISTINCT affordance) AS affordance_count,
+    f"""WITH {ITEMS} SELECT object, part, 0 AS page, count(DISTINCT affordance) AS affordance_count,
       array_to_string(list_sort(list(DISTINCT affordance)), ' | ') AS affordances,
       array_to_string(list_sort(list(DISTINCT action) FILTER (WHERE action <> '')), ' | ') AS actions,
       array_to_string(list_sort(list(DISTINCT bucket)), ' | ') AS buckets,
@@ -205,7 +206,7 @@ def nested_regroup(spark: SparkSession, sf: str) -> DataFrame:
 def part_catalog(spark: SparkSession, sf: str) -> DataFrame:
     cat = regroup.part_catalog(part_items(spark, sf))
     return cat.select(
-        "object", "part", "affordance_count", *[F.array_join(c, " | ").alias(c) for c in ("affordances", "actions", "buckets")],
+        "object", "part", "page", "affordance_count", *[F.array_join(c, " | ").alias(c) for c in ("affordances", "actions", "buckets")],
         "image_count", "item_count",
     )
 
@@ -223,7 +224,7 @@ def catalog_oneline(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "affordance_rollup",
     f"""WITH {ITEMS}, b AS (SELECT affordance, {", ".join(f"count(*) FILTER (WHERE bucket = '{i}') AS bucket_{i}" for i in range(1, 6))} FROM items GROUP BY 1)
-    SELECT affordance, object, item_count, image_count, parts, part_count, {", ".join(f"bucket_{i}" for i in range(1, 6))}
+    SELECT affordance, object, 0 AS page, item_count, image_count, parts, part_count, {", ".join(f"bucket_{i}" for i in range(1, 6))}
     FROM (SELECT affordance, object, count(*) AS item_count, count(DISTINCT image_path) AS image_count,
         array_to_string(list_sort(list(DISTINCT part)), ',') AS parts, count(DISTINCT part) AS part_count
       FROM items GROUP BY GROUPING SETS ((affordance, object), (affordance))) JOIN b USING (affordance)""",
@@ -232,6 +233,6 @@ def affordance_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rows = part_items(spark, sf)
     up = regroup.affordance_rollup(rows).join(regroup.bucket_histogram(rows), "affordance")
     return up.select(
-        "affordance", "object", "item_count", "image_count", F.array_join("parts", ",").alias("parts"),
-        F.size("parts").alias("part_count"), *[f"bucket_{i}" for i in range(1, 6)],
+        "affordance", "object", "page", "item_count", "image_count", F.array_join("parts", ",").alias("parts"),
+        "part_count", *[f"bucket_{i}" for i in range(1, 6)],
     )

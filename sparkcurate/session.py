@@ -58,3 +58,10 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables this application wrote to the shared folder. Call it last:
+    DataFrames returned earlier may still read them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/sparkcurate/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

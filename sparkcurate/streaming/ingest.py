@@ -12,25 +12,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkcurate.operators.ranking import first_per_key
 
 
-def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def append_new(batch: DataFrame, sink: str, uid: str, order: list[str]) -> None:
-    """Append the first row of each id that the sink does not hold yet."""
+    """Append the first row of each id that the sink does not hold yet.
+
+    The batch is cached, so the planner knows its size: while its ids fit a broadcast,
+    the sink is only scanned for them (one column) and never shuffled."""
     spark = batch.sparkSession
-    done = _existing(spark, sink, batch.schema).select(uid)
-    fresh = first_per_key(batch.join(done, uid, "left_anti"), [uid], [F.col(c) for c in order])
-    fresh.write.mode("append").parquet(sink)
+    fresh = first_per_key(batch, [uid], [F.col(c) for c in order]).persist()
+    try:
+        rows, known = fresh.count(), _exists(spark, sink)
+        new = fresh
+        if known:
+            done = spark.read.schema(batch.schema).parquet(sink).select(uid)
+            new = fresh.join(done.join(fresh.select(uid), uid, "left_semi"), uid, "left_anti")
+        if rows or not known:
+            new.write.mode("append").parquet(sink)
+    finally:
+        fresh.unpersist()
 
 
 def ingest(

@@ -591,6 +591,19 @@ def test_part_catalog_and_rollup(spark):
     assert line == "object=cup | part=lid | affordances=Grasp, Open | actions=open | image_count=1 | item_count=2"
 
 
+def test_catalog_pages_stay_whole(spark):
+    data = [("cup", "lid", f"a{i % 7}", f"x{i % 3}", f"i{i}", "1") for i in range(40)]
+    df = spark.createDataFrame(data, "object string, part string, affordance string, action string, image_path string, bucket string")
+    rows = sorted(regroup.part_catalog(df, page_size=3).collect(), key=lambda r: r["page"])
+    assert [r["page"] for r in rows] == [0, 1, 2]
+    assert sum((r["affordances"] for r in rows), []) == [f"a{i}" for i in range(7)]
+    assert sum((r["actions"] for r in rows), []) == ["x0", "x1", "x2"]
+    assert {(r["item_count"], r["image_count"], r["affordance_count"]) for r in rows} == {(40, 40, 7)}
+    up = regroup.affordance_rollup(df.withColumn("part", F.col("image_path")), page_size=4).filter("object IS NULL AND affordance = 'a0'")
+    got = sorted(up.collect(), key=lambda r: r["page"])
+    assert sorted(sum((r["parts"] for r in got), [])) == sorted(f"i{i}" for i in range(0, 40, 7)) and got[0]["part_count"] == 6
+
+
 def test_sit_on_and_whole_object(spark):
     data = [("seat", "Sit_on", "", True), ("leg", "sit_on", "", False), ("leg", "x", "sit on", False), ("leg", "x", "y", True)]
     df = spark.createDataFrame(data, "p string, a string, act string, want boolean")
