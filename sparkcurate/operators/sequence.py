@@ -28,6 +28,25 @@ def islands(
     return run.withColumn(out, F.col(out) - F.col("_first._start")).drop("_start", "_key", "_first")
 
 
+def runs_by_start(
+    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], is_start: Column, wanted: Column, out: str = "traj"
+) -> DataFrame:
+    """Rows of the runs whose starting row is ``wanted``, with their run number. The
+    latest start before a row is a running maximum, so the rows are read once and no
+    key list is joined back."""
+    marked = df.withColumn("_start", is_start.cast("bigint"))
+    marked = marked.withColumns(
+        {
+            "_key": F.struct(*order, "_start"),
+            "_mark": F.when(is_start, F.struct(*order, wanted.alias("_wanted"))),
+        }
+    )
+    cols = {out: ("sum", "_start"), "_first": ("min", "_key"), "_last": ("max", "_mark")}
+    run = blocked_running(marked, keys, block, order, cols)
+    run = run.filter(F.col("_last._wanted")).withColumn(out, F.col(out) - F.col("_first._start"))
+    return run.drop("_start", "_key", "_mark", "_first", "_last")
+
+
 def previous_value(
     df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], col: str, out: str, default: float = 0.0
 ) -> DataFrame:

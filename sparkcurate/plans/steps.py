@@ -10,6 +10,7 @@ from sparkcurate.functions import answers, checks, geometry, paths, templates
 from sparkcurate.operators import gates, metrics, regroup, sequence
 from sparkcurate.operators.blocks import time_block
 from sparkcurate.plans.registry import query, table
+from sparkcurate.session import materialise
 from sparkcurate.sources import documents
 
 KEYS, ORDER = ["user_id", "week"], ["ts", "event_id"]
@@ -66,9 +67,10 @@ def traj_islands(spark: SparkSession, sf: str) -> DataFrame:
     SELECT user_id, traj, event_id FROM runs WHERE (user_id, traj) IN (SELECT (user_id, traj) FROM k)""",
 )
 def traj_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    rows = runs(spark, sf)
-    wanted = rows.filter((F.col("event_type") == "signup") & (F.col("value") > 150)).select("user_id", "traj")
-    return rows.join(wanted, ["user_id", "traj"], "left_semi").select("user_id", "traj", "event_id")
+    rows = steps(spark, sf).select("user_id", "ts", "event_id", "event_type", "block", "value")
+    start = F.col("event_type") == "signup"
+    found = sequence.runs_by_start(rows, ["user_id"], "block", ORDER, start, F.col("value") > 150)
+    return found.select("user_id", "traj", "event_id")
 
 
 @query(
@@ -312,7 +314,9 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checked(spark: SparkSession, sf: str) -> DataFrame:
-    rows = records(spark, sf).join(inventory(spark, sf), "path", "left")
+    # the record file that a writer left behind, read by the validator
+    written = materialise(records(spark, sf), "records")
+    rows = written.join(inventory(spark, sf), "path", "left")
     return checks.with_chat_errors(rows.withColumn("there", F.coalesce("there", F.lit(False))), "there")
 
 
