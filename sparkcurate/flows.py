@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import answers, checks, geometry, names, paths, scoring, templates
 from sparkcurate.operators import gates, match, metrics, ranking, regroup, select, sequence
+from sparkcurate.session import materialise
 from sparkcurate.sources import documents, sinks
 
 LINE = ["src_file", "src_line"]
@@ -251,15 +252,11 @@ def query_rows(items: DataFrame, responses: DataFrame) -> DataFrame:
     forms. ``items`` carries ``id``; ``responses`` carries ``id, raw_text``."""
     read = responses.select("id", answers.answer_tree(F.col("raw_text")).alias("_tree"))
     read = read.select("id", answers.is_object(F.col("_tree")).alias("ok"), *[answers.get(F.col("_tree"), q).alias(f"_{q}") for q in ("q1", "q2")])
-    rows = items.join(read, "id")
-    obj, part, aff = F.col("object"), F.col("part"), F.col("affordance")
-    q1, fixed1 = checks.repair_query(obj, part, F.col("_q1"))
-    q2, fixed2 = checks.repair_can_query(obj, part, aff, F.col("_q2"))
+    rows = checks.with_queries(items.join(read, "id"), "_q1", "_q2")
     ok = F.col("ok")
+    made = ["query_direct", "query_affordance", "repaired_q1", "repaired_q2"]
     return rows.select(
-        *items.columns, "ok", F.when(~ok, 1).otherwise(0).alias("error_code"),
-        F.when(ok, q1).alias("query_direct"), F.when(ok, q2).alias("query_affordance"),
-        F.when(ok, fixed1).alias("repaired_q1"), F.when(ok, fixed2).alias("repaired_q2"),
+        *items.columns, "ok", F.when(~ok, 1).otherwise(0).alias("error_code"), *[F.when(ok, F.col(c)).alias(c) for c in made]
     )
 
 
@@ -267,15 +264,12 @@ def task_rows(items: DataFrame, responses: DataFrame) -> DataFrame:
     """Task instructions: validated, replaced by the fallback, or rejected."""
     read = responses.select("id", answers.answer_tree(F.col("raw_text")).alias("_tree"))
     read = read.select("id", answers.is_object(F.col("_tree")).alias("_parsed"), answers.get(F.col("_tree"), "instruction").alias("_text"))
-    rows = items.join(read, "id")
-    got = checks.repair_instruction(F.col("object"), F.col("part"), F.col("affordance"), F.col("action"), F.col("_text"))
-    parsed = F.col("_parsed")
-    rows = rows.select("*", *[c.alias(f"_{n}") for n, c in got.items()])
+    rows = checks.with_instruction(items.join(read, "id"), "_text")
+    parsed, valid = F.col("_parsed"), F.col("valid")
     return rows.select(
-        *items.columns, (parsed & F.col("_ok")).alias("ok"),
-        F.when(~parsed, 1).when(~F.col("_ok"), 2).otherwise(0).alias("error_code"),
-        F.when(parsed, F.col("_error_msg")).alias("error_msg"), F.when(parsed, F.col("_instruction")).alias("instruction"),
-        (parsed & F.col("_repaired")).alias("repaired"),
+        *items.columns, (parsed & valid).alias("ok"), F.when(~parsed, 1).when(~valid, 2).otherwise(0).alias("error_code"),
+        F.when(parsed, F.col("instruction_error")).alias("error_msg"), F.when(parsed, F.col("instruction")).alias("instruction"),
+        (parsed & F.col("repaired")).alias("repaired"),
     )
 
 
@@ -431,9 +425,10 @@ def check_records(records: DataFrame, inventory: DataFrame) -> dict[str, DataFra
     listed = inventory.select(F.col("path").alias("_image"), F.lit(True).alias("_there")).distinct()
     rows = records.withColumn("_image", F.try_element_at("images", F.lit(1))).join(listed, "_image", "left")
     rows = checks.with_chat_errors(rows.withColumn("_there", F.coalesce("_there", F.lit(False))), "_there").drop("_image", "_there")
+    # a filter on the computed errors would be pushed below them and repeat all the work
+    rows = materialise(rows, "checked")
     valid = rows.filter(F.size("errors") == 0).select(F.col("messages")[1]["content"].alias("_a"))
-    parsed = valid.select(*[c.alias(n) for n, c in answers.parse_click(F.col("_a")).items()])
-    parsed = parsed.withColumn("sign", templates.click_sign(F.col("is_positive")))
+    parsed = answers.with_click(valid, "_a").withColumn("sign", templates.click_sign(F.col("is_positive")))
     return {"errors": rows, "profile": metrics.validation_profile(parsed, "sign", "current_iou", "x_norm", "y_norm")}
 
 

@@ -22,48 +22,51 @@ def _padded(key: Column, piece: str) -> Column:
 
 
 def query_ok(obj: Column, part: Column, text: Column, with_can: bool = False) -> Column:
-    """A query names the object and the part, says `of`, and has at most 16 words."""
-    t = word_key(text)
-    ok = (
-        (t != "")
-        & _has(t, word_key(obj))
-        & _has(t, word_key(part))
-        & _padded(t, " of ")
-        & (_words(t) <= 16)
-    )
-    return ok & _padded(t, " that can ") if with_can else ok
-
-
-def repair_query(obj: Column, part: Column, text: Column) -> tuple[Column, Column]:
-    """(query, repaired): the text, or the canonical form when it does not hold up."""
-    t = sanitise(text)
-    ok = query_ok(obj, part, t)
-    return F.when(ok, t).otherwise(templates.direct_query(part, obj)), ~ok
+    """A query names the object and the part, says `of`, and has at most 16 words. All
+    three arguments are word keys."""
+    ok = (text != "") & _has(text, obj) & _has(text, part) & _padded(text, " of ") & (_words(text) <= 16)
+    return ok & _padded(text, " that can ") if with_can else ok
 
 
-def repair_can_query(obj: Column, part: Column, affordance: Column, text: Column) -> tuple[Column, Column]:
-    t = sanitise(text)
-    ok = query_ok(obj, part, t, with_can=True)
-    return F.when(ok, t).otherwise(templates.affordance_query(part, obj, affordance)), ~ok
+def with_queries(
+    df: DataFrame, q1: str, q2: str, obj: str = "object", part: str = "part", affordance: str = "affordance"
+) -> DataFrame:
+    """Add ``query_direct`` and ``query_affordance``: the texts, or their canonical forms
+    where they do not hold up, with ``repaired_q1`` and ``repaired_q2``. Each text is
+    normalised once, in a step of its own."""
+    clean_ = df.withColumns({"_t1": sanitise(F.col(q1)), "_t2": sanitise(F.col(q2))})
+    keyed = clean_.withColumns(
+        {f"_k{i}": word_key(F.col(c)) for i, c in enumerate(("_t1", "_t2", obj, part))}
+    )
+    k1, k2, ko, kp = (F.col(f"_k{i}") for i in range(4))
+    judged = keyed.withColumns({"_ok1": query_ok(ko, kp, k1), "_ok2": query_ok(ko, kp, k2, with_can=True)})
+    o, p, a = F.col(obj), F.col(part), F.col(affordance)
+    return judged.select(
+        *df.columns,
+        F.when(F.col("_ok1"), F.col("_t1")).otherwise(templates.direct_query(p, o)).alias("query_direct"),
+        F.when(F.col("_ok2"), F.col("_t2")).otherwise(templates.affordance_query(p, o, a)).alias("query_affordance"),
+        (~F.col("_ok1")).alias("repaired_q1"),
+        (~F.col("_ok2")).alias("repaired_q2"),
+    )
 
 
 def names_part(part: Column, text: Column) -> Column:
-    """The text holds the part, or one of its words of three letters or more."""
-    p, t = word_key(part), word_key(text)
-    long_word = F.exists(F.split(p, " "), lambda w: (F.length(w) >= 3) & F.contains(t, w))
-    return (p != "") & (_has(t, p) | long_word)
+    """The text holds the part, or one of its words of three letters or more; both are
+    word keys."""
+    long_word = F.exists(F.split(part, " "), lambda w: (F.length(w) >= 3) & F.contains(text, w))
+    return (part != "") & (_has(text, part) | long_word)
 
 
 def instruction_error(obj: Column, part: Column, text: Column, action: Column) -> Column:
-    """First failing rule of a task instruction; null when it is valid."""
-    t = word_key(text)
-    generic = F.startswith(t, F.lit("use the ")) & (word_key(action) != "use")
+    """First failing rule of a task instruction; null when it is valid. All arguments
+    are word keys."""
+    generic = F.startswith(text, F.lit("use the ")) & (action != "use")
     return (
-        F.when(_words(t) < 2, "too_short")
-        .when(_words(t) > 16, "too_long")
+        F.when(_words(text) < 2, "too_short")
+        .when(_words(text) > 16, "too_long")
         .when(names_part(part, text), "contains_part")
-        .when(_padded(t, " of "), "contains_of_pattern")
-        .when(~_has(t, word_key(obj)), "missing_object")
+        .when(_padded(text, " of "), "contains_of_pattern")
+        .when(~_has(text, obj), "missing_object")
         .when(generic, "generic_use")
     )
 
@@ -76,20 +79,25 @@ def instruction_fallback(obj: Column, affordance: Column, action: Column) -> Col
     return F.when(act != "", F.concat(capital, F.lit(" the "), obj)).otherwise(templates.fill(by_table, obj))
 
 
-def repair_instruction(obj, part, affordance, action, text) -> dict[str, Column]:
-    """Keep a valid text, else its fallback if that is valid, else reject with both errors."""
-    t = sanitise(text)
-    first = instruction_error(obj, part, t, action)
-    spare = instruction_fallback(obj, affordance, action)
-    second = instruction_error(obj, part, spare, action)
-    return {
-        "ok": first.isNull() | second.isNull(),
-        "instruction": F.when(first.isNull(), t).when(second.isNull(), spare),
-        "repaired": first.isNotNull() & second.isNull(),
-        "error_msg": F.when(
-            first.isNotNull() & second.isNotNull(), F.concat(first, F.lit("|fallback:"), second)
-        ),
-    }
+def with_instruction(
+    df: DataFrame, text: str, obj: str = "object", part: str = "part", affordance: str = "affordance", action: str = "action"
+) -> DataFrame:
+    """Add ``valid``, ``instruction``, ``repaired`` and ``instruction_error``: keep a valid
+    text, else its fallback if that is valid, else reject with both errors."""
+    made = df.withColumns(
+        {"_t": sanitise(F.col(text)), "_s": instruction_fallback(F.col(obj), F.col(affordance), F.col(action))}
+    )
+    keyed = made.withColumns({f"_k{i}": word_key(F.col(c)) for i, c in enumerate((obj, part, action, "_t", "_s"))})
+    o, p, a, t, s = (F.col(f"_k{i}") for i in range(5))
+    judged = keyed.withColumns({"_e1": instruction_error(o, p, t, a), "_e2": instruction_error(o, p, s, a)})
+    first, second = F.col("_e1"), F.col("_e2")
+    return judged.select(
+        *df.columns,
+        (first.isNull() | second.isNull()).alias("valid"),
+        F.when(first.isNull(), F.col("_t")).when(second.isNull(), F.col("_s")).alias("instruction"),
+        (first.isNotNull() & second.isNull()).alias("repaired"),
+        F.when(first.isNotNull() & second.isNotNull(), F.concat(first, F.lit("|fallback:"), second)).alias("instruction_error"),
+    )
 
 
 def repair_caption(original: Column, generated: Column) -> Column:
@@ -106,8 +114,7 @@ def with_chat_errors(
     df: DataFrame, image_found: str, pattern: str = answers.FULL_ANSWER_PATTERN, out: str = "errors"
 ) -> DataFrame:
     """Add the names of the rules a training record (``messages``, ``images``) breaks;
-    empty when it is valid. Every pattern group is read once, in a step of its own."""
-    anchored = "^" + pattern
+    empty when it is valid. The answer is matched once, in a step of its own."""
     two = F.coalesce(F.size("messages") == 2, F.lit(False))
     texts = df.withColumns(
         {
@@ -116,17 +123,22 @@ def with_chat_errors(
             "_missing": F.col("messages").isNull() | F.col("images").isNull(),
         }
     )
-    read = texts.withColumns({f"_g{i}": F.regexp_extract("_reply", anchored, i) for i in range(1, 7)})
-    read = read.withColumn("_ref", F.regexp_extract("_user", r"<ref>(.+?)</ref>", 1))
+    read = texts.withColumns(
+        {
+            "_g": answers.groups(F.col("_reply"), pattern, 6, at_start=True),
+            "_ref": F.regexp_extract("_user", r"<ref>(.+?)</ref>", 1),
+        }
+    )
+    group = [F.get("_g", F.lit(i)) for i in range(6)]
     read = read.withColumns(
         {
             "_two": ~F.col("_missing") & two,
-            "_read": ~F.col("_missing") & two & (F.col("_g1") != ""),
+            "_read": ~F.col("_missing") & two & (F.size("_g") == 6),
             "_desc": clean(F.col("_ref")),
-            "_now": F.col("_g2").try_cast("double"),
-            "_next": F.col("_g6").try_cast("double"),
-            "_x": F.col("_g4").try_cast("bigint"),
-            "_y": F.col("_g5").try_cast("bigint"),
+            "_now": group[1].try_cast("double"),
+            "_next": group[5].try_cast("double"),
+            "_x": group[3].try_cast("bigint"),
+            "_y": group[4].try_cast("bigint"),
         }
     )
     pair, ok, desc = F.col("_two"), F.col("_read"), F.col("_desc")
@@ -145,7 +157,7 @@ def with_chat_errors(
         F.when(pair & (F.col("_ref") == ""), "no_user_ref"),
         F.when(pair & (F.col("_ref") != "") & (desc == ""), "empty_description"),
         F.when(pair & ~ok, "bad_answer"),
-        F.when(ok & (desc != "") & (clean(F.col("_g1")) != desc), "description_mismatch"),
+        F.when(ok & (desc != "") & (clean(group[0]) != desc), "description_mismatch"),
         *share("_now", "current_iou"),
         *share("_next", "next_iou"),
         F.when(ok & ~inside, "coordinate_range"),

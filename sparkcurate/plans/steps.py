@@ -256,7 +256,7 @@ def noisy() -> Column:
 )
 def parse_answer(spark: SparkSession, sf: str) -> DataFrame:
     rows = rendered(spark, sf).select("event_id", noisy().alias("text"))
-    return rows.select("event_id", *[c.alias(n) for n, c in answers.parse_click(F.col("text")).items()])
+    return answers.with_click(rows, "text").drop("text")
 
 
 FAULTS = [
@@ -341,9 +341,10 @@ def validate_records(spark: SparkSession, sf: str) -> DataFrame:
       min(y) AS min_y, max(y) AS max_y, round(avg(y), 6) AS mean_y FROM v GROUP BY 1, 2""",
 )
 def validation_profile(spark: SparkSession, sf: str) -> DataFrame:
-    valid = checked(spark, sf).filter(F.size("errors") == 0).select(F.col("messages")[1]["content"].alias("text"))
-    parsed = valid.select(*[c.alias(n) for n, c in answers.parse_click(F.col("text")).items()])
-    parsed = parsed.withColumn("sign", templates.click_sign(F.col("is_positive")))
+    # a filter on the computed errors would be pushed below them and repeat all the work
+    report = materialise(checked(spark, sf).select("messages", "errors"), "checked")
+    valid = report.filter(F.size("errors") == 0).select(F.col("messages")[1]["content"].alias("text"))
+    parsed = answers.with_click(valid, "text").withColumn("sign", templates.click_sign(F.col("is_positive")))
     return metrics.validation_profile(parsed, "sign", "current_iou", "x_norm", "y_norm")
 
 

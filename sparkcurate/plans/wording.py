@@ -136,12 +136,9 @@ def query_repair(spark: SparkSession, sf: str) -> DataFrame:
         4, F.concat(F.lit("the "), part, F.lit(" of the "), obj, F.lit(" that can be held")),
         F.concat(part, F.lit(" of the "), obj), F.concat(F.lit("that can "), obj), None,
     )
-    direct, fixed1 = checks.repair_query(obj, part, F.col("q1"))
-    can, fixed2 = checks.repair_can_query(obj, part, F.col("aff"), F.col("q2"))
     rows = parts(spark, sf).select("*", affordance().alias("aff"), q1.alias("q1"), q2.alias("q2"))
-    return rows.select(
-        "p_partkey", direct.alias("query_direct"), can.alias("query_affordance"), fixed1.alias("repaired_q1"),
-        fixed2.alias("repaired_q2"),
+    return checks.with_queries(rows, "q1", "q2", affordance="aff").select(
+        "p_partkey", "query_direct", "query_affordance", "repaired_q1", "repaired_q2"
     )
 
 
@@ -187,8 +184,9 @@ def instruction_repair(spark: SparkSession, sf: str) -> DataFrame:
         choose(5, "", "use", " sit  on ", "light up", None).alias("action"),
     )
     rows = rows.withColumn("part", F.when(F.col("p_partkey") % 3 == 0, "on").otherwise(part))
-    got = checks.repair_instruction(obj, part, F.col("aff"), F.col("action"), F.col("raw"))
-    return rows.select("p_partkey", *[c.alias(n) for n, c in got.items()])
+    return checks.with_instruction(rows, "raw", affordance="aff").select(
+        "p_partkey", F.col("valid").alias("ok"), "instruction", "repaired", F.col("instruction_error").alias("error_msg")
+    )
 
 
 @query(

@@ -122,8 +122,8 @@ def test_count_error(spark, values, want):
 
 def test_parse_click_variants(spark):
     def read(text, pattern=answers.ANSWER_PATTERN):
-        got = answers.parse_click(lit(text), pattern)
-        return spark.range(1).select(*[c.alias(n) for n, c in got.items()]).first().asDict()
+        df = spark.createDataFrame([(text,)], "t string")
+        return answers.with_click(df, "t", pattern).drop("t").first().asDict()
 
     full = "<ref>lid</ref> Current IOU: 0.50, Positive point: (12, 30), Predicted next IOU: 0.75"
     assert read(full) == {
@@ -186,13 +186,15 @@ def test_fixed_tables_have_their_sizes():
     ],
 )
 def test_instruction_error(spark, part, text, action, want):
-    assert one(spark, checks.instruction_error(lit("toilet"), lit(part), lit(text), lit(action))) == want
+    keys = [names.word_key(lit(v)) for v in ("toilet", part, text, action)]
+    assert one(spark, checks.instruction_error(*keys)) == want
 
 
 def test_instruction_repair(spark):
     def fix(obj, part, aff, action, text):
-        got = checks.repair_instruction(*[F.lit(v).cast("string") for v in (obj, part, aff, action, text)])
-        return spark.range(1).select(*[c.alias(n) for n, c in got.items()]).first().asDict()
+        df = spark.createDataFrame([(obj, part, aff, action, text)], "object string, part string, affordance string, action string, t string")
+        row = checks.with_instruction(df, "t").first()
+        return {"ok": row["valid"], "instruction": row["instruction"], "repaired": row["repaired"], "error_msg": row["instruction_error"]}
 
     kept = fix("toilet", "lever", "Press", "flush", " Flush the  toilet. ")
     assert kept == {"ok": True, "instruction": "Flush the toilet", "repaired": False, "error_msg": None}
@@ -206,12 +208,16 @@ def test_instruction_repair(spark):
 
 
 def test_query_repair(spark):
-    q, fixed = checks.repair_query(lit("mug"), lit("handle"), lit("Handle of the Mug."))
-    assert one(spark, q) == "Handle of the Mug" and one(spark, fixed) is False
-    q, fixed = checks.repair_query(lit("mug"), lit("handle"), lit("mug handle"))
-    assert one(spark, q) == "handle of the mug" and one(spark, fixed) is True
-    q, _ = checks.repair_can_query(lit("cup"), lit("handle"), lit("Grasp"), lit("handle of the cup"))
-    assert one(spark, q) == "the handle of the cup that can be held"
+    def fix(q1, q2):
+        df = spark.createDataFrame([("mug", "handle", "Grasp", q1, q2)], "object string, part string, affordance string, a string, b string")
+        return tuple(checks.with_queries(df, "a", "b").first())[5:]
+
+    canonical = "the handle of the mug that can be held"
+    assert fix("Handle of the Mug.", "handle of the mug") == ("Handle of the Mug", canonical, False, True)
+    assert fix("mug handle", "A handle of a mug that can be held,") == (
+        "handle of the mug", "A handle of a mug that can be held", True, False
+    )
+    assert fix(None, None) == ("handle of the mug", canonical, True, True)
 
 
 @pytest.mark.parametrize(
