@@ -1,18 +1,25 @@
-"""Ordered per-key computations cut into blocks.
+"""Ordered per-key computations that survive a hot key.
 
-A plain window over a key sends the whole key to one task. Here each key is cut into
-blocks by a column that grows with the order (an hour, a line number range). The inner
-part runs per (key, block); one small summary row per block carries the state across
-block borders, and is joined back on (key, block). Keys and blocks must not be null.
+A plain window over a key sends the whole key to one task. That is the best plan for
+ordinary keys, so it is kept for them. Keys with more than ``HOT_ROWS`` rows are counted
+out first (``on_hot_keys``) and cut into blocks by a column that grows with the order (a
+stretch of time, a range of positions). The inner part then runs per (key, block); one
+small summary row per block carries the state across block borders, and is joined back on
+(key, block). Keys and blocks must not be null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcurate.session import materialise
+
+# Rows of one key that a single task sorts without trouble.
+HOT_ROWS = 1_000_000
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -34,15 +41,39 @@ def range_block(position: str, width: int = 4096) -> Column:
     return F.floor(F.col(position) / width).cast("bigint")
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, or None when there are none. At most one key per
+    ``rows`` rows qualifies; the list is written, so the planner knows its size."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    listed = materialise(counted.select(*keys), "hot-keys")
+    return None if listed.isEmpty() else listed
+
+
+def on_hot_keys(
+    df: DataFrame, keys: Sequence[str], block: str, fn: Callable[[DataFrame, str | None], DataFrame], rows: int = HOT_ROWS
+) -> DataFrame:
+    """Run ``fn(rows, None)``, whole keys at a time, on ordinary keys and ``fn(rows,
+    block)`` on hot ones."""
+    hot = hot_keys(df, keys, rows)
+    if hot is None:
+        return fn(df, None)
+    cold = fn(df.join(hot, list(keys), "left_anti"), None)
+    return cold.unionByName(fn(df.join(hot, list(keys), "left_semi"), block))
+
+
 def blocked_lag(
     df: DataFrame,
     keys: Sequence[str],
-    block: str,
+    block: str | None,
     order: Sequence[str],
     cols: Mapping[str, str],
 ) -> DataFrame:
     """Value of the previous row of the key; null on its first row.
-    ``cols`` maps each output name to its input column."""
+    ``cols`` maps each output name to its input column. Without a block the key is
+    taken whole."""
+    if block is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({o: F.lag(c).over(whole) for o, c in cols.items()})
     inner = Window.partitionBy(*keys, block).orderBy(*order)
     previous = Window.partitionBy(*keys).orderBy(block)
     local = df.withColumns({f"_in_{o}": F.lag(c).over(inner) for o, c in cols.items()})
@@ -66,16 +97,23 @@ def blocked_lag(
 def blocked_running(
     df: DataFrame,
     keys: Sequence[str],
-    block: str,
+    block: str | None,
     order: Sequence[str],
     cols: Mapping[str, tuple[str, str]],
     inclusive: bool = True,
 ) -> DataFrame:
     """Running ``sum``, ``max`` or ``min`` from the start of the key up to the row
     (or up to the row before it). ``cols`` maps output name to (function, column).
-    ``order`` must be a total order within the key."""
-    inner = Window.partitionBy(*keys, block).orderBy(*order)
+    ``order`` must be a total order within the key. Without a block the key is taken
+    whole."""
+    inner = Window.partitionBy(*keys, *([block] if block else [])).orderBy(*order)
     inner = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    if block is None:
+        made = {}
+        for o, (fn, c) in cols.items():
+            run = _AGG[fn](c).over(inner)
+            made[o] = F.coalesce(run, F.lit(0)) if fn == "sum" else run
+        return df.withColumns(made)
     before = (
         Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     )

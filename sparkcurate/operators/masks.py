@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.operators.blocks import blocked_lag, blocked_running, range_block
+from sparkcurate.operators.blocks import HOT_ROWS, blocked_lag, blocked_running, on_hot_keys, range_block
 
 BLOCK = 64
 
@@ -104,7 +104,9 @@ def overlap(pairs: DataFrame, bits: DataFrame, mask_id: str, a: str, b: str) ->
     )
 
 
-def crop(run_table: DataFrame, mask_id: str, h: int, box: Sequence[Column]) -> DataFrame:
+def crop(
+    run_table: DataFrame, mask_id: str, h: int, box: Sequence[Column], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Runs inside a crop box ``x1, y1, x2, y2``, renumbered in the crop; masks empty
     inside it disappear. Runs are split by column, clipped, and joined up again."""
     x1, y1, x2, y2 = box
@@ -123,9 +125,13 @@ def crop(run_table: DataFrame, mask_id: str, h: int, box: Sequence[Column]) -> D
         (r1 - r0 + 1).cast("bigint").alias("_n"),
     )
     kept = kept.withColumn("_next", F.col("_s") + F.col("_n")).withColumn("_block", range_block("_s"))
-    linked = blocked_lag(kept, [mask_id], "_block", ["_s"], {"_prev": "_next"})
-    fresh = (F.col("_prev").isNull() | (F.col("_prev") != F.col("_s"))).cast("bigint")
-    numbered = blocked_running(linked.withColumn("_f", fresh), [mask_id], "_block", ["_s"], {"_run": ("sum", "_f")})
+
+    def link(rows: DataFrame, cut: str | None) -> DataFrame:
+        linked = blocked_lag(rows, [mask_id], cut, ["_s"], {"_prev": "_next"})
+        fresh = (F.col("_prev").isNull() | (F.col("_prev") != F.col("_s"))).cast("bigint")
+        return blocked_running(linked.withColumn("_f", fresh), [mask_id], cut, ["_s"], {"_run": ("sum", "_f")})
+
+    numbered = on_hot_keys(kept, [mask_id], "_block", link, hot_rows)
     return numbered.groupBy(mask_id, "_run").agg(
         F.min("_s").alias("run_start"), F.sum("_n").alias("run_len")
     ).drop("_run")

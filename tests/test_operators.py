@@ -83,14 +83,15 @@ def test_paged_lists_keep_every_item(rows):
     assert whole == want
 
 
-@pytest.mark.parametrize("width", [1, 7, 10_000])
+@pytest.mark.parametrize("width", [None, 1, 7, 10_000])
 def test_blocks_equal_whole_windows(rows, width):
     data = hot_rows()
-    df = rows(SCHEMA, data).withColumn("b", range_block("i", width))
-    lag = {r["i"]: r["p"] for r in blocked_lag(df, ["k"], "b", ["i"], {"p": "v"}).collect()}
+    df = rows(SCHEMA, data).withColumn("b", range_block("i", width or 1))
+    b = "b" if width else None
+    lag = {r["i"]: r["p"] for r in blocked_lag(df, ["k"], b, ["i"], {"p": "v"}).collect()}
     cols = {"s": ("sum", "v"), "m": ("max", "x"), "n": ("min", "x")}
-    run = {r["i"]: r for r in blocked_running(df, ["k"], "b", ["i"], cols).collect()}
-    prior = {r["i"]: r["m"] for r in blocked_running(df, ["k"], "b", ["i"], {"m": ("max", "x")}, False).collect()}
+    run = {r["i"]: r for r in blocked_running(df, ["k"], b, ["i"], cols).collect()}
+    prior = {r["i"]: r["m"] for r in blocked_running(df, ["k"], b, ["i"], {"m": ("max", "x")}, False).collect()}
     for k in {d[0] for d in data}:
         before = []
         for _, i, v, x in sorted((d for d in data if d[0] == k), key=lambda d: d[1]):
@@ -102,6 +103,14 @@ def test_blocks_equal_whole_windows(rows, width):
             assert run[i]["n"] == min(b[1] for b in before)
 
 
+def test_hot_keys_are_counted_out(rows):
+    from sparkcurate.operators.blocks import hot_keys
+
+    df = rows(SCHEMA, hot_rows())
+    assert [r["k"] for r in hot_keys(df, ["k"], 100).collect()] == ["hot"]
+    assert hot_keys(df, ["k"], 1000) is None
+
+
 # -- sequences ---------------------------------------------------------------
 
 CASES = {
@@ -121,6 +130,10 @@ def steps(rows, width=2):
     return rows("k string, i long, iou double", data).withColumn("b", range_block("i", width))
 
 
+# keys of more rows than this are hot: none, some, all
+HEAT = [10**6, 3, 0]
+
+
 def kept(df):
     out = defaultdict(list)
     for r in df.orderBy("k", "i").collect():
@@ -128,9 +141,10 @@ def kept(df):
     return dict(out)
 
 
-@pytest.mark.parametrize("width", [1, 2, 100])
-def test_monotone_prefix(rows, width):
-    got = kept(sequence.monotone_prefix(steps(rows, width), ["k"], "b", ["i"], "iou"))
+@pytest.mark.parametrize("heat", HEAT)
+@pytest.mark.parametrize("width", [1, 2])
+def test_monotone_prefix(rows, width, heat):
+    got = kept(sequence.monotone_prefix(steps(rows, width), ["k"], "b", ["i"], "iou", hot_rows=heat))
     for name, values in CASES.items():
         want = [values[0]]
         for a, b in zip(values, values[1:]):
@@ -140,9 +154,10 @@ def test_monotone_prefix(rows, width):
         assert got[name] == want, name
 
 
-@pytest.mark.parametrize("width", [1, 2, 100])
-def test_peak_trim(rows, width):
-    got = kept(sequence.peak_trim(steps(rows, width), ["k"], "b", ["i"], "iou"))
+@pytest.mark.parametrize("heat", HEAT)
+@pytest.mark.parametrize("width", [1, 2])
+def test_peak_trim(rows, width, heat):
+    got = kept(sequence.peak_trim(steps(rows, width), ["k"], "b", ["i"], "iou", hot_rows=heat))
     for name, values in CASES.items():
         run = []
         for v in values:
@@ -155,7 +170,8 @@ def test_peak_trim(rows, width):
         assert got[name] == run, name
 
 
-def test_stuck_prefix(rows):
+@pytest.mark.parametrize("heat", HEAT)
+def test_stuck_prefix(rows, heat):
     clicks = {
         "a": [(0, 0, True), (3, 0, True), (4, 1, True), (50, 50, True)],
         "b": [(0, 0, True), (1, 1, False), (1, 1, True), (9, 9, True)],
@@ -163,31 +179,36 @@ def test_stuck_prefix(rows):
     }
     data = [(k, i, x, y, p) for k, cs in clicks.items() for i, (x, y, p) in enumerate(cs)]
     df = rows("k string, i long, x int, y int, is_positive boolean", data).withColumn("b", range_block("i", 2))
-    got = Counter(r["k"] for r in sequence.stuck_prefix(df, ["k"], "b", ["i"]).collect())
+    got = Counter(r["k"] for r in sequence.stuck_prefix(df, ["k"], "b", ["i"], hot_rows=heat).collect())
     assert got == {"a": 2, "b": 4, "c": 1}
 
 
-def test_islands_and_step_zero(rows):
+@pytest.mark.parametrize("heat", HEAT)
+def test_islands_and_step_zero(rows, heat):
     marks = {"u": [0, 0, 1, 0, 1, 1], "w": [1, 0, 0], "z": [0]}
     data = [(k, i, m) for k, ms in marks.items() for i, m in enumerate(ms)]
     df = rows("k string, i long, m int", data).withColumn("b", range_block("i", 2))
-    got = sequence.islands(df, ["k"], "b", ["i"], F.col("m") == 1).collect()
+    got = sequence.islands(df, ["k"], "b", ["i"], F.col("m") == 1, hot_rows=heat).collect()
     numbers = {(r["k"], r["i"]): r["traj"] for r in got}
     assert [numbers["u", i] for i in range(6)] == [0, 0, 1, 1, 2, 3]
     assert [numbers["w", i] for i in range(3)] == [0, 0, 0]  # dense from 0 (D10)
     assert numbers["z", 0] == 0
+    late = sequence.runs_by_start(df, ["k"], "b", ["i"], F.col("m") == 1, F.col("i").isin(2, 5), hot_rows=heat).collect()
+    assert {(r["k"], r["i"], r["traj"]) for r in late} == {("u", 2, 1), ("u", 3, 1), ("u", 5, 3)}
 
 
-def test_previous_value_starts_at_zero(rows):
-    df = sequence.previous_value(steps(rows), ["k"], "b", ["i"], "iou", "now")
+@pytest.mark.parametrize("heat", HEAT)
+def test_previous_value_starts_at_zero(rows, heat):
+    df = sequence.previous_value(steps(rows), ["k"], "b", ["i"], "iou", "now", hot_rows=heat)
     got = {(r["k"], r["i"]): r["now"] for r in df.collect()}
     for name, values in CASES.items():
         assert [got[name, i] for i in range(len(values))] == [0.0, *values[:-1]]
 
 
-def test_accumulated_keeps_rows_beyond_one_loop(rows):
+@pytest.mark.parametrize("heat", [10**6, 0])
+def test_accumulated_keeps_rows_beyond_one_loop(rows, heat):
     df = rows("k string, i long", [("a", i) for i in range(23)]).withColumn("b", range_block("i", 4))
-    got = sequence.accumulated(df, ["k"], "b", ["i"], F.col("i"), 10, "l").collect()
+    got = sequence.accumulated(df, ["k"], "b", ["i"], F.col("i"), 10, "l", hot_rows=heat).collect()
     assert {r["i"]: r["l"] for r in got} == {i: list(range(i // 10 * 10, i + 1)) for i in range(23)}
 
 
@@ -205,11 +226,12 @@ def test_summary_takes_the_first_maximum(rows):
     assert tie.first()["best_step"] == 0
 
 
-def test_overlay_plan_uses_the_step_before(rows):
+@pytest.mark.parametrize("heat", [10**6, 0])
+def test_overlay_plan_uses_the_step_before(rows, heat):
     df = steps(rows).filter("k = 'rising'")
     name = F.format_string("%s__step%d", "k", "step")
     have = rows("name string", [("rising__step2",)])
-    got = sequence.overlay_plan(df, ["k"], "b", ["i"], "i", name, have).select("step", "mask_of", "name").collect()
+    got = sequence.overlay_plan(df, ["k"], "b", ["i"], "i", name, have, hot_rows=heat).select("step", "mask_of", "name").collect()
     assert [tuple(r) for r in got] == [(1, 0, "rising__step1")]
 
 
@@ -691,11 +713,12 @@ def test_bitmaps_of_long_runs(spark):
     assert r["union_px"] == sum(x | y for x, y in zip(data["a"], data["b"]))
 
 
+@pytest.mark.parametrize("heat", [10**6, 2])
 @pytest.mark.parametrize("box", [(0, 0, 5, 4), (1, 1, 4, 3), (2, 0, 5, 4), (0, 3, 5, 4), (1, 0, 2, 1)])
-def test_mask_crop(spark, box):
+def test_mask_crop(spark, box, heat):
     x1, y1, x2, y2 = box
     got = defaultdict(list)
-    for r in masks.crop(mask_runs(spark), "id", H, [F.lit(v) for v in box]).collect():
+    for r in masks.crop(mask_runs(spark), "id", H, [F.lit(v) for v in box], hot_rows=heat).collect():
         got[r["id"]].append((r["run_start"], r["run_len"]))
     want = {}
     for k, px in GRIDS.items():
