@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcurate.operators.blocks import HOT_ROWS, on_hot_keys
 from sparkcurate.session import materialise
 
 # Above this literal, Spark no longer trims groups before the shuffle
@@ -33,14 +34,29 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def rank_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "rank", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """1-based rank of every row within its key, for groups of any size.
+    """1-based rank of every row within its key, for groups of any size. ``order`` must
+    be a total order; keys must not be null. Without keys all rows are one group.
 
-    Rows are range-partitioned on the whole ``(keys, order)`` tuple, so a hot key is
+    Ordinary keys take one window. Keys of more than ``hot_rows`` rows are ranked over
+    range partitions, see ``_rank_by_range``."""
+    if not keys:
+        return _rank_by_range(df, keys, order, out)
+
+    def rank(rows: DataFrame, cut: str | None) -> DataFrame:
+        if cut is not None:
+            return _rank_by_range(rows, keys, order, out)
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn(out, place.cast("bigint"))
+
+    return on_hot_keys(df, keys, "range", rank, hot_rows)
+
+
+def _rank_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Rows are range-partitioned on the whole ``(keys, order)`` tuple, so a hot key is
     spread over as many partitions as it needs; only one small row per (key, partition)
-    is then ranked. ``order`` must be a total order. Keys must not be null.
-    """
+    is then ranked."""
     sort = [F.col(k).asc() for k in keys] + list(order)
     cut = materialise(
         df.repartitionByRange(*sort)
@@ -62,11 +78,8 @@ def rank_rows(
     # Written out, so the planner broadcasts it only when it really is small, and then
     # the ranked rows are not shuffled a second time.
     offsets = materialise(offsets, "rank-offsets")
-    return (
-        cut.join(offsets, [*keys, "_seg"])
-        .withColumn(out, F.col("_pos") - F.col("_first") + F.col("_before") + 1)
-        .drop("_seg", "_pos", "_first", "_before")
-    )
+    place = F.col("_pos") - F.col("_first") + F.col("_before") + 1
+    return cut.join(offsets, [*keys, "_seg"]).select(*df.columns, place.alias(out))
 
 
 def paged_lists(
@@ -76,10 +89,11 @@ def paged_lists(
     item: Column,
     page_size: int = 1000,
     out: str = "items",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Ordered list per key, cut into pages of at most ``page_size`` items, so no row
     grows with its group. Ordinary groups have the single page 0."""
-    ranked = rank_rows(df, keys, order, "_r").withColumn("_item", item)
+    ranked = rank_rows(df, keys, order, "_r", hot_rows).withColumn("_item", item)
     return (
         ranked.withColumn("page", F.floor((F.col("_r") - 1) / page_size).cast("bigint"))
         .groupBy(*keys, "page")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkcurate.functions import templates
 from sparkcurate.functions.names import clean
 from sparkcurate.operators.ranking import first_per_key, paged_lists, rank_rows, top_per_key
+from sparkcurate.session import materialise
 
 
 ALL = "\x00all"  # no object is named so
@@ -72,7 +73,8 @@ def distinct_lists(
 ) -> DataFrame:
     """Sorted distinct values per key in pages of bounded size. Repeats are merged
     map-side, and no list has to fit a single row."""
-    return paged_lists(df.select(*keys, value).distinct(), keys, [F.col(value).asc()], F.col(value), page_size, out)
+    values = materialise(df.select(*keys, value).distinct(), "distinct")  # counted, then ranked
+    return paged_lists(values, keys, [F.col(value).asc()], F.col(value), page_size, out)
 
 
 def nested_regroup(

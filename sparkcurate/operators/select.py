@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.functions import scoring
+from sparkcurate.operators.blocks import HOT_ROWS
 from sparkcurate.operators.ranking import first_per_key, rank_rows
 from sparkcurate.session import materialise
 
@@ -65,16 +66,18 @@ def best_first(order: Sequence[str]) -> list[Column]:
     return [F.col(c).desc() for c in down] + [F.col("clutter").asc()] + [F.col(c).asc() for c in order]
 
 
-def rebalance(passed: DataFrame, caps: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Keep the best ``cap`` rows of each class. Caps grow with the class, so the rank
-    is taken over range partitions: no class is ever sorted in a single task."""
-    ranked = rank_rows(passed, ["target_object"], best_first(order), "class_rank")
+def rebalance(passed: DataFrame, caps: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keep the best ``cap`` rows of each class. Caps grow with the class, so a large
+    class is ranked over range partitions, never sorted in a single task."""
+    ranked = rank_rows(passed, ["target_object"], best_first(order), "class_rank", hot_rows)
     return ranked.join(caps.select("target_object", "n_passed", "cap"), "target_object").filter(
         F.col("class_rank") <= F.col("cap")
     )
 
 
-def adaptive_selection(candidates: DataFrame, order: Sequence[str], **cap_args) -> dict[str, DataFrame]:
+def adaptive_selection(
+    candidates: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS, **cap_args
+) -> dict[str, DataFrame]:
     """The whole selection. The scored candidates are written once and read by each of
     the three passes (count, judge, rank) instead of redoing the join above them."""
     scored = materialise(score(candidates), "scored")
@@ -82,7 +85,7 @@ def adaptive_selection(candidates: DataFrame, order: Sequence[str], **cap_args)
     judged = judge(scored, cuts)
     passed = judged.filter("reason = 'pass'")
     caps = class_caps(passed, order, **cap_args)
-    return {"scored": scored, "cuts": cuts, "judged": judged, "caps": caps, "kept": rebalance(passed, caps, order)}
+    return {"scored": scored, "cuts": cuts, "judged": judged, "caps": caps, "kept": rebalance(passed, caps, order, hot_rows)}
 
 
 def object_summary(parts: Mapping[str, DataFrame]) -> DataFrame:

@@ -33,10 +33,11 @@ SCHEMA = "k string, i long, v int, x double"
 # -- ranking and blocks ------------------------------------------------------
 
 
+@pytest.mark.parametrize("heat", [10**6, 100, 0])
 @pytest.mark.parametrize("parts", [1, 7])
-def test_rank_rows(rows, parts):
+def test_rank_rows(rows, parts, heat):
     data = hot_rows()
-    got = ranking.rank_rows(rows(SCHEMA, data, parts), ["k"], [F.col("v").desc(), F.col("i")], "r").collect()
+    got = ranking.rank_rows(rows(SCHEMA, data, parts), ["k"], [F.col("v").desc(), F.col("i")], "r", heat).collect()
     want = {}
     for k in {d[0] for d in data}:
         for r, d in enumerate(sorted((d for d in data if d[0] == k), key=lambda d: (-d[2], d[1])), 1):
@@ -50,7 +51,7 @@ def test_rank_rows_spreads_a_hot_key(rows):
     df = rows(SCHEMA, hot_rows(6000), 8)
     cut = materialise(df.repartitionByRange("k", "i").withColumn("p", F.spark_partition_id()))
     assert cut.filter("k = 'hot'").select("p").distinct().count() > 1
-    got = ranking.rank_rows(df, ["k"], [F.col("i")], "r").filter("k = 'hot'")
+    got = ranking.rank_rows(df, ["k"], [F.col("i")], "r", 1000).filter("k = 'hot'")
     assert got.agg(F.max("r"), F.countDistinct("r"), F.count("*")).first() == (2000, 2000, 2000)
 
 
@@ -70,9 +71,10 @@ def test_top_per_key_trims_before_the_shuffle(rows):
         ranking.top_per_key(df, ["k"], [F.col("x")], 5000)
 
 
-def test_paged_lists_keep_every_item(rows):
+@pytest.mark.parametrize("heat", [10**6, 100])
+def test_paged_lists_keep_every_item(rows, heat):
     data = hot_rows()
-    pages = ranking.paged_lists(rows(SCHEMA, data), ["k"], [F.col("i")], F.col("i"), page_size=50).collect()
+    pages = ranking.paged_lists(rows(SCHEMA, data), ["k"], [F.col("i")], F.col("i"), page_size=50, hot_rows=heat).collect()
     assert max(len(p["items"]) for p in pages) == 50
     whole = defaultdict(list)
     for p in sorted(pages, key=lambda p: (p["k"], p["page"])):
@@ -505,12 +507,13 @@ def candidate(name, i, **over):
     return {**row, **over}
 
 
-def test_adaptive_selection_invariants(spark):
+@pytest.mark.parametrize("heat", [10**6, 100])
+def test_adaptive_selection_invariants(spark, heat):
     data = [candidate("cup", i, parts_visibility=i % 4, affordance="wear") for i in range(300)]
     data += [candidate("pot", i, clutter=i % 3) for i in range(300, 340)]
     data += [candidate("jar", 400, image_quality=3, affordance_quality=3)]
     df = spark.createDataFrame(data).repartition(6)
-    got = select.adaptive_selection(df, ["i"], keep_all=20, hard_caps={"pot": 25})
+    got = select.adaptive_selection(df, ["i"], heat, keep_all=20, hard_caps={"pot": 25})
     caps = {r["target_object"]: r for r in got["caps"].collect()}
     kept = got["kept"].collect()
     counts = Counter(r["target_object"] for r in kept)
