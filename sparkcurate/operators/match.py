@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkcurate.functions import names, paths
 from sparkcurate.functions.templates import BAD_TRIPLES, lookup
 from sparkcurate.operators.ranking import first_per_key, rank_rows
+from sparkcurate.session import materialise
 
 
 # -- keyed lookups -----------------------------------------------------------
@@ -218,7 +219,8 @@ def kth_match(requests: DataFrame, boxes: DataFrame, order: Sequence[Column]) ->
     loose = contains_pairs(wanted.join(exact, "left", "left_anti"), categories)
     needed = asked.select("image", "left").distinct().join(exact.unionByName(loose), "left")
     hits = boxes.withColumn("right", F.lower("category")).join(needed, ["image", "right"]).drop("right")
-    ranked = rank_rows(hits, ["image", "left"], order, "_r")
+    # joined once, then counted and ranked
+    ranked = rank_rows(materialise(hits, "hits"), ["image", "left"], order, "_r")
     ranked = ranked.withColumn("k", F.col("_r") - 1).drop("_r")
     return asked.join(ranked, ["image", "left", "k"], "left").drop("left")
 

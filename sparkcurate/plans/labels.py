@@ -9,6 +9,7 @@ from sparkcurate.functions import geometry, names, paths
 from sparkcurate.operators import match, metrics, regroup
 from sparkcurate.operators.ranking import rank_rows, top_per_key
 from sparkcurate.plans.registry import query, table
+from sparkcurate.session import materialise
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 ROW_SQL = ", ".join(ROW)
@@ -272,7 +273,8 @@ def nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("image"), F.col("p_type").alias("category"), F.struct(*ROW[1:]).alias("ord")
     )
     boxes = rank_rows(rows, ["image", "category"], [F.col("ord")], "_r")
-    boxes = boxes.withColumn("cat_index", F.col("_r") - 1).drop("_r")
+    # the box index is a stage of its own: built and written once, then looked up
+    boxes = materialise(boxes.withColumn("cat_index", F.col("_r") - 1).drop("_r"), "box-index")
     return match.nearest_rank(requests(spark, sf, TYPE_WORDS), boxes).select("image", "name", "k", "category", "cat_index")
 
 
