@@ -267,17 +267,22 @@ def text_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, size: str | None = None) -> DataFrame:
     """``docs`` with every repeated string cut out of ``text``; texts that lose all their
     bytes leave their row. A null text stays null. Where a cut splits a character, its
     remaining bytes go as well, so that the text stays valid. Repeated rows are copies:
-    both lose their strings. Other columns keep their names and values."""
+    both lose their strings. ``size`` names a column of character counts to renew where a text
+    has changed. Other columns keep their names and values."""
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_id(F.col(f"`{text}`")).alias("tid"))
     found = materialise(repeats(docs.select(F.col(f"`{text}`").alias("text")), "text", length).select("tid", "clean"), "kept")
     out = rows.join(found, "tid", "left")
     clean = F.coalesce("clean", f"row.`{text}`")
-    return out.select(*[(clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in names])
+    new = {text: clean}
+    if size in names:
+        kind = docs.schema[size].dataType
+        new[size] = F.when(F.col("clean").isNotNull(), F.length("clean").cast(kind)).otherwise(F.col(f"row.`{size}`"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
