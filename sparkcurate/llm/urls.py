@@ -86,8 +86,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = materialise(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
     suffixes = domains.groupBy("suffix").agg(*sums)
+    # One clean page beside the corpus: without labels nothing is blocked.
     n, bad = domains.agg(F.sum("n"), F.sum("bad")).first()
-    suffixes = materialise(_shrunk(suffixes, ((bad or 0.0) + 0.5) / ((n or 0.0) + 1), []), "suffixes")
+    suffixes = materialise(_shrunk(suffixes, (bad or 0.0) / ((n or 0.0) + 1), []), "suffixes")
     domains = materialise(_shrunk(domains, suffixes, ["suffix"]), "domains")
     out = _shrunk(hosts, domains, ["domain", "suffix"])
     total = F.col("a") + F.col("b")
