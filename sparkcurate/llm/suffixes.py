@@ -113,7 +113,7 @@ class Bucket:
             chosen = sliding(padded, w, np.maximum)[: len(rank)] == rank
             chosen[:lead] = False
             chosen[lead + SLICE :] = False
-            found.append(rank[chosen])
+            found.append(spread(rank[chosen]))
         return counted(found)
 
     def survivors(self, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ class Bucket:
             if not len(own):
                 continue
             turns = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            keep = held(own[turns], alive) & (own[turns] != 0)
+            keep = held(spread(own[turns]), alive) & (own[turns] != 0)
             here = np.flatnonzero(np.repeat(keep, np.diff(np.append(turns, len(own))))) + lead
             places.append(here + first)
             names.append(pair_rank(rank[here], rank[here + self.width - 1]) if self.width > 1 else rank[here])
@@ -147,6 +147,12 @@ def held(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
+def spread(samples: np.ndarray) -> np.ndarray:
+    """Samples are minima and crowd the low end of the range; an odd factor deals them out
+    and keeps different ones different."""
+    return samples * M1
+
+
 def part_of(names: np.ndarray, parts: int) -> np.ndarray:
     """Slice of the rank's range; grows with the rank."""
     return ((names >> S32) * np.uint64(parts)) >> S32
