@@ -136,7 +136,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     ancestors = F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("ancestor")))).alias("a")
     near = needy.select("dir", ancestors).select("dir", "a.depth", "a.ancestor").join(licensed, "ancestor")
     near = near.groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "from_dir")).alias("n")).select("dir", F.col("n.ancestor").alias("inherited_from"), "n.from_dir")
-    out = rows.join(near, "dir", "left")
+    out = rows.join(materialise(near, "near"), "dir", "left")
     taken = F.col("licence").isNull()
     return out.select(
         F.col("key").alias(key),
