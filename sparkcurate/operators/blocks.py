@@ -41,6 +41,13 @@ def range_block(position: str, width: int = 4096) -> Column:
     return F.floor(F.col(position) / width).cast("bigint")
 
 
+def meet(rows: DataFrame, side: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``cols``, where null meets null."""
+    right = side.withColumnsRenamed({c: f"_on_{c}" for c in cols})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in cols]
+    return rows.join(right, same, how).drop(*[f"_on_{c}" for c in cols])
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more than ``rows`` rows, or None when there are none. At most one key per
     ``rows`` rows qualifies; the list is written, so the planner knows its size."""
@@ -57,8 +64,8 @@ def on_hot_keys(
     hot = hot_keys(df, keys, rows)
     if hot is None:
         return fn(df, None)
-    cold = fn(df.join(hot, list(keys), "left_anti"), None)
-    return cold.unionByName(fn(df.join(hot, list(keys), "left_semi"), block))
+    cold = fn(meet(df, hot, keys, "left_anti"), None)
+    return cold.unionByName(fn(meet(df, hot, keys, "left_semi"), block))
 
 
 def blocked_lag(
@@ -83,7 +90,7 @@ def blocked_lag(
     )
     carry = tails.withColumn("_tail", F.lag("_tail").over(previous))
     return (
-        local.join(carry, [*keys, block])
+        meet(local, carry, [*keys, block])
         .withColumns(
             {
                 o: F.when(F.col("_head"), F.col("_tail")[c]).otherwise(F.col(f"_in_{o}"))
@@ -131,4 +138,4 @@ def blocked_running(
             here = F.coalesce(here, F.lit(0))
         merged[o] = _merge(fn, here, F.col(f"_c_{o}"))
     drop = [f"_{p}_{o}" for o in cols for p in ("in", "c")]
-    return local.join(carry, [*keys, block]).withColumns(merged).drop(*drop)
+    return meet(local, carry, [*keys, block]).withColumns(merged).drop(*drop)

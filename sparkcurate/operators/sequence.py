@@ -140,15 +140,16 @@ def peak_trim(
 
 
 def accumulated(
-    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], item: Column, max_steps: int, out: str,
+    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], item: Column, out: str, max_steps: int = 20,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Items of all steps of a run up to the current one. A click loop makes at most
-    ``max_steps`` steps; what follows them belongs to the next ``run``. So every row
-    stays, and no list grows beyond the length of a loop."""
+    """Items of all steps up to the current one, in pages of ``max_steps`` (by default the
+    longest click loop, so a loop is one page). The whole prefix of a row is its own list
+    after the last lists of the earlier pages of its key. Every row stays, and no list grows
+    without bound."""
     steps = step_numbers(df, keys, block, order, "_step", hot_rows)
-    steps = steps.withColumn("run", F.floor(F.col("_step") / max_steps).cast("bigint"))
-    w = Window.partitionBy(*keys, "run").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("page", F.floor(F.col("_step") / max_steps).cast("bigint"))
+    w = Window.partitionBy(*keys, "page").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
     return steps.withColumn(out, F.collect_list(item).over(w)).drop("_step")
 
 

@@ -334,7 +334,8 @@ def flat_or_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # As a pattern the path may be one file or a folder of parts; a plain one must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
 
 
 @query(
@@ -359,6 +360,5 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_dedupe", f"SELECT DISTINCT {UID_SQL} AS uid FROM events")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     sink, state = new_path(spark, "dedupe"), new_path(spark, "dedupe-state")
-    stream = with_uid(event_stream(spark, sf)).select("uid", F.col("ts").cast("timestamp").alias("ts"))
-    streams.write_append(streams.drop_repeats(stream, "uid", "ts", "60 days").select("uid"), sink, state)
+    streams.ingest(event_stream(spark, sf), sink, state, "uid", ["uid"], lambda batch: with_uid(batch).select("uid"))
     return spark.read.parquet(sink)

@@ -120,14 +120,14 @@ def peak_trim(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "running_list",
-    f"""WITH {S} SELECT event_id, step // 8 AS run, string_agg(x || ':' || y || CASE WHEN is_positive THEN '+' ELSE '-' END, ' ')
-      OVER (PARTITION BY user_id, week, step // 8 ORDER BY step) AS clicks FROM s""",
+    f"""WITH {S} SELECT event_id, step // 20 AS page, string_agg(x || ':' || y || CASE WHEN is_positive THEN '+' ELSE '-' END, ' ')
+      OVER (PARTITION BY user_id, week, step // 20 ORDER BY step) AS clicks FROM s""",
 )
 def running_list(spark: SparkSession, sf: str) -> DataFrame:
     sign = F.when(F.col("is_positive"), "+").otherwise("-")
     click = F.concat(F.col("x").cast("string"), F.lit(":"), F.col("y").cast("string"), sign)
-    rows = sequence.accumulated(steps(spark, sf), KEYS, "block", ORDER, click, 8, "clicks")
-    return rows.select("event_id", "run", F.array_join("clicks", " ").alias("clicks"))
+    rows = sequence.accumulated(steps(spark, sf), KEYS, "block", ORDER, click, "clicks")
+    return rows.select("event_id", "page", F.array_join("clicks", " ").alias("clicks"))
 
 
 @query(

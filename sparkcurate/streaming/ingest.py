@@ -61,8 +61,10 @@ def ingest(
 
 
 def drop_repeats(stream: DataFrame, uid: str, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """First arrival of each id. With an event time, state is dropped once the watermark
-    has passed; without one the state grows with the number of ids, so prefer ``ingest``."""
+    """First arrival of each id. Without an event time nothing is lost and the state grows with
+    the number of ids; ``ingest`` does the same against its sink. With an event time the state
+    is bounded, and rows that arrive more than ``delay`` late are dropped: for streams whose
+    delay is known only."""
     if event_time is None:
         return stream.dropDuplicates([uid])
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([uid])
