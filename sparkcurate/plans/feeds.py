@@ -16,8 +16,10 @@ ROW_SQL = ", ".join(ROW)
 
 
 def left_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("lang <> 'de'").select(
-        "doc_id", F.col("source").alias("object"), F.col("lang").alias("part"), F.lit("Open").alias("affordance"),
+    # German documents have keys that no label has
+    own = F.when(F.col("lang") == "de", -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    return table(spark, sf, "documents").select(
+        own.alias("doc_id"), F.col("source").alias("object"), F.col("lang").alias("part"), F.lit("Open").alias("affordance"),
         F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("q "), "lang")).alias("query"),
     )
 
@@ -32,8 +34,8 @@ def right_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "outer_merge",
-    """WITH l AS (SELECT doc_id, source AS object, lang AS part, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'q ' || lang END AS query
-        FROM documents WHERE lang <> 'de'),
+    """WITH l AS (SELECT CASE WHEN lang = 'de' THEN -1 - doc_id ELSE doc_id END AS doc_id, source AS object, lang AS part,
+        CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'q ' || lang END AS query FROM documents),
     r AS (SELECT doc_id, 'label' || quality AS object, 'tox' || toxic AS part, 'do ' || doc_id AS task FROM labels)
     SELECT coalesce(l.doc_id, r.doc_id) AS doc_id,
       CASE WHEN l.doc_id IS NULL THEN 'no_left' WHEN r.doc_id IS NULL THEN 'no_right' ELSE 'both' END AS status,
@@ -57,7 +59,7 @@ def outer_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "key_union",
-    """SELECT doc_id FROM documents WHERE lang <> 'de' UNION SELECT doc_id FROM labels""",
+    """SELECT CASE WHEN lang = 'de' THEN -1 - doc_id ELSE doc_id END AS doc_id FROM documents UNION SELECT doc_id FROM labels""",
 )
 def key_union(spark: SparkSession, sf: str) -> DataFrame:
     return left_feed(spark, sf).select("doc_id").union(right_feed(spark, sf).select("doc_id")).distinct()
@@ -81,7 +83,7 @@ def union_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """WITH items AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN 'manual' ELSE 'merged.jsonl:' || doc_id || ':a0:p1' END AS src FROM documents),
     p AS (SELECT *, TRY_CAST(nullif(regexp_extract(src, ':(\\d+):a\\d+:p\\d+$', 1), '') AS BIGINT) AS line FROM items),
     a AS (SELECT doc_id AS line, quality + 1 AS bucket FROM labels),
-    b AS (SELECT lang, source, min(n_chars % 5 + 1) AS bucket FROM documents WHERE lang <> 'de' GROUP BY 1, 2)
+    b AS (SELECT CASE WHEN lang = 'de' THEN 'old de' ELSE lang END AS lang, source, min(n_chars % 5 + 1) AS bucket FROM documents GROUP BY 1, 2)
     SELECT doc_id, line, coalesce(a.bucket, b.bucket) AS bucket,
       CASE WHEN a.bucket IS NOT NULL THEN 'line' WHEN b.bucket IS NOT NULL THEN 'pair' ELSE 'unmatched' END AS matched_by
     FROM p LEFT JOIN a USING (line) LEFT JOIN b USING (lang, source)""",
@@ -93,7 +95,7 @@ def two_tier_lookup(spark: SparkSession, sf: str) -> DataFrame:
     )
     items = docs.select("doc_id", "lang", "source", source_line(source).alias("line"))
     by_line = table(spark, sf, "labels").select(F.col("doc_id").alias("line"), (F.col("quality") + 1).cast("bigint").alias("bucket"))
-    by_pair = docs.filter("lang <> 'de'").groupBy("lang", "source").agg(F.min(F.col("n_chars") % 5 + 1).alias("bucket"))
+    by_pair = docs.withColumn("lang", F.when(F.col("lang") == "de", "old de").otherwise(F.col("lang"))).groupBy("lang", "source").agg(F.min(F.col("n_chars") % 5 + 1).alias("bucket"))
     return match.two_tier_lookup(items, by_line, by_pair, "line", ["lang", "source"], "bucket").select(
         "doc_id", "line", "bucket", "matched_by"
     )

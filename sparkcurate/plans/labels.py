@@ -89,7 +89,7 @@ def topk_area(spark: SparkSession, sf: str) -> DataFrame:
     "label_block",
     f"""WITH t AS (SELECT l_orderkey, l_returnflag || l_linestatus AS name,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, {ROW_SQL}) AS rk FROM lineitem),
-    e AS (SELECT l_orderkey, name, count(*) AS n, min(rk) AS first FROM t WHERE rk <= 4 GROUP BY 1, 2),
+    e AS (SELECT l_orderkey, name, count(*) AS n, min(rk) AS first FROM t WHERE rk <= 12 GROUP BY 1, 2),
     b AS (SELECT l_orderkey, string_agg(name, chr(10) ORDER BY first) AS label_names,
         string_agg(name || ': ' || n, chr(10) ORDER BY n DESC, first) AS label_counts FROM e GROUP BY 1),
     c AS (SELECT l_orderkey, count(*) AS n FROM t GROUP BY 1)
@@ -101,7 +101,7 @@ def label_block(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat("l_returnflag", "l_linestatus")
     labels = table(spark, sf, "lineitem").select(*ROW, F.col("l_orderkey").alias("image"), name.alias("name"))
     images = table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))
-    return regroup.label_block(images, labels, "l_quantity", ROW, k=4)
+    return regroup.label_block(images, labels, "l_quantity", ROW)
 
 
 def centre_box() -> list[Column]:
@@ -176,8 +176,8 @@ def vocab_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "manifest_enrich",
-    f"""WITH b AS ({CENTRE}), m AS (SELECT o_orderkey, 500 + o_custkey % 141 AS w, 400 + o_custkey % 87 AS h
-        FROM orders WHERE o_orderstatus <> 'P'),
+    f"""WITH b AS ({CENTRE}), m AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey,
+        500 + o_custkey % 141 AS w, 400 + o_custkey % 87 AS h FROM orders),
     x AS (SELECT b.*, w, h, greatest(0, least((cx - bw / 2) * w, w)) AS x1, greatest(0, least((cy - bh / 2) * h, h)) AS y1,
         greatest(0, least((cx + bw / 2) * w, w)) AS x2, greatest(0, least((cy + bh / 2) * h, h)) AS y2
       FROM b LEFT JOIN m ON l_orderkey = o_orderkey)
@@ -188,8 +188,10 @@ def vocab_semi(spark: SparkSession, sf: str) -> DataFrame:
 )
 def manifest_enrich(spark: SparkSession, sf: str) -> DataFrame:
     cust = F.col("o_custkey")
-    manifest = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
-        F.col("o_orderkey").alias("l_orderkey"), (500 + cust % 141).alias("image_width"), (400 + cust % 87).alias("image_height")
+    # pending orders have keys that no line has
+    order = F.when(F.col("o_orderstatus") == "P", -1 - F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    manifest = table(spark, sf, "orders").select(
+        order.alias("l_orderkey"), (500 + cust % 141).alias("image_width"), (400 + cust % 87).alias("image_height")
     )
     rows = match.lookup_join(lines(spark, sf, "l_returnflag"), manifest, ["l_orderkey"])
     cx, cy, bw, bh = centre_box()
@@ -314,11 +316,11 @@ def bbox_convert(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "bbox_union",
     f"""WITH p AS ({PIXEL}) SELECT l_orderkey, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2
-    FROM p WHERE l_returnflag <> 'N' GROUP BY 1""",
+    FROM p GROUP BY 1""",
 )
 def bbox_union(spark: SparkSession, sf: str) -> DataFrame:
     box = [c.alias(n) for c, n in zip(pixel_box(), ("x1", "y1", "x2", "y2"))]
-    rows = table(spark, sf, "lineitem").filter("l_returnflag <> 'N'").select("l_orderkey", *box)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", *box)
     return metrics.bbox_union(rows, ["l_orderkey"], ["x1", "y1", "x2", "y2"])
 
 

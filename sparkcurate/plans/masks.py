@@ -9,15 +9,13 @@ from sparkcurate.operators import masks, match
 from sparkcurate.plans.registry import query, table
 
 H = 8
-PIXELS = """px AS (SELECT vec_id, i, embedding[i + 1] > 0 AND label NOT IN (0, 3) AS lit
+PIXELS = """px AS (SELECT vec_id, i, embedding[i + 1] > 0 AS lit
   FROM embeddings, (SELECT unnest(range(64)) AS i))"""
 RUNS = f"""{PIXELS}, g AS (SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS grp FROM px WHERE lit)"""
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    blank = F.col("label").isin(0, 3)  # empty masks
-    lit = F.transform("embedding", lambda v: (v > 0) & ~blank)
-    return masks.runs(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "vec_id", lit)
+    return masks.runs(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", F.transform("embedding", lambda v: v > 0))
 
 
 @query("mask_runs", f"WITH {RUNS} SELECT vec_id, min(i) AS run_start, count(*) AS run_len FROM g GROUP BY vec_id, grp")
@@ -117,12 +115,14 @@ def mask_unify(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "size_check",
     """SELECT vec_id, CASE WHEN doc_id IS NULL THEN 'no_image' WHEN n_chars % 3 <> 0 AND n_chars % 5 <> 0 THEN 'ok' ELSE 'size_mismatch' END AS status
-    FROM embeddings LEFT JOIN (SELECT * FROM documents WHERE lang <> 'de') d ON vec_id = doc_id""",
+    FROM embeddings LEFT JOIN (SELECT CASE WHEN lang = 'de' THEN -1 - doc_id ELSE doc_id END AS doc_id, n_chars FROM documents) d ON vec_id = doc_id""",
 )
 def size_check(spark: SparkSession, sf: str) -> DataFrame:
     chars = F.col("n_chars")
-    images = table(spark, sf, "documents").filter("lang <> 'de'").select(
-        F.col("doc_id").alias("vec_id"), F.when(chars % 3 == 0, 16).otherwise(8).alias("height"),
+    # German documents have keys that no vector has
+    own = F.when(F.col("lang") == "de", -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    images = table(spark, sf, "documents").select(
+        own.alias("vec_id"), F.when(chars % 3 == 0, 16).otherwise(8).alias("height"),
         F.when(chars % 5 == 0, 4).otherwise(8).alias("width"),
     )
     grids = table(spark, sf, "embeddings").select("vec_id", F.lit(8).alias("height"), (F.size("embedding") / 8).cast("int").alias("width"))

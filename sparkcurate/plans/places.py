@@ -61,7 +61,7 @@ def path_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CATALOG = f"""{P}, c0 AS (SELECT page_id AS ord, CASE page_id % 4 WHEN 0 THEN 'images/patch' || page_id % 15 || '/' WHEN 1 THEN lang || '/'
-      WHEN 2 THEN '' ELSE 'PATCH' || page_id % 15 || 'x/' || lang || '/' END || num % 40 || '.jpg' AS file_name FROM p WHERE secure),
+      WHEN 2 THEN '' ELSE 'PATCH' || page_id % 15 || 'x/' || lang || '/' END || num % 40 || CASE WHEN secure THEN '.jpg' ELSE '.gif' END AS file_name FROM p),
   cat AS (SELECT file_name, min(ord) AS ord, string_split(file_name, '/')[-1] AS base FROM c0 GROUP BY 1),
   q AS (SELECT DISTINCT '/mnt/' || CASE page_id % 5 WHEN 0 THEN 'images/patch1/' WHEN 1 THEN lang || '/' WHEN 2 THEN 'patch' || page_id % 15 || '/'
       WHEN 3 THEN 'q/1' ELSE 'Patch1/s' || lang || '/' END || num % 40 || CASE WHEN lang = 'de' THEN '.png' ELSE '.jpg' END AS path FROM p),
@@ -76,19 +76,20 @@ CATALOG = f"""{P}, c0 AS (SELECT page_id AS ord, CASE page_id % 4 WHEN 0 THEN 'i
 
 
 def entity_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows, base = pages(spark, sf), cat(text(F.col("num") % 40), ".jpg")
+    rows = pages(spark, sf)
+    base = cat(text(F.col("num") % 40), F.when(F.col("secure"), ".jpg").otherwise(".gif"))
     patch = cat("patch", text(F.col("page_id") % 15), "/")
     quarter, fifth = F.col("page_id") % 4, F.col("page_id") % 5
     folder = (
         F.when(quarter == 0, cat("images/", patch)).when(quarter == 1, cat(F.col("lang"), "/")).when(quarter == 2, "")
         .otherwise(cat("PATCH", text(F.col("page_id") % 15), "x/", F.col("lang"), "/"))
     )
-    catalog = rows.filter("secure").select(cat(folder, base).alias("file_name"), F.col("page_id").alias("ord"))
+    catalog = rows.select(cat(folder, base).alias("file_name"), F.col("page_id").alias("ord"))
     start = (
         F.when(fifth == 0, "images/patch1/").when(fifth == 1, cat(F.col("lang"), "/")).when(fifth == 2, patch)
         .when(fifth == 3, "q/1").otherwise(cat("Patch1/s", F.col("lang"), "/"))
     )
-    # no catalog file is a .png, so those stay unresolved
+    # no catalog file is a .png and no request a .gif, so those stay unresolved
     end = F.when(F.col("lang") == "de", ".png").otherwise(".jpg")
     asked = rows.select(cat("/mnt/", start, text(F.col("num") % 40), end).alias("path"))
     return asked, catalog
@@ -119,7 +120,7 @@ SUFFIXES = ["_mask", "_m", "", "-seg", "_Label", "_other"]
 
 @query(
     "stem_match",
-    f"""WITH {P}, img AS (SELECT 'images/' || lang || '/' || num % 90 || CASE WHEN page_id % 5 = 0 THEN '_M.PNG' ELSE '.jpg' END AS image_path FROM p WHERE secure),
+    f"""WITH {P}, img AS (SELECT 'images/' || lang || '/' || CASE WHEN secure THEN '' ELSE 'old_' END || num % 90 || CASE WHEN page_id % 5 = 0 THEN '_M.PNG' ELSE '.jpg' END AS image_path FROM p),
     s AS (SELECT lower(regexp_extract(image_path, '([^/]+)\\.[^.]+$', 1)) AS stem, min(image_path) AS image_path FROM img GROUP BY 1),
     m AS (SELECT page_id, 'masks/' || host || '/' || num % 90 || ['_mask', '_m', '', '-seg', '_Label', '_other'][page_id % 6 + 1] || '.png' AS mask_path FROM p),
     k AS (SELECT *, lower(regexp_extract(mask_path, '([^/]+)\\.[^.]+$', 1)) AS own FROM m)
@@ -129,7 +130,8 @@ SUFFIXES = ["_mask", "_m", "", "-seg", "_Label", "_other"]
 def stem_match(spark: SparkSession, sf: str) -> DataFrame:
     rows = pages(spark, sf)
     end = F.when(F.col("page_id") % 5 == 0, "_M.PNG").otherwise(".jpg")
-    images = rows.filter("secure").select(cat("images/", F.col("lang"), "/", text(F.col("num") % 90), end).alias("image_path"))
+    age = F.when(F.col("secure"), "").otherwise("old_")
+    images = rows.select(cat("images/", F.col("lang"), "/", age, text(F.col("num") % 90), end).alias("image_path"))
     mark = F.get(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("page_id") % 6).cast("int"))
     masks = rows.select("page_id", cat("masks/", F.col("host"), "/", text(F.col("num") % 90), mark, ".png").alias("mask_path"))
     return match.stem_match(masks, images).select("page_id", "mask_path", "image_path")
@@ -233,7 +235,8 @@ def routed_path(spark: SparkSession, sf: str) -> DataFrame:
         .when(slot == 2, cat("b/objects365_v2_", n, ".jpg"))
         .otherwise(cat("c/", n, ".jpg"))
     )
-    dim = rows.filter("num > 200").select(F.col("num").alias("image_id"), cat("f_", n, ".jpg").alias("v1_name")).distinct()
+    listed = F.when(F.col("num") > 200, F.col("num")).otherwise(-1 - F.col("num"))  # numbers up to 200 find nothing
+    dim = rows.select(listed.alias("image_id"), cat("f_", n, ".jpg").alias("v1_name")).distinct()
     asked = rows.select("page_id", raw.alias("raw")).withColumn("image_id", paths.v1_id(F.col("raw")))
     named = asked.join(dim, "image_id", "left")
     return named.select("page_id", paths.routed_path(F.col("raw"), F.col("v1_name"), "/v1", "/v2").alias("path"))
@@ -256,17 +259,21 @@ def md5_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "integrity_check",
-    """WITH f AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'fr'),
-    m AS (SELECT doc_id, CASE WHEN source = 'src3' OR source = 'src7' THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE lang <> 'de')
-    SELECT 'f_' || coalesce(f.doc_id, m.doc_id) AS path, CASE WHEN f.h IS NULL THEN 'missing' WHEN m.h IS NULL THEN 'unlisted'
-      WHEN f.h <> m.h THEN 'mismatch' ELSE 'ok' END AS status FROM f FULL OUTER JOIN m ON f.doc_id = m.doc_id""",
+    """WITH f AS (SELECT CASE WHEN lang = 'fr' THEN 'new_' ELSE 'f_' END || doc_id AS path, sha256(text) AS h FROM documents),
+    m AS (SELECT CASE WHEN lang = 'de' THEN 'lost_' ELSE 'f_' END || doc_id AS path,
+        CASE WHEN source = 'src3' OR source = 'src7' THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents)
+    SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'unlisted'
+      WHEN f.h <> m.h THEN 'mismatch' ELSE 'ok' END AS status FROM f FULL OUTER JOIN m ON f.path = m.path""",
 )
 def integrity_check(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    path = cat("f_", text("doc_id")).alias("path")
-    files = docs.filter("lang <> 'fr'").select(path, F.sha2("text", 256).alias("sha256"))
+
+    def path(lang: str, start: str) -> Column:
+        return cat(F.when(F.col("lang") == lang, start).otherwise("f_"), text("doc_id")).alias("path")
+
+    files = docs.select(path("fr", "new_"), F.sha2("text", 256).alias("sha256"))
     body = F.when(F.col("source").isin("src3", "src7"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    manifest = docs.filter("lang <> 'de'").select(path, F.sha2(body, 256).alias("sha256"))
+    manifest = docs.select(path("de", "lost_"), F.sha2(body, 256).alias("sha256"))
     return match.integrity(files, manifest)
 
 

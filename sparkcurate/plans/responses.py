@@ -158,7 +158,7 @@ TASK_ROWS = [
 def default_result(spark: SparkSession, sf: str) -> DataFrame:
     known = F.when(F.col("event_id") % 10 == 0, "spout")
     rows = table(spark, sf, "events").select(
-        "event_id", "event_type", F.try_parse_json(answers.fenced_json(pick(4, *TASK_DOCS))).alias("tree")
+        "event_id", "event_type", answers.parsed(answers.fenced_json(pick(4, *TASK_DOCS))).alias("tree")
     )
     got = answers.default_answer(F.col("tree"), F.col("event_type"), known)
     got["tasks"] = F.array_join(got["tasks"], "|")

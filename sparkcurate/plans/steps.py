@@ -397,9 +397,9 @@ def overlay_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "traj_lookup",
-    """WITH idx AS (SELECT 'img_' || user_id AS image, event_type AS caption, event_id FROM events WHERE value > 300
-      QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
-    q AS (SELECT DISTINCT 'img_' || user_id AS image, event_type AS caption FROM events WHERE value < 250)
+    """WITH idx AS (SELECT CASE WHEN value > 300 THEN 'img_' ELSE 'old_' END || user_id AS image, event_type AS caption, event_id FROM events
+      QUALIFY row_number() OVER (PARTITION BY value > 300, user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
+    q AS (SELECT DISTINCT 'img_' || user_id AS image, event_type AS caption FROM events)
     SELECT q.image, q.caption, idx.event_id, CASE WHEN idx.event_id IS NULL THEN 'missing' ELSE 'match' END AS status
     FROM q LEFT JOIN idx USING (image, caption)""",
 )
@@ -408,8 +408,10 @@ def traj_lookup(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("img_"), F.col("user_id").cast("string")).alias("image"), F.col("event_type").alias("caption"),
         "event_id", "ts", "value",
     )
-    index = regroup.last_per_key(rows.filter("value > 300"), ["image", "caption"], ["ts", "event_id"])
-    asked = rows.filter("value < 250").select("image", "caption").distinct()
+    old = F.regexp_replace("image", "^img_", "old_")  # images that nobody asks for
+    stored = rows.withColumn("image", F.when(F.col("value") > 300, F.col("image")).otherwise(old))
+    index = regroup.last_per_key(stored, ["image", "caption"], ["ts", "event_id"])
+    asked = rows.select("image", "caption").distinct()
     found = asked.join(index.select("image", "caption", "event_id"), ["image", "caption"], "left")
     return found.withColumn("status", F.when(F.col("event_id").isNull(), "missing").otherwise("match"))
 

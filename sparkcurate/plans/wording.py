@@ -297,7 +297,8 @@ ALIASES = {"smal ring": "small ring", "blu bolt": "blue bolt", **templates.NAME_
 def vocabulary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Labels of a brand, and the names asked for in it."""
     part = table(spark, sf, "part")
-    labels = part.filter("p_size < 30").select(F.col("p_brand").alias("image"), F.col("p_name").alias("label")).distinct()
+    label = F.when(F.col("p_size") < 30, F.col("p_name")).otherwise(F.concat(F.lit("discontinued "), "p_name"))
+    labels = part.select(F.col("p_brand").alias("image"), label.alias("label")).distinct()
     name = choose(
         6, F.col("p_name"), F.regexp_replace("p_name", "^small", "smal"), F.regexp_replace("p_name", "^blue", "blu"),
         F.concat("p_name", F.lit("s")), F.translate("p_name", "o", "0"), F.lit("dinning table"),
@@ -307,7 +308,7 @@ def vocabulary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "vocab_match",
-    f"""WITH l AS (SELECT DISTINCT p_brand AS image, p_name AS label FROM part WHERE p_size < 30),
+    f"""WITH l AS (SELECT DISTINCT p_brand AS image, CASE WHEN p_size < 30 THEN p_name ELSE 'discontinued ' || p_name END AS label FROM part),
     q AS (SELECT DISTINCT p_brand AS image, {choose_sql(6, "p_name", "regexp_replace(p_name, '^small', 'smal')", "regexp_replace(p_name, '^blue', 'blu')", "p_name || 's'", "replace(p_name, 'o', '0')", "'dinning table'")} AS name FROM part),
     a AS (SELECT *, {sql_case("name", ALIASES, "NULL")} AS alias FROM q)
     SELECT a.image, a.name, CASE WHEN e.label IS NOT NULL THEN e.label ELSE x.label END AS matched_label, false AS is_fuzzy

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the last of repeated JSON keys wins, as in most readers
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

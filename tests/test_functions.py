@@ -351,3 +351,17 @@ def test_reject_order(spark):
         seen.append(df.select(scoring.reject_reason()).first()[0])
     assert seen == ["pass", *reversed(scoring.REJECT_ORDER)]
     assert df.select(scoring.reject_reason(allow_veto=True)).first()[0] == "image_quality"
+
+
+def test_parsed_reads_what_other_readers_read(spark):
+    texts = ['{"a": 1, "a": 2}', '{"a": NaN, "b": -Infinity}', '{"a": 1} x', '{"a": 1} {"b": 2}', "1, 2", '{"a": "x, NaN, y"}', "null", "", None, '{"a": 1']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", F.to_json(answers.parsed(F.col("t"))).alias("v")).collect()}
+    want = ['{"a":2}', '{"a":null,"b":null}', None, None, None, '{"a":"x, NaN, y"}', "null", None, None, None]
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_valid_json_keeps_the_text(spark):
+    df = spark.createDataFrame([('{"a": NaN}',), ('{"a": 1} x',)], "t string")
+    got = [r.v for r in df.select(answers.valid_json(F.col("t")).alias("v")).collect()]
+    assert sorted(got, key=str) == [None, '{"a": NaN}']
