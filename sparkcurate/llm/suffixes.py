@@ -4,7 +4,8 @@ The rank of a position names the string that starts there. Ranks of 8 bytes are
 themselves; ranks of 16, 32, ... bytes name the pair (rank here, rank one length further),
 so a doubling costs one vector step and no shuffle. Ranks are 64-bit names instead of
 places in a sorted list: only equality counts here, and a name is the same in every task.
-Two different strings share a name with probability 2**-64.
+Two different strings share a name with probability 2**-64. That only lets a start through
+the first sort; the second, which decides, compares two independent names (128 bits).
 
 Spark sorts ranks twice and drops what is unique, over growing lengths:
 
@@ -12,8 +13,8 @@ Spark sorts ranks twice and drops what is unique, over growing lengths:
    positions: those that hold the smallest rank of a window of ``length - base + 1``
    positions. Equal strings of ``length`` bytes have equal samples, so a start whose sample
    is unique is out, and about one position in 70 is sent;
-2. for the surviving starts the pair (rank, rank ``length - base`` further), which names
-   all ``length`` bytes: past the threshold, done.
+2. for the surviving starts the pair (rank, rank ``length - base`` further), named twice,
+   which names all ``length`` bytes: past the threshold, done.
 
 A task sends each of its ranks once, in slices of the rank's range, and gets one bit per
 rank back. A string that a third of all documents share is therefore sent once per bucket
@@ -37,27 +38,30 @@ LENGTH = 400
 SLICE = 1 << 19
 BUCKET_BYTES = 4 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+NAMINGS = ((M1, M2), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)))
 S32, S29 = np.uint64(32), np.uint64(29)
 
 
-def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Name of the pairs (a, b)."""
-    z = a * M1
-    z += b * M2
+def pair_rank(a: np.ndarray, b: np.ndarray, naming: int = 0) -> np.ndarray:
+    """Name of the pairs (a, b), in one of two independent ways."""
+    m, n = NAMINGS[naming]
+    z = a * m
+    z += b * n
     z ^= z >> S32
     z *= M3
     z ^= z >> S29
     return z
 
 
-def ranks(data: np.ndarray, base: int) -> np.ndarray:
-    """Names of the ``base``-byte strings at every position; ``base`` is a power of two from 8."""
+def ranks(data: np.ndarray, base: int, naming: int = 0) -> np.ndarray:
+    """Names of the ``base``-byte strings at every position; ``base`` is a power of two from 8.
+    Bytes are inverted first: 0 would be the name of NUL bytes, and stands for no start."""
     if len(data) < base:
         return np.zeros(0, np.uint64)
-    at = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)).astype(np.uint64)
+    at = np.invert(np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)))
     done = 8
     while done < base:
-        at = pair_rank(at[:-done], at[done:])
+        at = pair_rank(at[:-done], at[done:], naming)
         done *= 2
     return at
 
@@ -117,7 +121,7 @@ class Bucket:
         return counted(found)
 
     def survivors(self, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts whose sample is in the sorted ``alive``, and the ranks of all their bytes."""
+        """Starts whose sample is in the sorted ``alive``, and both names of all their bytes."""
         places, names = [], []
         for first, rank, least, lead, stop in self.slices():
             own = least[lead:stop]
@@ -126,13 +130,18 @@ class Bucket:
             turns = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             keep = held(spread(own[turns]), alive) & (own[turns] != 0)
             here = np.flatnonzero(np.repeat(keep, np.diff(np.append(turns, len(own))))) + lead
+            if not len(here):
+                continue
             places.append(here + first)
-            names.append(pair_rank(rank[here], rank[here + self.width - 1]) if self.width > 1 else rank[here])
-        return joined(places, np.int64), joined(names, np.uint64)
+            lo, hi = here[0] + first, here[-1] + first + self.length
+            both = (rank, here), (ranks(self.data[lo:hi], self.base, 1), here - here[0])
+            far = self.width - 1
+            names.append(np.stack([pair_rank(r[at], r[at + far], i) if far else r[at] for i, (r, at) in enumerate(both)], axis=1))
+        return joined(places, np.int64), joined(names, np.uint64, 2)
 
 
-def joined(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+def joined(parts: list[np.ndarray], kind, columns: int = 0) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros((0, columns) if columns else 0, kind)
 
 
 def counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +149,18 @@ def counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return names, counts > 1
 
 
+def grouped(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order, which of them stand more than once, and the place of every row
+    among them."""
+    order = np.lexsort(names.T[::-1])
+    rows = names[order]
+    new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]
+    first = np.flatnonzero(new)
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return rows[first], np.diff(np.append(first, len(rows))) > 1, place
+
+
 def held(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which of ``x`` are in the sorted ``among``."""
     if not len(among):
@@ -158,23 +179,24 @@ def part_of(names: np.ndarray, parts: int) -> np.ndarray:
     return ((names >> S32) * np.uint64(parts)) >> S32
 
 
+def first_name(names: np.ndarray) -> np.ndarray:
+    return names[:, 0] if names.ndim == 2 else names
+
+
 def sent(bucket: int, names: np.ndarray, parts: int) -> pa.Table:
     """One row per slice of the range that has ranks."""
-    of = part_of(names, parts)
+    of = part_of(first_name(names), parts)
     cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, int)
     blobs = [x.tobytes() for x in np.split(names, cuts[1:])] if len(cuts) else []
     return pa.table({"part": pa.array(of[cuts].astype(np.int32)), "bucket": pa.array([bucket] * len(cuts), pa.int32()), "names": pa.array(blobs, pa.binary())})
 
 
-def answered(table: pa.Table) -> pa.Table:
-    """For the rows of one slice: a bit per rank, set if another bucket has it too."""
-    blobs = [np.frombuffer(x.as_py(), np.uint64) for x in table["names"]]
-    names = np.concatenate(blobs)
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    twice = np.zeros(len(names), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+def answered(table: pa.Table, width: int) -> pa.Table:
+    """For the rows of one slice: a bit per rank of ``width`` names, set if another bucket has
+    it too."""
+    blobs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, width) for x in table["names"]]
+    _, again, place = grouped(np.concatenate(blobs))
+    twice = again[place]
     bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(b) for b in blobs])[:-1])]
     return pa.table({"bucket": table["bucket"].cast(pa.int32()), "part": table["part"].cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
 
@@ -182,7 +204,7 @@ def answered(table: pa.Table) -> pa.Table:
 def shared(names: np.ndarray, answers: pa.Table, turn: int, parts: int) -> np.ndarray:
     """The answers of one round as a mask over the sorted ``names``."""
     got = {p: b for t, p, b in zip(answers["turn"].to_pylist(), answers["part"].to_pylist(), answers["bits"].to_pylist()) if t == turn}
-    of, n = np.unique(part_of(names, parts), return_counts=True)
+    of, n = np.unique(part_of(first_name(names), parts), return_counts=True)
     masks = [np.unpackbits(np.frombuffer(got[int(p)], np.uint8), count=int(k)).astype(bool) for p, k in zip(of, n)]
     return joined(masks, bool)
 
@@ -215,21 +237,25 @@ def _round(texts: DataFrame, parts: int, length: int, answers: DataFrame | None)
 
     def second(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return sent(0, np.zeros(0, np.uint64), parts)
+            return sent(0, np.zeros((0, 2), np.uint64), parts)
         names, _, _, _ = _second(Bucket(table["text"], length), got, parts)
         return sent(table["bucket"][0].as_py(), names, parts)
 
     groups = texts.select("bucket", "text").groupBy("bucket")
     ranked = groups.applyInArrow(first, SENT) if answers is None else groups.cogroup(answers.groupBy("bucket")).applyInArrow(second, SENT)
-    turn = 1 if answers is None else 2
-    return materialise(ranked.groupBy("part").applyInArrow(answered, ANSWER).withColumn("turn", F.lit(turn)), "ranks")
+    turn = 1 if answers is None else 2  # as many names as a rank of the round has
+
+    def answer(table: pa.Table) -> pa.Table:
+        return answered(table, turn)
+
+    return materialise(ranked.groupBy("part").applyInArrow(answer, ANSWER).withColumn("turn", F.lit(turn)), "ranks")
 
 
 def _second(bucket: Bucket, answers: pa.Table, parts: int):
     names, twice = bucket.samples()
     places, ranked = bucket.survivors(names[shared(names, answers, 1, parts) | twice])
-    own, again = counted([ranked])
-    return own, again, places, ranked
+    own, again, place = grouped(ranked)
+    return own, again, places, place
 
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -245,8 +271,8 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
         rows = []
         if table.num_rows:
             bucket = Bucket(table["text"], length)
-            names, twice, places, ranked = _second(bucket, got, parts)
-            starts = places[held(ranked, names[shared(names, got, 2, parts) | twice])]
+            names, twice, places, place = _second(bucket, got, parts)
+            starts = places[(shared(names, got, 2, parts) | twice)[place]]
             cuts = np.searchsorted(starts, np.stack([bucket.starts, bucket.ends]))
             for i, (tid, copies) in enumerate(zip(table["tid"].to_pylist(), table["copies"].to_pylist())):
                 lo, hi = int(bucket.starts[i]), int(bucket.ends[i])

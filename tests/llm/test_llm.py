@@ -134,6 +134,17 @@ def test_suffix_spans(spark, docs, texts, tmp_path, monkeypatch, slice_bytes):
     assert sum(x[1] for x in got.values()) > 5000
 
 
+def test_suffix_nul_bytes_and_names(spark):
+    """Runs of NUL are strings like others; a shared first name alone removes nothing."""
+    texts = ["a" * 10 + "\0" * 450, "b" * 10 + "\0" * 420, "c" * 420, "d" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.tid: (r.n_removed, r.kept) for r in suffixes.repeats(rows).collect()}
+    want = {hashlib.sha256(t.encode()).hexdigest(): (n, kept) for t, (_, n, _, kept) in zip(texts, _cut(texts, 400)) if n}
+    assert got == want and len(want) == 3
+    names, again, place = suffixes.grouped(np.array([[5, 1], [5, 2], [4, 9], [5, 1]], np.uint64))
+    assert names.tolist() == [[4, 9], [5, 1], [5, 2]] and again.tolist() == [False, True, False] and place.tolist() == [1, 2, 0, 1]
+
+
 def test_suffix_texts(docs, texts, nothing):
     out = suffixes.without_repeats(docs, length=64, size="n_chars")
     assert out.columns == docs.columns
