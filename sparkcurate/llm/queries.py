@@ -16,4 +16,4 @@ QUERIES = {
     "op9_url_reputation": urls.query,
     "op10_bpe_words": bpe.query,
 }
-ORACLES = {"op5_rule_ledger": rules.SQL, "op6_vector_pivots": vectors.SQL}
+ORACLES = {"op5_rule_ledger": rules.SQL, "op6_vector_pivots": vectors.SQL, "op9_url_reputation": urls.SQL}

@@ -122,3 +122,52 @@ def query(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
     return judge(pages, labels.select(F.col("doc_id").alias("page"), bad)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _rules_sql(pick) -> str:
+    """The longest rule that fits, as a CASE; ``pick`` gives its value."""
+    cases = [
+        f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}') THEN '{pick(name, start, verdict)}'"
+        for name, start, verdict in sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    ]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _level_sql(name: str, rows: str) -> str:
+    """Prior strength and posterior of a level whose ``rows`` carry ``n``, ``bad`` and ``prior``."""
+    return f"""{name}_rows AS ({rows}),
+{name}_sums AS (
+  SELECT sum(n * prior * (1 - prior)) / sum(n) AS m, sum(n * pow(bad / n - prior, 2) - prior * (1 - prior)) AS over,
+    sum(n) - sum(n * n) / sum(n) AS scale
+  FROM {name}_rows WHERE n > 0),
+{name}_strength AS (
+  SELECT CASE WHEN scale <> 0 AND over > 0 THEN greatest({FLOOR}::DOUBLE, least({CEILING}::DOUBLE, m / (over / scale) - 1))
+    ELSE {CEILING}::DOUBLE END AS k FROM {name}_sums),
+{name} AS (
+  SELECT *, a / (a + b) AS mean
+  FROM (SELECT r.*, prior * k + bad AS a, (1 - prior) * k + n - bad AS b FROM {name}_rows r, {name}_strength))"""
+
+
+SQL = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+outcomes AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE bad) AS bad
+  FROM (SELECT doc_id, quality = 0 OR toxic = 1 AS bad FROM labels) WHERE bad IS NOT NULL GROUP BY doc_id),
+h AS (
+  SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
+    sum(coalesce(n, 0))::DOUBLE AS n, sum(coalesce(bad, 0))::DOUBLE AS bad
+  FROM p LEFT JOIN outcomes ON page_id = doc_id GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+{_level_sql("suffixes", "SELECT s.*, (SELECT sum(bad) / (sum(n) + 1) FROM s) AS prior FROM s")},
+{_level_sql("domains", "SELECT d.*, mean AS prior FROM d JOIN (SELECT suffix, mean FROM suffixes) USING (suffix)")},
+{_level_sql("hosts", "SELECT h.*, mean AS prior FROM h JOIN (SELECT domain, suffix, mean FROM domains) USING (domain, suffix)")},
+bound AS (SELECT host, mean - {Z}::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM hosts)
+SELECT page_id, host, path, {_rules_sql(lambda name, start, verdict: name + start)} AS rule,
+  coalesce({_rules_sql(lambda name, start, verdict: verdict)}, CASE WHEN lower > {LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN bound USING (host)
+"""
