@@ -5,7 +5,7 @@ themselves; ranks of 16, 32, ... bytes name the pair (rank here, rank one length
 so a doubling costs one vector step and no shuffle. Ranks are 64-bit names instead of
 places in a sorted list: only equality counts here, and a name is the same in every task.
 Two different strings share a name with probability 2**-64. That only lets a start through
-the first sort; the second, which decides, compares two independent names (128 bits).
+the first sort; the second, which decides, compares two independent names (96 bits).
 
 Spark sorts ranks twice and drops what is unique, over growing lengths:
 
@@ -136,7 +136,9 @@ class Bucket:
             lo, hi = here[0] + first, here[-1] + first + self.length
             both = (rank, here), (ranks(self.data[lo:hi], self.base, 1), here - here[0])
             far = self.width - 1
-            names.append(np.stack([pair_rank(r[at], r[at + far], i) if far else r[at] for i, (r, at) in enumerate(both)], axis=1))
+            named = np.stack([pair_rank(r[at], r[at + far], i) if far else r[at] for i, (r, at) in enumerate(both)], axis=1)
+            named[:, 1] >>= S32
+            names.append(named)
         return joined(places, np.int64), joined(names, np.uint64, 2)
 
 
@@ -179,6 +181,20 @@ def part_of(names: np.ndarray, parts: int) -> np.ndarray:
     return ((names >> S32) * np.uint64(parts)) >> S32
 
 
+def packed(names: np.ndarray) -> bytes:
+    """Names for the shuffle: 8 bytes, or 12 of a pair whose second is below 2**32."""
+    return names.tobytes() if names.ndim == 1 else names.view("<u4")[:, :3].tobytes()
+
+
+def unpacked(blob: bytes, width: int) -> np.ndarray:
+    """Rows of ``width`` names."""
+    if width == 1:
+        return np.frombuffer(blob, np.uint64).reshape(-1, 1)
+    words = np.zeros((len(blob) // 12, 4), "<u4")
+    words[:, :3] = np.frombuffer(blob, "<u4").reshape(-1, 3)
+    return words.view(np.uint64)
+
+
 def first_name(names: np.ndarray) -> np.ndarray:
     return names[:, 0] if names.ndim == 2 else names
 
@@ -187,14 +203,14 @@ def sent(bucket: int, names: np.ndarray, parts: int) -> pa.Table:
     """One row per slice of the range that has ranks."""
     of = part_of(first_name(names), parts)
     cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, int)
-    blobs = [x.tobytes() for x in np.split(names, cuts[1:])] if len(cuts) else []
+    blobs = [packed(x) for x in np.split(names, cuts[1:])] if len(cuts) else []
     return pa.table({"part": pa.array(of[cuts].astype(np.int32)), "bucket": pa.array([bucket] * len(cuts), pa.int32()), "names": pa.array(blobs, pa.binary())})
 
 
 def answered(table: pa.Table, width: int) -> pa.Table:
     """For the rows of one slice: a bit per rank of ``width`` names, set if another bucket has
     it too."""
-    blobs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, width) for x in table["names"]]
+    blobs = [unpacked(x.as_py(), width) for x in table["names"]]
     _, again, place = grouped(np.concatenate(blobs))
     twice = again[place]
     bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(b) for b in blobs])[:-1])]
