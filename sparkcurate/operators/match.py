@@ -10,12 +10,13 @@ from collections.abc import Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurate.functions import names, paths
 from sparkcurate.functions.templates import BAD_TRIPLES, lookup
 from sparkcurate.operators.ranking import first_per_key, rank_rows
+from sparkcurate.operators.regroup import distinct_lists
 from sparkcurate.session import materialise
 
 
@@ -185,39 +186,27 @@ def match_vocabulary(
 # -- containment -------------------------------------------------------------
 
 
-def _substrings(df: DataFrame, name: str) -> DataFrame:
-    size = F.length(name)
-    every = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda p: F.transform(F.sequence(F.lit(1), size - p + 1), lambda n: F.substring(F.col(name), p, n)),
-        )
-    )
-    return df.filter(size > 0).select(name, F.explode(F.array_distinct(every)).alias("_sub"))
-
-
-def contains_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs ``(left, right)`` where either name holds the other. Each side is
-    joined on the substrings of the other, never pairwise."""
-    left, right = left.select("left").distinct(), right.select("right").distinct()
-    down = _substrings(left, "left").join(right, F.col("_sub") == F.col("right")).select("left", "right")
-    up = _substrings(right, "right").join(left, F.col("_sub") == F.col("left")).select("left", "right")
-    return down.unionByName(up).distinct()
+def _hold(a: Column, b: Column) -> Column:
+    """Either text holds the other."""
+    return F.contains(a, b) | F.contains(b, a)
 
 
 def kth_match(requests: DataFrame, boxes: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The k-th box, in annotation order, whose category is the requested name, or,
     when no category has that name, holds it or is held by it. ``requests`` carries
     ``image, name, k`` (0-based); ``boxes`` carries ``image, category`` and payload.
-    Requests without such a box are kept with nulls.
+    Requests without such a box are kept with nulls; an empty name is held by every one.
 
-    Boxes are ranked once per distinct (image, name), not once per request."""
-    categories = boxes.select(F.lower("category").alias("right")).distinct()
+    Distinct names meet the distinct categories of their own image only, and the test is
+    part of the join. Boxes are ranked once per distinct (image, name), not per request."""
+    present = boxes.select("image", F.lower("category").alias("right")).distinct()
     asked = requests.withColumn("left", F.lower("name"))
-    wanted = asked.select("left").distinct()
-    exact = wanted.join(categories, F.col("left") == F.col("right")).select("left", "right")
-    loose = contains_pairs(wanted.join(exact, "left", "left_anti"), categories)
-    needed = asked.select("image", "left").distinct().join(exact.unionByName(loose), "left")
+    known = present.select(F.col("right").alias("left")).distinct().withColumn("_known", F.lit(True))
+    wanted = asked.select("image", "left").distinct().join(known, "left", "left")
+    w, p = wanted.alias("w"), present.alias("p")
+    left, right = F.col("w.left"), F.col("p.right")
+    fits = (left == right) | (F.col("w._known").isNull() & _hold(left, right))
+    needed = w.join(p, (F.col("w.image") == F.col("p.image")) & fits).select("w.image", "left", "right")
     hits = boxes.withColumn("right", F.lower("category")).join(needed, ["image", "right"]).drop("right")
     # joined once, then counted and ranked
     ranked = rank_rows(materialise(hits, "hits"), ["image", "left"], order, "_r")
@@ -229,18 +218,13 @@ def nearest_rank(requests: DataFrame, boxes: DataFrame) -> DataFrame:
     """Box of a matching category (either name holds the other) with the requested
     per-category index, else the closest index. ``boxes`` carries ``image, category,
     cat_index, ord`` with indexes 0..n-1 per (image, category), so the closest one is
-    the request clamped to n-1: one lookup per category instead of a scan."""
-    sizes = boxes.groupBy("image", "category").agg(F.max("cat_index").alias("_last"))
-    pairs = contains_pairs(
-        requests.select(F.lower("name").alias("left")), boxes.select(F.lower("category").alias("right"))
-    )
-    asked = requests.select("image", "name", "k").distinct()
-    tried = (
-        asked.withColumn("left", F.lower("name"))
-        .join(pairs, "left")
-        .join(sizes.withColumn("right", F.lower("category")), ["image", "right"])
-        .withColumn("cat_index", F.least("k", "_last"))
-        .select("image", "name", "k", "category", "cat_index")
+    the request clamped to n-1: one lookup per category instead of a scan. Requests meet
+    the distinct categories of their own image only."""
+    sizes = boxes.groupBy("image", "category").agg(F.max("cat_index").alias("_last")).alias("s")
+    asked = requests.select("image", "name", "k").distinct().alias("q")
+    here = F.col("q.image") == F.col("s.image")
+    tried = asked.join(sizes, here & _hold(F.lower("q.name"), F.lower("s.category"))).select(
+        "q.image", "name", "k", "category", F.least("k", "_last").alias("cat_index")
     )
     best = (
         tried.join(boxes, ["image", "category", "cat_index"])
@@ -255,6 +239,17 @@ def nearest_rank(requests: DataFrame, boxes: DataFrame) -> DataFrame:
     return requests.join(best, ["image", "name", "k"], "left")
 
 
+def miss_report(found: DataFrame, missing: Column, keys: Sequence[str], examples: int = 8) -> DataFrame:
+    """Rows without a hit: ``rank`` 0 carries their number, ranks from 1 the first few in
+    key order."""
+    gone = materialise(found.filter(missing).select(*keys), "misses")
+    none = [F.lit(None).cast(gone.schema[k].dataType).alias(k) for k in keys]
+    total = gone.agg(F.count(F.lit(1)).alias("n_missing")).select(F.lit(0).alias("rank"), *none, "n_missing")
+    first = gone.orderBy(*keys).limit(examples)  # the window sees these few rows only
+    rank = F.row_number().over(Window.orderBy(*keys)).alias("rank")
+    return total.unionByName(first.select(rank, *keys, F.lit(None).cast("bigint").alias("n_missing")))
+
+
 # -- paths -------------------------------------------------------------------
 
 
@@ -263,12 +258,13 @@ def resolve_entity(requests: DataFrame, catalog: DataFrame, mode: str = "auto")
 
     ``catalog`` carries ``file_name`` and ``ord`` (its position). Modes: ``auto``,
     ``basename`` and ``file_name``. Every tier is an equi-join: on the base name, on
-    (base name, patch token), and on the endings of the path.
+    (base name, patch token), and on the endings of the path. Endings are compared with
+    ``\\`` read as ``/`` on both sides; base names are what follows the last ``/``.
     """
     req = requests.select("path").distinct().withColumn("base", paths.basename(F.col("path")))
     cat = first_per_key(catalog.select("file_name", "ord"), ["file_name"], [F.col("ord")])
     cat = cat.withColumn("base", paths.basename(F.col("file_name")))
-    cat = cat.join(req.select("base").distinct(), "base", "left_semi")
+    cat = cat.join(req.select("base").distinct(), "base", "left_semi").withColumn("slashed", paths.slashed(F.col("file_name")))
     by_base = cat.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min_by("file_name", "ord").alias("first"))
 
     # every token a hint could equal: patch1 and patch12 for an entry under patch12
@@ -289,21 +285,18 @@ def resolve_entity(requests: DataFrame, catalog: DataFrame, mode: str = "auto")
     )
     req = req.withColumn("hint", F.lower(paths.patch_hint(F.col("path"))))
     joined = req.join(by_base, "base", "left")
-    ambiguous = joined.filter("n > 1").select("path", "base")
-    absent = joined.filter("n IS NULL").select("path", "base")
-    # endings that keep the whole base name, and, without a base hit, endings inside it
-    whole = F.transform(
-        F.sequence(F.lit(1), F.length("path") - F.length("base") + 1), lambda i: F.substr(F.col("path"), i)
+    # with several base hits an ending of one of them, else of any entry
+    own = F.col("n") > 1
+    open_ = joined if mode == "file_name" else joined.filter("n > 1 OR n IS NULL")
+    text = paths.slashed(F.col("path"))
+    shortest = F.when(own, F.length("base")).otherwise(1) if mode != "file_name" else F.lit(1)
+    every = F.transform(
+        F.sequence(F.lit(1), F.length("path") - F.greatest(shortest, F.lit(1)) + 1), lambda i: F.substr(text, i)
     )
-    inner = F.transform(F.sequence(F.lit(1), F.length("base")), lambda i: F.substr(F.col("base"), i))
-    if mode == "file_name":
-        ends = joined.select("path", F.explode(F.array_union(whole, inner)).alias("file_name"))
-    else:
-        ends = ambiguous.select("path", F.explode(whole).alias("file_name")).unionByName(
-            absent.filter(F.length("base") > 0).select("path", F.explode(inner).alias("file_name"))
-        )
+    ends = open_.filter(F.length("path") > 0).select("path", "base", "n", F.explode(every).alias("slashed"))
     by_end = (
-        ends.join(cat.select("file_name", "ord"), "file_name")
+        ends.alias("e").join(cat.alias("c"), "slashed")
+        .filter(F.lit(mode == "file_name") | F.col("n").isNull() | (F.col("e.base") == F.col("c.base")))
         .groupBy("path")
         .agg(F.min_by("file_name", "ord").alias("ended"))
     )
@@ -478,3 +471,15 @@ def token_match(requests: DataFrame, records: DataFrame) -> DataFrame:
         .select("image", "description", F.coalesce("_strict", "_loose").alias("ord"), status.alias("status"))
     )
     return matched.join(records.select("image", "ord", "part", "object"), ["image", "ord"], "left")
+
+
+def missing_audit(matched: DataFrame, records: DataFrame) -> dict[str, DataFrame]:
+    """Requests of ``token_match`` that found no record: their ``rows``, the ``counts`` per
+    status, and per image of a ``no_part_match`` the part names it has, in pages."""
+    rows = matched.filter(F.col("ord").isNull()).select("image", "description", "status")
+    images = rows.filter("status = 'no_part_match'").select("image").distinct()
+    return {
+        "rows": rows,
+        "counts": rows.groupBy("status").agg(F.count(F.lit(1)).alias("n")),
+        "available": distinct_lists(records.join(images, "image", "left_semi"), ["image"], "part", "parts"),
+    }

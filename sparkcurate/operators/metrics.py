@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The ten thresholds, with the ninth as floating-point arithmetic gives it.
@@ -66,8 +66,7 @@ def iou_metrics(df: DataFrame, kinds: Sequence[str] = ("best", "step0", "final")
 
 
 def validation_profile(df: DataFrame, sign: str, iou: str, x: str, y: str) -> DataFrame:
-    """Click counts per sign and IoU tenth with coordinate sums and extremes, plus the
-    share of the sign; finer aggregates that add up to the printed profile."""
+    """Click counts per sign and IoU tenth with coordinate means and extremes."""
     bin_ = (F.floor(F.col(iou) * 10) / 10).alias("iou_bin")
     return (
         df.groupBy(F.col(sign).alias("click_type"), bin_)
@@ -79,6 +78,33 @@ def validation_profile(df: DataFrame, sign: str, iou: str, x: str, y: str) -> Da
     )
 
 
+def profile_summary(df: DataFrame, sign: str, x: str, y: str) -> DataFrame:
+    """Clicks per sign with their share in percent, and of all signs (``all``), with
+    coordinate means and extremes."""
+    sums = df.withColumn("_sign", F.col(sign)).rollup("_sign").agg(
+        F.grouping("_sign").alias("_all"), F.count(F.lit(1)).alias("n"),
+        *[f(c).alias(f"{name}_{out}") for c, out in ((x, "x"), (y, "y")) for name, f in (("min", F.min), ("max", F.max))],
+        *[F.round(F.avg(c), 6).alias(f"mean_{out}") for c, out in ((x, "x"), (y, "y"))],
+    )
+    total = F.max("n").over(Window.partitionBy())  # a row per sign
+    return sums.select(
+        F.when(F.col("_all") == 1, "all").otherwise(F.col("_sign")).alias("click_type"), "n",
+        F.round(F.col("n") * 100 / total, 6).alias("share"), "min_x", "max_x", "mean_x", "min_y", "max_y", "mean_y",
+    )
+
+
+def outcome_counts(df: DataFrame, **flags: Column) -> DataFrame:
+    """One row: all rows, and those of each outcome."""
+    return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(name) for name, c in flags.items()])
+
+
+def list_totals(df: DataFrame, group: str, owner: str) -> DataFrame:
+    """Lists and list items per group. Items are counted per owner first, so a group that
+    holds most of them is summed in parts."""
+    per_owner = df.groupBy(group, owner).agg(F.count(F.lit(1)).alias("_n"))
+    return per_owner.groupBy(group).agg(F.count(F.lit(1)).alias("images"), F.sum("_n").alias("parts"))
+
+
 def bbox_union(df: DataFrame, keys: Sequence[str], box: Sequence[str]) -> DataFrame:
     x1, y1, x2, y2 = box
     return df.groupBy(*keys).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.functions import names
-from sparkcurate.operators import gates, match, regroup
+from sparkcurate.operators import gates, match, metrics, regroup
 from sparkcurate.operators.ranking import first_per_key, paged_lists, rank_rows
 from sparkcurate.plans.registry import query, table
 
@@ -160,6 +160,12 @@ ITEMS = f"""items AS (SELECT {ROW_SQL}, l_orderkey AS image_path, split_part(p_n
     CAST(l_linenumber % 5 + 1 AS VARCHAR) AS bucket FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
+def listed_parts(spark: SparkSession, sf: str) -> DataFrame:
+    # the seat of this stand-in is the small part
+    seat = F.when(F.col("part") == "small", "seat").otherwise(F.col("part"))
+    return part_items(spark, sf).filter(gates.sit_on_rule(seat, F.col("affordance"), F.col("action")))
+
+
 @query(
     "part_lists",
     f"""WITH {ITEMS}, k AS (SELECT *, row_number() OVER (PARTITION BY bucket, image_path
@@ -168,16 +174,22 @@ ITEMS = f"""items AS (SELECT {ROW_SQL}, l_orderkey AS image_path, split_part(p_n
       count(*) AS n FROM k GROUP BY 1, 2, 3""",
 )
 def part_lists(spark: SparkSession, sf: str) -> DataFrame:
-    rows = part_items(spark, sf)
-    # the seat of this stand-in is the small part
-    seat = F.when(F.col("part") == "small", "seat").otherwise(F.col("part"))
-    rows = rows.filter(gates.sit_on_rule(seat, F.col("affordance"), F.col("action")))
+    rows = listed_parts(spark, sf)
     item = F.concat("part", F.lit(" of the "), "object", F.lit(" / "), "affordance")
     order = [F.col(c) for c in ["object", "part", "affordance", *ROW]]
     pages = paged_lists(rows, ["bucket", "image_path"], order, item, page_size=3, out="items")
     return pages.select("bucket", "image_path", "page", F.array_join("items", "; ").alias("part_list"), F.size("items").alias("n"))
 
 
+@query(
+    "part_list_totals",
+    f"""WITH {ITEMS} SELECT bucket, count(DISTINCT image_path) AS images, count(*) AS parts
+    FROM items WHERE action <> 'sit on' OR part = 'small' GROUP BY 1""",
+)
+def part_list_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.list_totals(listed_parts(spark, sf), "bucket", "image_path")
+
+
 @query(
     "nested_regroup",
     f"""WITH {ITEMS}, e AS (SELECT l_orderkey AS image_path, object, affordance,

@@ -10,6 +10,7 @@ from sparkcurate.operators import match, metrics, regroup
 from sparkcurate.operators.ranking import rank_rows, top_per_key
 from sparkcurate.plans.registry import query, table
 from sparkcurate.session import materialise
+from sparkcurate.sources import documents, sinks
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 ROW_SQL = ", ".join(ROW)
@@ -123,9 +124,26 @@ CENTRE = """SELECT *, (l_partkey % 97 + 1) / 101.0::DOUBLE AS cx, (l_suppkey % 8
     FROM b JOIN part ON l_partkey = p_partkey JOIN c USING (p_brand)""",
 )
 def label_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return drawn(spark, sf).select(F.col("l_orderkey").alias("stem"), "line")
+
+
+def drawn(spark: SparkSession, sf: str) -> DataFrame:
     cats = regroup.category_ids(table(spark, sf, "part"), "p_brand")
     line = geometry.label_line(F.col("cid"), centre_box())
-    return with_part(spark, sf, "p_brand").join(cats, "p_brand").select(F.col("l_orderkey").alias("stem"), line.alias("line"))
+    return with_part(spark, sf, "p_brand").join(cats, "p_brand").select(*ROW, line.alias("line"))
+
+
+@query(
+    "label_files",
+    f"""WITH b AS ({CENTRE}), c AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS cid
+      FROM (SELECT DISTINCT p_brand FROM part)),
+    l AS (SELECT {ROW_SQL}, printf('%d %.5f %.5f %.5f %.5f', cid, cx, cy, bw, bh) AS line
+      FROM b JOIN part ON l_partkey = p_partkey JOIN c USING (p_brand))
+    SELECT l_orderkey AS stem, 0::BIGINT AS page, string_agg(line, chr(10) ORDER BY {ROW_SQL}) || chr(10) AS content FROM l GROUP BY 1""",
+)
+def label_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = drawn(spark, sf).withColumn("stem", F.col("l_orderkey"))
+    return sinks.label_files(rows, "stem", "line", [F.col(c) for c in ROW[1:]])
 
 
 @query(
@@ -362,7 +380,4 @@ def det_samples_filter(spark: SparkSession, sf: str) -> DataFrame:
     samples = table(spark, sf, "lineitem").select(
         F.struct(path.alias("media_path")).alias("media"), F.array(note).alias("annotations")
     )
-    kept = samples.filter(F.contains("media.media_path", F.lit(paths.V2_PREFIX)))
-    flat = kept.select(paths.stem(F.col("media.media_path")).alias("stem"), F.inline("annotations"))
-    corner = geometry.xywh_to_xyxy(*[F.col("bbox")[i] for i in range(4)])
-    return flat.select("stem", "category_id", *[c.alias(n) for c, n in zip(corner, ("x1", "y1", "x2", "y2"))])
+    return documents.detection_samples(samples)

@@ -60,10 +60,12 @@ def path_parts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-CATALOG = f"""{P}, c0 AS (SELECT page_id AS ord, CASE page_id % 4 WHEN 0 THEN 'images/patch' || page_id % 15 || '/' WHEN 1 THEN lang || '/'
+SLASHED = "replace({}, '\\', '/')"
+# some names carry a backslash for the last folder
+CATALOG = f"""{P}, c0 AS (SELECT page_id AS ord, CASE page_id % 4 WHEN 0 THEN 'images/patch' || page_id % 15 || '/' WHEN 1 THEN lang || CASE WHEN page_id % 7 = 1 THEN '\\' ELSE '/' END
       WHEN 2 THEN '' ELSE 'PATCH' || page_id % 15 || 'x/' || lang || '/' END || num % 40 || CASE WHEN secure THEN '.jpg' ELSE '.gif' END AS file_name FROM p),
   cat AS (SELECT file_name, min(ord) AS ord, string_split(file_name, '/')[-1] AS base FROM c0 GROUP BY 1),
-  q AS (SELECT DISTINCT '/mnt/' || CASE page_id % 5 WHEN 0 THEN 'images/patch1/' WHEN 1 THEN lang || '/' WHEN 2 THEN 'patch' || page_id % 15 || '/'
+  q AS (SELECT DISTINCT '/mnt/' || CASE page_id % 5 WHEN 0 THEN 'images/patch1/' WHEN 1 THEN lang || CASE WHEN page_id % 7 = 1 THEN '\\' ELSE '/' END WHEN 2 THEN 'patch' || page_id % 15 || '/'
       WHEN 3 THEN 'q/1' ELSE 'Patch1/s' || lang || '/' END || num % 40 || CASE WHEN lang = 'de' THEN '.png' ELSE '.jpg' END AS path FROM p),
   qb AS (SELECT path, string_split(path, '/')[-1] AS base, lower(regexp_extract(path, '(?i)patch\\d+')) AS hint FROM q),
   idx AS (SELECT * FROM cat WHERE base IN (SELECT base FROM qb)),
@@ -71,8 +73,8 @@ CATALOG = f"""{P}, c0 AS (SELECT page_id AS ord, CASE page_id % 4 WHEN 0 THEN 'i
     (SELECT arg_min(file_name, ord) FROM idx WHERE idx.base = qb.base) AS first,
     (SELECT count(*) FROM idx WHERE idx.base = qb.base AND hint <> '' AND contains(lower(file_name), hint)) AS nh,
     (SELECT min(file_name) FROM idx WHERE idx.base = qb.base AND hint <> '' AND contains(lower(file_name), hint)) AS hinted,
-    (SELECT arg_min(file_name, ord) FROM idx WHERE idx.base = qb.base AND ends_with(qb.path, file_name)) AS ended,
-    (SELECT arg_min(file_name, ord) FROM idx WHERE ends_with(qb.path, file_name)) AS anywhere FROM qb)"""
+    (SELECT arg_min(file_name, ord) FROM idx WHERE idx.base = qb.base AND ends_with({SLASHED.format('qb.path')}, {SLASHED.format('file_name')})) AS ended,
+    (SELECT arg_min(file_name, ord) FROM idx WHERE ends_with({SLASHED.format('qb.path')}, {SLASHED.format('file_name')})) AS anywhere FROM qb)"""
 
 
 def entity_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -80,13 +82,14 @@ def entity_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     base = cat(text(F.col("num") % 40), F.when(F.col("secure"), ".jpg").otherwise(".gif"))
     patch = cat("patch", text(F.col("page_id") % 15), "/")
     quarter, fifth = F.col("page_id") % 4, F.col("page_id") % 5
+    sep = F.when(F.col("page_id") % 7 == 1, "\\").otherwise("/")
     folder = (
-        F.when(quarter == 0, cat("images/", patch)).when(quarter == 1, cat(F.col("lang"), "/")).when(quarter == 2, "")
+        F.when(quarter == 0, cat("images/", patch)).when(quarter == 1, cat(F.col("lang"), sep)).when(quarter == 2, "")
         .otherwise(cat("PATCH", text(F.col("page_id") % 15), "x/", F.col("lang"), "/"))
     )
     catalog = rows.select(cat(folder, base).alias("file_name"), F.col("page_id").alias("ord"))
     start = (
-        F.when(fifth == 0, "images/patch1/").when(fifth == 1, cat(F.col("lang"), "/")).when(fifth == 2, patch)
+        F.when(fifth == 0, "images/patch1/").when(fifth == 1, cat(F.col("lang"), sep)).when(fifth == 2, patch)
         .when(fifth == 3, "q/1").otherwise(cat("Patch1/s", F.col("lang"), "/"))
     )
     # no catalog file is a .png and no request a .gif, so those stay unresolved

@@ -246,7 +246,7 @@ def outcome_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-UID_SQL = """md5('{"image_path":"img_' || user_id || '","object":"' || event_type || '"}')"""
+UID_SQL = """md5('{"image_path": "img_' || user_id || '", "object": "' || event_type || '"}')"""
 
 
 def with_uid(df: DataFrame) -> DataFrame:

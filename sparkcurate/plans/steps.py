@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.functions import answers, checks, geometry, paths, templates
-from sparkcurate.operators import gates, metrics, regroup, sequence
+from sparkcurate.operators import gates, match, metrics, regroup, sequence
 from sparkcurate.operators.blocks import time_block
-from sparkcurate.plans.registry import query, table
+from sparkcurate.plans.registry import ORACLES, query, table
 from sparkcurate.session import materialise
 from sparkcurate.sources import documents
 
@@ -331,21 +331,36 @@ def validate_records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.array_join("errors", ",").alias("errors"), (F.size("errors") == 0).alias("valid"))
 
 
-@query(
-    "validation_profile",
-    """WITH v AS (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN 'Positive' ELSE 'Negative' END AS click_type,
+VALID_CLICKS = """v AS (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN 'Positive' ELSE 'Negative' END AS click_type,
         floor(CAST(printf('%.2f', (value / (2 * value + 73.123457::DOUBLE))) AS DOUBLE) * 10) / 10 AS iou_bin,
         CAST(trunc((event_id % 7) / 641.0::DOUBLE * 1000) AS INT) AS x, CAST(trunc((event_id % 5) / 487.0::DOUBLE * 1000) AS INT) AS y
-      FROM events WHERE event_type <> 'error')
-    SELECT click_type, iou_bin, count(*) AS n, min(x) AS min_x, max(x) AS max_x, round(avg(x), 6) AS mean_x,
+      FROM events WHERE event_type <> 'error')"""
+
+
+@query(
+    "validation_profile",
+    f"""WITH {VALID_CLICKS} SELECT click_type, iou_bin, count(*) AS n, min(x) AS min_x, max(x) AS max_x, round(avg(x), 6) AS mean_x,
       min(y) AS min_y, max(y) AS max_y, round(avg(y), 6) AS mean_y FROM v GROUP BY 1, 2""",
 )
 def validation_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.validation_profile(valid_clicks(spark, sf), "sign", "current_iou", "x_norm", "y_norm")
+
+
+@query(
+    "profile_summary",
+    f"""WITH {VALID_CLICKS} SELECT coalesce(click_type, 'all') AS click_type, count(*) AS n,
+      round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM v), 6) AS share, min(x) AS min_x, max(x) AS max_x, round(avg(x), 6) AS mean_x,
+      min(y) AS min_y, max(y) AS max_y, round(avg(y), 6) AS mean_y FROM v GROUP BY ROLLUP (click_type)""",
+)
+def profile_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.profile_summary(valid_clicks(spark, sf), "sign", "x_norm", "y_norm")
+
+
+def valid_clicks(spark: SparkSession, sf: str) -> DataFrame:
     # a filter on the computed errors would be pushed below them and repeat all the work
     report = materialise(checked(spark, sf).select("messages", "errors"), "checked")
     valid = report.filter(F.size("errors") == 0).select(F.col("messages")[1]["content"].alias("text"))
-    parsed = answers.with_click(valid, "text").withColumn("sign", templates.click_sign(F.col("is_positive")))
-    return metrics.validation_profile(parsed, "sign", "current_iou", "x_norm", "y_norm")
+    return answers.with_click(valid, "text").withColumn("sign", templates.click_sign(F.col("is_positive")))
 
 
 @query(
@@ -404,6 +419,21 @@ def overlay_plan(spark: SparkSession, sf: str) -> DataFrame:
     FROM q LEFT JOIN idx USING (image, caption)""",
 )
 def traj_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return looked_up(spark, sf)
+
+
+@query(
+    "traj_misses",
+    f"""WITH t AS ({ORACLES["traj_lookup"]}), m AS (SELECT image, caption FROM t WHERE status = 'missing')
+    SELECT 0 AS rank, NULL::VARCHAR AS image, NULL::VARCHAR AS caption, count(*) AS n_missing FROM m
+    UNION ALL SELECT CAST(row_number() OVER (ORDER BY image, caption) AS INT), image, caption, NULL FROM m
+    QUALIFY row_number() OVER (ORDER BY image, caption) <= 8""",
+)
+def traj_misses(spark: SparkSession, sf: str) -> DataFrame:
+    return match.miss_report(looked_up(spark, sf), F.col("status") == "missing", ["image", "caption"])
+
+
+def looked_up(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select(
         F.concat(F.lit("img_"), F.col("user_id").cast("string")).alias("image"), F.col("event_type").alias("caption"),
         "event_id", "ts", "value",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import answers, checks, names, templates
 from sparkcurate.operators import gates, match, metrics, regroup
-from sparkcurate.plans.registry import query, table
+from sparkcurate.plans.registry import ORACLES, query, table
 
 AFFORDANCES = [*templates.CAN_PHRASES, "Scoop", "Type_on"]
 
@@ -189,6 +189,22 @@ def instruction_repair(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "repair_stats",
+    f"""SELECT 'instruction' AS kind, count(*) AS total, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE repaired) AS repaired,
+      count(*) FILTER (WHERE NOT ok) AS rejected, NULL::BIGINT AS repaired_q1, NULL::BIGINT AS repaired_q2 FROM ({ORACLES["instruction_repair"]})
+    UNION ALL SELECT 'query', count(*), count(*), NULL, NULL, count(*) FILTER (WHERE repaired_q1), count(*) FILTER (WHERE repaired_q2)
+    FROM ({ORACLES["query_repair"]})""",
+)
+def repair_stats(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    tasks = metrics.outcome_counts(instruction_repair(spark, sf), ok=c("ok"), repaired=c("repaired"), rejected=~c("ok"))
+    asked = metrics.outcome_counts(
+        query_repair(spark, sf), ok=F.lit(True), repaired_q1=c("repaired_q1"), repaired_q2=c("repaired_q2")
+    )
+    return tasks.withColumn("kind", F.lit("instruction")).unionByName(asked.withColumn("kind", F.lit("query")), True)
+
+
 @query(
     "template_lookup",
     f"""WITH p AS (SELECT p_partkey, object, {AFF_SQL} AS aff FROM ({PARTS}))
@@ -244,8 +260,8 @@ def caption_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "row_uid",
-    f"""WITH p AS ({PARTS}) SELECT p_partkey, md5('{{"affordance":"' || p_type || '","image_path":"' || p_brand || '","object":"' || object
-      || '","part":"' || part || '","source":"part:' || p_partkey || '"}}') AS uid FROM p""",
+    f"""WITH p AS ({PARTS}) SELECT p_partkey, md5('{{"affordance": "' || p_type || '", "image_path": "' || p_brand || '", "object": "' || object
+      || '", "part": "' || part || '", "source": "part:' || p_partkey || '"}}') AS uid FROM p""",
 )
 def row_uid(spark: SparkSession, sf: str) -> DataFrame:
     uid = answers.row_uid(
@@ -278,6 +294,33 @@ def row_uid(spark: SparkSession, sf: str) -> DataFrame:
     FROM qc q LEFT JOIN b ON q.image = b.image AND q.description = b.description""",
 )
 def token_match(spark: SparkSession, sf: str) -> DataFrame:
+    return match.token_match(*described(spark, sf))
+
+
+MISSED = f"t AS ({ORACLES['token_match']}), miss AS (SELECT * FROM t WHERE ord IS NULL)"
+
+
+@query("missing_gt_counts", f"WITH {MISSED} SELECT status, count(*) AS n FROM miss GROUP BY 1")
+def missing_gt_counts(spark: SparkSession, sf: str) -> DataFrame:
+    asked, records = described(spark, sf)
+    return match.missing_audit(match.token_match(asked, records), records)["counts"]
+
+
+@query(
+    "missing_gt_parts",
+    f"""WITH {MISSED}, r AS (SELECT DISTINCT p_brand AS image, part || ' ' || lower(p_type) AS part FROM ({PARTS})),
+    n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY part) - 1 AS i FROM r
+      WHERE image IN (SELECT image FROM miss WHERE status = 'no_part_match'))
+    SELECT image, i // 1000 AS page, string_agg(part, '; ' ORDER BY part) AS parts FROM n GROUP BY 1, 2""",
+)
+def missing_gt_parts(spark: SparkSession, sf: str) -> DataFrame:
+    asked, records = described(spark, sf)
+    found = match.missing_audit(match.token_match(asked, records), records)["available"]
+    return found.withColumn("parts", F.array_join("parts", "; "))
+
+
+def described(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Descriptions asked for, and the part records of each image."""
     rows = parts(spark, sf, "p_brand", F.lower("p_type").alias("kind"))
     p, o, k = F.col("part"), F.col("object"), F.col("kind")
     long_part = F.concat(p, F.lit(" "), k)
@@ -288,7 +331,7 @@ def token_match(spark: SparkSession, sf: str) -> DataFrame:
     image = F.when(F.col("p_partkey") % 17 == 0, "Brand#99").otherwise(F.col("p_brand"))
     asked = rows.select(image.alias("image"), description.alias("description"))
     records = rows.select(F.col("p_brand").alias("image"), long_part.alias("part"), "object", F.col("p_partkey").alias("ord"))
-    return match.token_match(asked, records)
+    return asked, records
 
 
 ALIASES = {"smal ring": "small ring", "blu bolt": "blue bolt", **templates.NAME_ALIASES}

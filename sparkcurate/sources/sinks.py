@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.operators.ranking import rank_rows
+from sparkcurate.operators.ranking import paged_lists, rank_rows
 
 
 def chunks(df: DataFrame, order: Sequence[Column], size: int = 20000) -> DataFrame:
@@ -43,8 +43,19 @@ def write_report(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_lines(df: DataFrame, path: str, line: str, folder: str | None = None) -> None:
-    """Text lines, in one folder per value of ``folder`` when given."""
+def label_files(df: DataFrame, stem: str, line: str, order: Sequence[Column], page_size: int = 10_000) -> DataFrame:
+    """Content of the label file of each image: its lines in box order, each with a line
+    feed. An image of more than ``page_size`` boxes continues on further pages."""
+    pages = paged_lists(df, [stem], order, F.col(line), page_size, "_lines")
+    return pages.select(stem, "page", F.concat(F.array_join("_lines", "\n"), F.lit("\n")).alias("content"))
+
+
+def write_lines(df: DataFrame, path: str, line: str, folder: str | None = None, order: Sequence[Column] = ()) -> None:
+    """Text lines, in one folder per value of ``folder`` when given. With ``order`` the lines
+    of a folder stand in order, through its part files by name."""
+    if order:
+        sort = [*([F.col(folder)] if folder else []), *order]
+        df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     out = df.select(line) if folder is None else df.select(folder, line)
     writer = out.write.mode("overwrite")
     (writer.partitionBy(folder) if folder else writer).text(path)

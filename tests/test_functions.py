@@ -1,5 +1,7 @@
 """Column expressions on literal rows."""
 
+import hashlib
+import json
 import math
 
 import pytest
@@ -248,6 +250,13 @@ def test_caption_compose(spark, caption, part, obj, want):
     assert one(spark, templates.compose_caption(*cols)) == want
 
 
+@pytest.mark.parametrize("fields", [{"object": "cup", "image_path": "a/x.jpg"}, {"object": 'say "hi"\\\n', "image_path": "café 杯 😀"}, {"object": "", "image_path": None}])
+def test_uid_is_the_digest_of_spaced_json(spark, fields):
+    text = json.dumps(fields, ensure_ascii=False, sort_keys=True)
+    cols = {k: F.lit(v).cast("string") for k, v in fields.items()}
+    assert one(spark, answers.row_uid(**cols)) == hashlib.md5(text.encode()).hexdigest()
+
+
 def test_uid_does_not_depend_on_argument_order(spark):
     a = answers.row_uid(object=lit("cup"), image_path=lit("x"))
     b = answers.row_uid(image_path=lit("x"), object=lit("cup"))

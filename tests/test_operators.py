@@ -307,13 +307,53 @@ def test_match_vocabulary_tiers(spark):
     assert got["i2", "wine glass"][1] is True
 
 
-def test_contains_pairs(spark):
+def test_names_match_where_either_holds_the_other(spark):
     left, right = ["ring", "small ring", "x", "", "gold ring box"], ["ring", "small", "box", "small ring", "xx"]
-    got = match.contains_pairs(
-        spark.createDataFrame([(x,) for x in left], "left string"), spark.createDataFrame([(x,) for x in right], "right string")
-    ).collect()
-    want = {(a, b) for a in left for b in right if a and (a in b or b in a)}
-    assert {tuple(r) for r in got} == want
+    asked = spark.createDataFrame([(f"{i}.{j}", a, 0) for i, a in enumerate(left) for j in range(len(right))], "image string, name string, k long")
+    boxes = [(f"{i}.{j}", b, 0, 0) for i in range(len(left)) for j, b in enumerate(right)]
+    got = match.nearest_rank(asked, spark.createDataFrame(boxes, "image string, category string, cat_index long, ord long")).collect()
+    assert len(got) == 25
+    for r in got:
+        other = right[int(r["image"][-1])]
+        assert (r["category"] == other) is (r["name"] in other or other in r["name"]), r
+
+
+def test_names_of_other_images_are_never_met(spark):
+    """One image, one name: categories elsewhere only decide whether the exact name exists."""
+    boxes = spark.createDataFrame([("a", "big cup", 0), ("b", "cup", 0), ("b", "cup", 1)], "image string, category string, ord long")
+    asked = spark.createDataFrame([("a", "cup", 0), ("a", "big", 0), ("b", "cup", 1), (None, "cup", 0)], "image string, name string, k long")
+    got = {(r["image"], r["name"]): r["ord"] for r in match.kth_match(asked, boxes, [F.col("ord")]).collect()}
+    assert got == {("a", "cup"): None, ("a", "big"): 0, ("b", "cup"): 1, (None, "cup"): None}
+
+
+def test_path_endings_read_backslashes_as_slashes(spark):
+    files = ["d\\1.jpg", "e/1.jpg", "f/1.jpg", "g\\2.jpg", "h\\g\\2.jpg"]
+    cat = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file_name string, ord long")
+    req = spark.createDataFrame([("/m/f\\1.jpg",), ("/m/x/d/1.jpg",), ("/m/g\\2.jpg",), ("q/d\\1.jpg",), ("/m\\e/1.jpg",)], "path string")
+    got = {m: {r["path"]: (r["file_name"], r["match_how"]) for r in match.resolve_entity(req, cat, m).collect()} for m in ("auto", "file_name")}
+    assert got["auto"] == {
+        "/m/f\\1.jpg": ("f/1.jpg", "file_name_suffix"), "/m/x/d/1.jpg": ("e/1.jpg", "ambiguous_fallback"),
+        "/m/g\\2.jpg": ("g\\2.jpg", "basename_unique"), "q/d\\1.jpg": ("d\\1.jpg", "basename_unique"),
+        "/m\\e/1.jpg": ("e/1.jpg", "file_name_suffix_from_ambiguous"),
+    }
+    assert got["file_name"]["/m/x/d/1.jpg"] == ("d\\1.jpg", "file_name_suffix")
+
+
+def test_miss_report(spark):
+    rows = spark.createDataFrame([(f"i{n:02d}", n % 2 == 0) for n in range(40)], "image string, found boolean")
+    got = sorted(match.miss_report(rows, ~F.col("found"), ["image"], examples=3).collect())
+    assert [tuple(r) for r in got] == [(0, None, 20), (1, "i01", None), (2, "i03", None), (3, "i05", None)]
+    none = match.miss_report(rows.filter("found"), ~F.col("found"), ["image"]).collect()
+    assert [tuple(r) for r in none] == [(0, None, 0)]
+
+
+def test_profile_summary_and_totals(spark):
+    clicks = spark.createDataFrame([("Positive", 1, 5), ("Positive", 3, 7), ("Negative", 8, 0), (None, 4, 4)], "sign string, x long, y long")
+    got = {r["click_type"]: r for r in metrics.profile_summary(clicks, "sign", "x", "y").collect()}
+    assert {k: (r["n"], r["share"]) for k, r in got.items()} == {"Positive": (2, 50.0), "Negative": (1, 25.0), None: (1, 25.0), "all": (4, 100.0)}
+    assert (got["all"]["min_x"], got["all"]["max_x"], got["all"]["mean_x"], got["all"]["mean_y"]) == (1, 8, 4.0, 4.0)
+    items = spark.createDataFrame([("1", "a"), ("1", "a"), ("1", "b"), ("2", "a")], "bucket string, image string")
+    assert sorted(tuple(r) for r in metrics.list_totals(items, "bucket", "image").collect()) == [("1", 2, 3), ("2", 1, 1)]
 
 
 ENTRIES = ["a/1.jpg", "b/1.jpg", "images/patch1/2.jpg", "images/patch12/2.jpg", "PATCH2/x/3.jpg", "q/3.jpg", "only/4.jpg", "5.jpg", "7.jpg", "a/9.jpg"]

@@ -176,3 +176,22 @@ def test_chat_record_rules(spark):
     df = spark.createDataFrame([(m, i, t, n) for n, (m, i, t, _) in enumerate(cases)], schema)
     got = {r["n"]: r["errors"] for r in checks.with_chat_errors(df, "there").collect()}
     assert got == {n: c[3] for n, c in enumerate(cases)}
+
+
+def test_label_files_keep_the_order(spark, tmp_path):
+    boxes = spark.createDataFrame([(f"s{n % 2}", n, f"{n} 0.5") for n in range(20)], "stem string, at long, line string").repartition(7)
+    files = sorted(tuple(r) for r in sinks.label_files(boxes, "stem", "line", [F.col("at")], page_size=6).collect())
+    assert [(s, p) for s, p, _ in files] == [("s0", 0), ("s0", 1), ("s1", 0), ("s1", 1)]
+    assert files[1][2] == "12 0.5\n14 0.5\n16 0.5\n18 0.5\n"
+    sinks.write_lines(boxes, str(tmp_path / "out"), "line", "stem", [F.col("at")])
+    for s in (0, 1):
+        parts = sorted((tmp_path / "out" / f"stem=s{s}").glob("part-*"))
+        assert "".join(p.read_text() for p in parts) == "".join(f"{n} 0.5\n" for n in range(s, 20, 2))
+
+
+def test_detection_samples_are_read_from_documents(spark, tmp_path):
+    note = {"category_id": 7, "bbox": [1.0, 2.0, 3.0, 4.0]}
+    samples = [{"media": {"media_path": f"train/objects365_v{v}_0{v}.jpg"}, "annotations": [note, {**note, "category_id": 8}]} for v in (1, 2)]
+    (tmp_path / "train.json").write_text(json.dumps({"samples": samples, "more": 1}, indent=1))
+    got = sorted(tuple(r) for r in documents.read_detection_samples(spark, str(tmp_path / "train.json")).collect())
+    assert got == [("objects365_v2_02", c, 1.0, 2.0, 4.0, 6.0) for c in (7, 8)]
