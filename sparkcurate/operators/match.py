@@ -343,15 +343,15 @@ def first_existing(
     df: DataFrame, keys: Sequence[str], candidates: Column, inventory: DataFrame, default: str = "last",
     out: str = "resolved",
 ) -> DataFrame:
-    """First candidate path that the inventory lists, else the last (or first) one.
-    ``df`` has one row per key."""
+    """First candidate path that the inventory lists, else the last (or first) one, or, by
+    default ``none``, null. ``df`` has one row per key."""
     ranked = df.select(*keys, F.posexplode(candidates).alias("_pos", "path"))
     hits = (
         ranked.join(inventory.select("path").distinct(), "path", "left_semi")
         .groupBy(*keys)
         .agg(F.min(F.struct("_pos", "path"))["path"].alias("_hit"))
     )
-    spare = F.element_at(candidates, -1 if default == "last" else 1)
+    spare = F.lit(None) if default == "none" else F.element_at(candidates, -1 if default == "last" else 1)
     return df.join(hits, list(keys), "left").withColumn(out, F.coalesce("_hit", spare)).drop("_hit")
 
 

@@ -156,9 +156,9 @@ def first_existing(spark: SparkSession, sf: str) -> DataFrame:
     )
     i = text(F.col("page_id") % 300)
     tries = F.array(cat("m/", i, "-", F.col("lang"), ".png"), cat("m/", i, ".png"), cat("m/none_", text("page_id"), ".png"))
-    out = match.first_existing(rows.select("page_id", "lang"), ["page_id"], tries, inv)
-    out = match.first_existing(out, ["page_id"], tries, inv, default="first", out="resolved_first")
-    return out.select("page_id", "resolved", "resolved_first")
+    # one lookup; both defaults are projections of its result
+    out = match.first_existing(rows.select("page_id", "lang"), ["page_id"], tries, inv, default="none", out="hit")
+    return out.select("page_id", *[F.coalesce("hit", tries[i]).alias(name) for i, name in ((2, "resolved"), (0, "resolved_first"))])
 
 
 @query(

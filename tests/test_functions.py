@@ -250,6 +250,12 @@ def test_caption_compose(spark, caption, part, obj, want):
     assert one(spark, templates.compose_caption(*cols)) == want
 
 
+def test_answers_that_hold_the_group_mark(spark):
+    rows = [(f"<ref>{d}</ref> Current IOU: 0.50  Positive point: (12, 34)",) for d in ("the lid", "the\x01lid")] + [("no\x01answer",)]
+    got = answers.with_click(spark.createDataFrame(rows, "t string"), "t", answers.ONE_CLICK_PATTERN).collect()
+    assert [(r["description"], r["x_norm"], r["is_positive"]) for r in got] == [("the lid", 12, True), ("the\x01lid", 12, True), (None, None, None)]
+
+
 @pytest.mark.parametrize("fields", [{"object": "cup", "image_path": "a/x.jpg"}, {"object": 'say "hi"\\\n', "image_path": "café 杯 😀"}, {"object": "", "image_path": None}])
 def test_uid_is_the_digest_of_spaced_json(spark, fields):
     text = json.dumps(fields, ensure_ascii=False, sort_keys=True)

@@ -178,6 +178,16 @@ def test_chat_record_rules(spark):
     assert got == {n: c[3] for n, c in enumerate(cases)}
 
 
+def test_row_slice_of_few_and_of_all(spark, monkeypatch):
+    rows = spark.createDataFrame([(n * 7 % 50,) for n in range(50)], "n long").repartition(6)
+    want = [(n, n) for n in range(10, 30)]
+    for few in (sinks.FEW, 5):
+        monkeypatch.setattr(sinks, "FEW", few)
+        assert sorted(tuple(r) for r in sinks.row_slice(rows, [F.col("n")], 10, 30).collect()) == want
+    assert sinks.row_slice(rows, [F.col("n")], 45, 99).count() == 5
+    assert sinks.row_slice(rows, [F.col("n")], 0, 0).count() == 0
+
+
 def test_label_files_keep_the_order(spark, tmp_path):
     boxes = spark.createDataFrame([(f"s{n % 2}", n, f"{n} 0.5") for n in range(20)], "stem string, at long, line string").repartition(7)
     files = sorted(tuple(r) for r in sinks.label_files(boxes, "stem", "line", [F.col("at")], page_size=6).collect())
