@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sparkcurate.llm import bpe, licences, mixing, quality, rules, sharding, simhash, suffixes, urls, vectors
+from sparkcurate.llm import bpe, licences, mixing, quality, rules, sharding, shingles, simhash, suffixes, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, row string, score string, tid string, number long"
 
@@ -107,6 +107,37 @@ def test_simhash_links_in_dense_lists(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def _shingles(text):
+    parts = (text or "").encode().translate(simhash.LOWER).split()
+    return frozenset(b" ".join(parts[i : i + 5]) for i in range(len(parts) - 4)) or frozenset([b" ".join(parts)] if parts else [])
+
+
+def _alike_groups(texts):
+    sets = [_shingles(t) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0]
+    return _components(len(sets), near)
+
+
+@pytest.mark.parametrize("few", [shingles.FEW, -1])
+def test_shingles_reach_similarity_of_four_fifths(spark, docs, texts, nothing, monkeypatch, few):
+    """Near copies of more than three bits meet; every round and the pairs left after them agree."""
+    monkeypatch.setattr(shingles, "FEW", few)
+    rnd = random.Random(11)
+    near = list(texts)
+    for n in (40, 150, 600):
+        base = _words(rnd, n).split()
+        near += [" ".join(base)] + [" ".join("new" if i in cut else w for i, w in enumerate(base)) for k in (1, 2, 3) for cut in [rnd.sample(range(n), max(1, k * n // 150))]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(near)], "doc_id long, text string").repartition(3)
+    roots = _alike_groups(near)
+    assert sorted(r.doc_id for r in shingles.keep_one(frame).collect()) == sorted(set(roots))
+    far = [(a, b) for a, b in itertools.combinations(range(len(texts), len(near)), 2) if roots[a] == roots[b] and (_print(near[a]) ^ _print(near[b])).bit_count() > 3]
+    assert far
+    if few >= 0:
+        kept = shingles.keep_one(docs)
+        assert kept.columns == docs.columns and kept.count() == len(set(_alike_groups(texts)))
+        assert shingles.keep_one(docs.union(docs)).count() == kept.count() and shingles.keep_one(nothing).count() == 0
+
+
 # ------------------------------------------------------------------------ suffixes
 
 
