@@ -4,7 +4,9 @@ Labelled page outcomes are counted per host. The share of bad pages is shrunk le
 level: the corpus is the prior of a suffix, the suffix of a registered domain, the domain
 of a host. The strength of each level's prior is its own moment estimate, so a level whose
 members differ little shrinks them much. A host without labels takes its domain's. A page is blocked if the lower posterior bound
-of its host's bad share is above the limit: few labels alone block nobody.
+of its host's bad share is above the limit and the host has earned it: it has bad pages of its
+own, and the bound stays above the limit when the prior is not worse than the limit, or is above
+the share of the whole corpus. Few labels alone block nobody, nor does a prior alone.
 
 SQL expressions only. The counts per host are aggregated before any shuffle and the join
 back has one row per host, so the adaptive skew join splits a host with a third of all pages.
@@ -21,6 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict) of the query's contract.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 LIMIT, Z = 0.25, 1.645  # blocked above this bad share, at a one-sided 95 % bound
+MARGIN = 0.01  # by which a bound exceeds the share of the corpus
 FLOOR, CEILING = 2.0, 1000.0  # least and most pages that a prior counts for
 
 
@@ -76,9 +79,15 @@ def _shrunk(level: DataFrame, above: DataFrame | float, on: list[str]) -> DataFr
     return out.withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """``host``, ``domain``, ``suffix``, pages ``n``, ``bad`` ones, posterior ``a``, ``b``, ``mean``
-    and ``lower`` per host of ``outcomes(host, n, bad)``: labelled pages and bad ones, both 0
+def _bound(a: Column, b: Column) -> Column:
+    """Lower bound of a beta posterior, by its standard deviation."""
+    total = a + b
+    return a / total - Z * F.sqrt(a * b / (total * total * (total + 1)))
+
+
+def reputation(outcomes: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """``host``, ``domain``, ``suffix``, pages ``n``, ``bad`` ones, posterior ``a``, ``b``, ``mean``,
+    ``lower`` and ``earned`` (evidence of its own for a block) per host of ``outcomes(host, n, bad)``: labelled pages and bad ones, both 0
     for a host without labels, which then stands on its domain's posterior."""
     domain, suffix = levels(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
@@ -88,11 +97,14 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(*sums)
     # One clean page beside the corpus: without labels nothing is blocked.
     n, bad = domains.agg(F.sum("n"), F.sum("bad")).first()
-    suffixes = materialise(_shrunk(suffixes, (bad or 0.0) / ((n or 0.0) + 1), []), "suffixes")
+    corpus = (bad or 0.0) / ((n or 0.0) + 1)
+    suffixes = materialise(_shrunk(suffixes, corpus, []), "suffixes")
     domains = materialise(_shrunk(domains, suffixes, ["suffix"]), "domains")
-    out = _shrunk(hosts, domains, ["domain", "suffix"])
-    total = F.col("a") + F.col("b")
-    return out.withColumn("lower", F.col("mean") - Z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1))))
+    out = _shrunk(hosts, domains, ["domain", "suffix"]).withColumn("lower", _bound(F.col("a"), F.col("b")))
+    k = F.col("a") + F.col("b") - F.col("n")
+    base = F.least(F.col("a") - F.col("bad"), k * limit)
+    own = _bound(base + F.col("bad"), k - base + F.col("n") - F.col("bad")) > limit
+    return out.withColumn("earned", (F.col("bad") > 0) & (own | (F.col("lower") > corpus + MARGIN)))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, page: str = "page_id", url: str = "url") -> DataFrame:
@@ -110,9 +122,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     zero = F.lit(0).cast("long")
     of_page = [(F.coalesce(c, zero) * F.col("copies")).alias(o) for c, o in (("times", "n"), ("bad", "bad"))]
     per_page = first.join(counts, "page", "left").select("host", *of_page)
-    known = materialise(reputation(per_page), "hosts")
-    out = rows.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).join(known.select("host", "lower"), "host", "left")
-    own = F.when(F.col("lower") > limit, "block").otherwise("allow")
+    known = materialise(reputation(per_page, limit), "hosts")
+    out = rows.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).join(known.select("host", "lower", "earned"), "host", "left")
+    own = F.when((F.col("lower") > limit) & F.col("earned"), "block").otherwise("allow")
     return out.select(F.col("page").alias(page), "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", own).alias("verdict"), "lower")
 
 

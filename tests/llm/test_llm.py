@@ -277,6 +277,21 @@ def test_reputation_shrinks_and_blocks(spark):
     assert rows["good.net"].lower < rows["two.net"].lower < rows["bad.net"].lower
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5])
+def test_bad_corpora_block_only_what_earned_it(spark, share):
+    """Hosts that hardly differ get the strongest prior; it blocks nobody without own evidence."""
+    counts = [(f"h{i}.d{i % 4}.net", 100, round(100 * share)) for i in range(40)]
+    counts += [("new.d1.net", 0, 0), ("clean.d1.net", 1, 0), ("few.d1.net", 1, 1), ("alone.com", 0, 0), ("worst.org", 400, 390)]
+    got = {r.host: r for r in urls.reputation(spark.createDataFrame(counts, "host string, n long, bad long")).collect()}
+    assert got["new.d1.net"].lower > urls.LIMIT
+    blocked = {h for h, r in got.items() if r.lower > urls.LIMIT and r.earned}
+    assert "worst.org" in blocked and blocked.isdisjoint({"new.d1.net", "clean.d1.net", "few.d1.net", "alone.com"})
+    pages = [(0, "https://new.d1.net/"), (1, "https://alone.com/x")] + [(i, f"https://h{i % 40}.d{i % 4}.net/{i}") for i in range(2, 2002)]
+    marks = [(i, i // 40 % 10 < 10 * share) for i in range(2, 2002)]
+    out = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(marks, "page long, bad boolean"))
+    assert {r.verdict for r in out.filter("page_id < 2").collect()} == {"allow"}
+
+
 # --------------------------------------------------------------------------- rules
 
 
