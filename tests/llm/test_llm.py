@@ -440,6 +440,31 @@ def test_licence_key_terms_lose_nothing():
             assert scanner.weigh(terms)[0] == pytest.approx(_dense(scanner, terms))
 
 
+def test_licences_are_told_from_their_relatives():
+    scanner = licences.Scanner()
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bsd, third = licences._BSD, "Neither the name of Example Corp nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    filler = " ".join(f"word{i}" for i in range(40))
+    want = {
+        gnu.format("program", "", 2): "GPL-2.0",
+        gnu.format("program", "", 3): "GPL-3.0",
+        gnu.format("program", "Affero ", 3): "AGPL-3.0",
+        gnu.format("library", "Lesser ", 3): "LGPL-3.0",
+        gnu.format("library", "Lesser ", "2.1"): "LGPL-2.1",
+        bsd.replace(": ", ":\n\n").replace(". ", ".\n\n"): "BSD-2-Clause",
+        bsd + "\n\n" + third: "BSD-3-Clause",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+        "Viel mit Worten": None,
+        filler: None,
+    }
+    for kind in ("", "-SA", "-NC", "-ND", "-NC-SA", "-NC-ND"):
+        want[f"Licensed under CC BY{kind} 4.0."] = want[f"{filler} Licensed under CC BY{kind} 4.0. {filler}"] = f"CC-BY{kind}-4.0"
+    assert {text: scanner.scan(text)[0] for text in want} == want
+    for name, text in licences.TEMPLATES:
+        assert scanner.scan(text)[0] == name, text
+
+
 def test_licences_inherit_from_the_nearest_directory(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     filler = " ".join(f"word{i}" for i in range(80))
