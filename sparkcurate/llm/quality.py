@@ -3,9 +3,10 @@
 The content view sees what a text says: hashed words and their shapes. The metadata view sees
 the page around it: length, lines, line lengths, character classes, language and source.
 Both are logistic regressions, fitted on a bounded sample of labelled rows. In every round
-each view labels rows of a bounded unlabelled pool; those it is sure of go to the *other*
-view's training set. At the end both are calibrated on held-out labels and combined, and
-every document is scored in one pass without a shuffle.
+each view labels all unlabelled documents; those it is surest of go to the *other* view's training
+set. Equal texts count once, and the picks of a class go round the sources and languages, so copies
+or one large source cannot fill them. Features are computed once and written. At the end both
+views are calibrated on held-out labels and combined, and every document is scored.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurate.session import materialise
 
 WORDS, META = 1024, 64  # hashed features of either view
-LABELLED, POOL = 5000, 5000  # bounds of the labelled sample and the unlabelled pool
-ROUNDS, SURE, SHARE = 3, 0.95, 0.1  # least confidence, largest share of the pool taken a round
+LABELLED = 5000  # bound of the labelled sample that is fitted
+ROUNDS, SURE, PICKS = 3, 0.95, 500  # least confidence, most pseudo-labels of a view and round
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = str.maketrans("", "", ".,;:!?\"'()-")
 
@@ -122,9 +123,9 @@ class Model:
         return sigmoid(logits(np.stack([logits(a, self.content), logits(b, self.metadata)], axis=1) / 4, self.combine))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model | None:
-    """Fit on labelled rows and an unlabelled pool; None unless both classes are there. A fifth
-    of the labelled rows is held out for calibration."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, exchange, rounds: int = ROUNDS) -> Model | None:
+    """Fit on labelled rows and on what ``exchange(weights, shares)`` picks for each view; None unless
+    both classes are there. A fifth of the labelled rows is held out for calibration."""
     if len(y) < 10 or len(set(y.tolist())) < 2:
         return None
     held = np.arange(len(y)) % 5 == 0
@@ -134,23 +135,12 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     train = [(v[~held], known) for v in views]
     told = []
     weights = [fit(*t) for t in train]
-    taken = [np.zeros(len(pool[0]), bool) for _ in range(2)]
-    for _ in range(rounds if len(pool[0]) else 0):
-        extra = []
-        for i in (0, 1):
-            p = sigmoid(logits(pool[i], weights[i]))
-            limit = max(1, int(SHARE * len(p)))
-            picks = []
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")
-                best = best[(sure[best] >= SURE) & ~taken[1 - i][best]][: max(1, int(limit * (known.mean() if label else 1 - known.mean())))]
-                picks.append((best, np.full(len(best), label)))
-            extra.append((np.concatenate([a for a, _ in picks]), np.concatenate([b for _, b in picks])))
-        for i in (0, 1):
-            rows, labels = extra[1 - i]
-            taken[i][rows] = True
-            train[i] = (np.vstack([train[i][0], pool[i][rows]]), np.concatenate([train[i][1], labels]))
-        told.append(tuple(len(e[0]) for e in extra))
+    for _ in range(rounds):
+        extra = exchange(weights, (1 - known.mean(), known.mean()))
+        if extra is None:
+            break
+        train = [(np.vstack([x, more]), np.concatenate([t, labels])) for (x, t), (more, labels) in zip(train, extra)]
+        told.append(tuple(len(labels) for _, labels in extra[::-1]))
         weights = [fit(*t) for t in train]
     check = held if held.any() else ~held
     own = np.stack([logits(v[check], w) for v, w in zip(views, weights)], axis=1) / 4
@@ -170,40 +160,94 @@ def _packed(x: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in x.astype(np.float16)]
 
 
-def _features(rows: DataFrame, name: str) -> DataFrame:
-    """Both views of the rows as arrays, computed on the executors."""
+def _unpacked(column) -> np.ndarray:
+    rows = list(column)
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+
+
+def _features(docs: DataFrame, key: str) -> DataFrame:
+    """``key``, a digest of what the views see, ``origin`` (of source and language) and both views as
+    arrays, one row per row of ``docs``; computed on the executors and written."""
+    rows = docs.select(F.col(f"`{key}`").alias("key"), *[_column(docs, c).alias(c) for c in ("text", "lang", "source")])
+    seen = F.struct(*[F.coalesce(F.sha2(c, 256), F.lit("")) for c in ("text", "lang", "source")])
+    rows = rows.withColumn("digest", F.sha2(F.to_json(seen), 256).substr(1, 32)).withColumn("origin", F.xxhash64(F.struct("source", "lang")))
 
     def compute(frames):
         for frame in frames:
-            a, b = _views(zip(frame["text"], frame["lang"], frame["source"]))
-            yield pd.DataFrame({"key": frame["key"], name: frame[name], "a": _packed(a), "b": _packed(b)})
+            for at in range(0, len(frame), 1024):
+                part = frame.iloc[at : at + 1024]
+                a, b = _views(zip(part["text"], part["lang"], part["source"]))
+                yield pd.DataFrame({"key": part["key"].array, "digest": part["digest"].array, "origin": part["origin"].array, "a": _packed(a), "b": _packed(b)})
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", name, "text", "lang", "source").mapInPandas(compute, f"key {kind}, {name} int, a binary, b binary")
+    return materialise(rows.mapInPandas(compute, f"key {kind}, digest string, origin long, a binary, b binary"), "features")
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", labelled: int = LABELLED, pool: int = POOL, seed: int = 42) -> Model | None:
-    """Fit on at most ``labelled`` labelled and ``pool`` other documents, chosen by the smallest
-    hashes of the key. The chosen keys are a table of bounded size, so the documents are met
-    by a broadcast join and only the features of the chosen ones reach the driver. Null keys
-    and null labels are left out; a key with several labels counts as the lowest."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), *[_column(docs, c).alias(c) for c in ("text", "lang", "source")])
+def _picks(every: DataFrame, known: DataFrame | None, weights: list[np.ndarray], shares: tuple[float, float], taken: list[set]) -> DataFrame:
+    """``view`` that is sure, ``digest`` and ``label``: per view and class its part of ``PICKS``, the
+    surest of every origin first, then the second of every origin, and so on. Digests in ``known``
+    have a label; they are left out after the scores, which are smaller than the features."""
+
+    def judge(frames):
+        for frame in frames:
+            for i, c in enumerate("ab"):
+                p = sigmoid(logits(_unpacked(frame[c]), weights[i])) if len(frame) else np.zeros(0)
+                sure = np.maximum(p, 1 - p)
+                ok = (sure >= SURE) & ~frame["digest"].isin(taken[1 - i]).to_numpy()
+                yield pd.DataFrame({"view": i, "digest": frame["digest"][ok], "origin": frame["origin"][ok], "label": (p[ok] >= 0.5).astype(int), "sure": sure[ok]})
+
+    found = every.select("digest", "origin", "a", "b").mapInPandas(judge, "view int, digest string, origin long, label int, sure double")
+    found = found.groupBy("view", "label", "origin", "digest").agg(F.max("sure").alias("sure"))
+    found = found if known is None else found.join(known, "digest", "left_anti")
+    order = [F.desc("sure"), "digest"]
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("view", "label", "origin").orderBy(*order))).filter(F.col("place") <= PICKS)
+    found = materialise(found, "sure")
+    parts = [
+        found.filter((F.col("view") == i) & (F.col("label") == k)).orderBy("place", *order).limit(max(1, int(PICKS * shares[k])))
+        for i in (0, 1)
+        for k in (0, 1)
+    ]
+    return materialise(parts[0].union(parts[1]).union(parts[2]).union(parts[3]).select("view", "digest", "label"), "picks")
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, labelled: int, seed: int) -> tuple[Model | None, DataFrame]:
+    """The model, and the features of all documents."""
+    every = _features(docs, key)
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).dropna()
-    pick = F.xxhash64(F.lit(seed), "key")
     marks = marks.groupBy("key").agg(F.min("y").alias("y"))
-    own = rows.select("key").dropna().distinct()
-    some = own.join(marks, "key").orderBy(pick, "key").limit(labelled)
-    rest = own.join(marks, "key", "left_anti").orderBy(pick, "key").limit(pool)
-    chosen = some.union(rest.select("key", F.lit(-1).alias("y")))
-    chosen = materialise(chosen, "chosen")
-    found = rows.join(F.broadcast(chosen), "key")  # at most labelled + pool keys
-    got = _features(found, "y").toPandas().drop_duplicates("key")
+    own = every.select("key").dropna().distinct()
+    chosen = materialise(own.join(marks, "key").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(labelled), "chosen")
+    got = every.join(F.broadcast(chosen), "key").select("key", "y", "a", "b").toPandas().drop_duplicates("key")  # at most labelled keys
     got = got.iloc[np.argsort([zlib.crc32(repr(k).encode()) for k in got["key"]], kind="stable")]
     if not len(got):
-        return None
-    views = [np.frombuffer(b"".join(got.pop(c)), np.float16).reshape(len(got), -1).astype(np.float32) for c in ("a", "b")]
-    y = got["y"].to_numpy()
-    return co_train(tuple(v[y >= 0] for v in views), (y[y >= 0] > 0).astype(int), tuple(v[y < 0] for v in views))
+        return None, every
+    views = tuple(_unpacked(got.pop(c)) for c in ("a", "b"))
+    known = materialise(every.select("key", "digest").join(marks, "key", "left_semi").select("digest").distinct(), "known")
+    taken = [set(), set()]
+
+    def exchange(weights, shares):
+        picks = _picks(every, known, weights, shares, taken)
+        rows = every.join(F.broadcast(picks), "digest").groupBy("view", "label", "digest").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+        rows = rows.toPandas().sort_values(["view", "label", "digest"])  # at most 2 * PICKS rows, and one for a class of no share
+        if not len(rows):
+            return None
+        out = []
+        for i, c in enumerate("ab"):
+            mine = rows[rows["view"] == 1 - i]
+            taken[i].update(mine["digest"])
+            out.append((_unpacked(mine[c]) if len(mine) else np.zeros((0, views[i].shape[1]), np.float32), mine["label"].to_numpy().astype(float)))
+        return out
+
+    return co_train(views, (got["y"].to_numpy() > 0).astype(int), exchange), every
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", labelled: int = LABELLED, seed: int = 42) -> Model | None:
+    """Fit on at most ``labelled`` labelled documents, chosen by the smallest hashes of the key, and
+    on pseudo-labels picked from all documents without a label. The chosen keys are a table of
+    bounded size, so the features are met by a broadcast join and only those of the chosen
+    reach the driver. Null labels are left out; a key with several labels counts as the lowest.
+    A document of a null key has no label; a copy of a labelled one is not unlabelled."""
+    return _fitted(docs, labels, key, label, labelled, seed)[0]
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
@@ -242,4 +286,15 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFra
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score(docs, train(docs, labels)).select("doc_id", "score", F.coalesce(F.col("score") >= KEEP, F.lit(True)).alias("kept"))
+    model, every = _fitted(docs, labels, "doc_id", "quality", LABELLED, 42)
+    if model is None:
+        out = every.select("key", F.lit(None).cast("double").alias("score"))
+    else:
+        shared = spark.sparkContext.broadcast(model)
+
+        @F.pandas_udf("double")
+        def judged(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(shared.value.score(_unpacked(a), _unpacked(b)) if len(a) else np.zeros(0))
+
+        out = every.select("key", judged("a", "b").alias("score"))
+    return out.select(F.col("key").alias("doc_id"), "score", F.coalesce(F.col("score") >= KEEP, F.lit(True)).alias("kept"))

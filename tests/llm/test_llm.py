@@ -362,6 +362,23 @@ def test_cotraining_on_held_out_rows(spark, sf_dir):
     assert np.mean([r.score >= 0.5 for r in rest if r.quality == 1]) > 0.97
 
 
+def test_cotraining_picks_from_all_texts_and_sources(spark, monkeypatch):
+    """Copies count once, and a rare source is picked beside a large one."""
+    monkeypatch.setattr(quality, "PICKS", 20)
+    rnd = random.Random(2)
+    rows = [(i, "spam buy " * 9 if i < 900 else f"spam buy now {_words(rnd, 6)}", "en", "big") for i in range(1000)]
+    rows += [(1000 + i, f"spam buy rare {_words(rnd, 6)}", "xx", "rare") for i in range(3)]
+    every = quality._features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id")
+    sure = [np.concatenate([np.zeros(n), [-9.0]]) for n in (quality.WORDS, quality.META)]
+    got = [tuple(r) for r in quality._picks(every, None, sure, (0.5, 0.5), [set(), set()]).collect()]
+    assert len(got) == len(set(got)) == 20 and {x[2] for x in got} == {0}
+    keys = defaultdict(list)
+    for r in every.select("key", "digest").collect():
+        keys[r.digest].append(r.key)
+    for view in (0, 1):
+        assert sum(keys[d][0] >= 1000 for v, d, _ in got if v == view) == 3
+
+
 def test_quality_without_usable_labels(spark, docs, nothing, texts):
     one = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
     none = spark.createDataFrame([], "doc_id long, quality int")
