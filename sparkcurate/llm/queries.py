@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkcurate.llm import alignment, bpe, decontam, licences, mixing, quality, rules, sharding, simhash, suffixes, urls, vectors
+from sparkcurate.llm import alignment, bpe, decontam, licences, mixing, quality, rules, sharding, simhash, suffixes, trie, urls, vectors
 
 QUERIES = {
     "op1_mix_temperature": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_doubling": suffixes.query,
     "op9_url_reputation": urls.query,
     "op10_bpe_words": bpe.query,
+    "op11_turn_trie": trie.query,
     "op12_exact_alignment": alignment.query,
     "op13_test_suffixes": decontam.query,
 }
@@ -22,6 +23,8 @@ ORACLES = {
     "op5_rule_ledger": rules.SQL,
     "op6_vector_pivots": vectors.SQL,
     "op9_url_reputation": urls.SQL,
+    "op11_turn_trie": trie.query,
     "op12_exact_alignment": alignment.query,
+    "op11_turn_trie": trie.SQL,
     "op13_test_suffixes": decontam.SQL,
 }
