@@ -20,8 +20,8 @@ import base64
 import functools
 import heapq
 import itertools
+import math
 import re
-import uuid
 import zlib
 from collections import defaultdict
 
@@ -34,10 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkcurate.session import new_path
+from sparkcurate.llm.tables import bucketed
+from sparkcurate.session import materialise
 
-CHUNK_BYTES = 16 << 20
-LONG_TEXT = 1 << 22
+CHUNK_BYTES = 4 << 20
+LONG_TEXT = 1 << 20  # characters of a text, and of a piece of a longer one
+PART_BYTES = 64 << 20  # of text, for each slice of the words
+PACK = 1 << 18  # numbers packed at a time
 LONG_WORD = 48
 NEVER = b"\xff"  # no byte of UTF-8: parts words
 
@@ -77,7 +80,9 @@ def spelled_out(pattern: str) -> str:
     return "".join(out)
 
 
-compiled = functools.lru_cache(re.compile)
+@functools.lru_cache
+def compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
 
 
 # ---------------------------------------------------------------------------- encoding
@@ -131,7 +136,11 @@ def _encode_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> list[int
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Variable-length form: seven bits a byte, low ones first."""
+    """Variable-length form: seven bits a byte, low ones first; below 2**35."""
+    return b"".join(_pack(numbers[i : i + PACK]) for i in range(0, len(numbers), PACK))
+
+
+def _pack(numbers: np.ndarray) -> bytes:
     x = numbers.astype(np.uint64)
     size = 1 + sum((x >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 5))
     at = np.cumsum(size) - size
@@ -163,32 +172,47 @@ def lay_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------------------ the jobs
 
 
+def pieces(pattern: re.Pattern, text: str):
+    """The pre-tokens of ``text``, in lists of about ``LONG_TEXT`` characters."""
+    if len(text) < LONG_TEXT:
+        yield pattern.findall(text)
+        return
+    own, at = [], 0
+    for found in pattern.finditer(text):
+        own.append(found[0])
+        if found.end() - at >= LONG_TEXT:
+            yield own
+            own, at = [], found.end()
+    yield own
+
+
 class _Chunk:
-    """Texts of one chunk as positions in a word list."""
+    """Texts of one chunk, or pieces of texts, as positions in a word list."""
 
-    def __init__(self, pattern: str, parts: int):
-        self.pattern, self.parts = compiled(pattern), parts
+    def __init__(self, parts: int):
+        self.parts = parts
         self.words: dict[str, int] = defaultdict(itertools.count().__next__)
         self.keys: list = []
+        self.cuts: list[tuple] = []  # number of a text in several pieces, and of the piece
         self.texts: list[np.ndarray] = []
         self.bytes = 0
 
-    def add(self, key, text: str | None) -> None:
-        text = text or ""
-        if len(text) < LONG_TEXT:
-            found = self.pattern.findall(text)
-        else:
-            found = (m[0] for m in self.pattern.finditer(text))
+    def add(self, key, cut: tuple, found: list[str], size: int) -> None:
         self.keys.append(key)
-        self.texts.append(np.fromiter(map(self.words.__getitem__, found), np.int32))
-        self.bytes += len(text) + 64
+        self.cuts.append(cut)
+        self.texts.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
+        self.bytes += size + 64
 
     def row(self, number: int) -> dict:
-        places = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int32)
-        by_use = np.argsort(-np.bincount(places, minlength=len(self.words)), kind="stable")
-        new = np.empty(len(by_use), np.int64)
-        new[by_use] = np.arange(len(by_use))
+        sizes = [len(t) for t in self.texts]
+        uses = np.zeros(len(self.words), np.int64)
+        for at in range(0, len(self.texts), 256):
+            uses += np.bincount(np.concatenate(self.texts[at : at + 256]), minlength=len(uses))
+        by_use = np.argsort(-uses, kind="stable")
+        new = np.empty(len(by_use), np.int32)
+        new[by_use] = np.arange(len(by_use), dtype=np.int32)
         raw = [w.encode("utf-8") for w in self.words]
+        self.words.clear()
         raw = [raw[i] for i in by_use]
         part = np.array([zlib.crc32(w) % self.parts for w in raw], np.int32)
         order = np.argsort(part, kind="stable")
@@ -196,46 +220,50 @@ class _Chunk:
         slices = [
             {"part": int(part[own[0]]), "words": NEVER.join([raw[i] for i in own])} for own in np.split(order, cuts[1:]) if len(own)
         ]
-        return {
-            "chunk": number,
-            "keys": self.keys,
-            "sizes": [len(t) for t in self.texts],
-            "places": pack(new[places]),
-            "part": pack(part),
-            "slices": slices,
-        }
+        del raw
+        places = b"".join(pack(new[t]) for t in self.texts)
+        self.texts.clear()
+        cut, piece = zip(*self.cuts)
+        return {"chunk": number, "keys": self.keys, "cut": cut, "piece": piece, "sizes": sizes, "places": places, "part": pack(part), "slices": slices}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs[key]`` and ``ids`` (the token ids of ``text``), one row per row of ``docs``.
 
     Null and empty texts have no ids. Keys may be null or repeat: rows travel as rows and
-    are never joined on the key. Texts of any length are whole. Other columns are not read.
+    are never joined on the key. Texts of any length are whole: long ones travel in pieces, cut
+    between pre-tokens, and meet at the end. Other columns are not read.
     """
     spark = docs.sparkSession
+    size = F.col(f"`{text}`").cast("string")
+    total, longest = (x or 0 for x in docs.agg(F.sum(F.octet_length(size)), F.max(F.length(size))).first())
     kind = docs.select(F.col(f"`{key}`").alias("key")).schema["key"].dataType
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(buckets, math.ceil(total / PART_BYTES))
     slices = T.ArrayType(T.StructType().add("part", "integer").add("words", "binary"))
-    shape = T.StructType().add("chunk", "long").add("keys", T.ArrayType(kind)).add("sizes", T.ArrayType(T.IntegerType()))
+    shape = T.StructType().add("chunk", "long").add("keys", T.ArrayType(kind)).add("cut", T.ArrayType(T.LongType()))
+    shape = shape.add("piece", T.ArrayType(T.IntegerType())).add("sizes", T.ArrayType(T.IntegerType()))
     shape = shape.add("places", "binary").add("part", "binary").add("slices", slices)
     arrow, plain = to_arrow_schema(shape), spelled_out(pattern)
 
     def split(batches):
-        numbers = itertools.count(TaskContext.get().partitionId() << 32)
-        own = _Chunk(plain, parts)
+        words, first = compiled(plain), TaskContext.get().partitionId() << 32
+        numbers, texts = itertools.count(first), itertools.count(first)
+        own = _Chunk(parts)
         for batch in batches:
-            for row_key, row_text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own.add(row_key, row_text.as_py())
-                if own.bytes >= CHUNK_BYTES:
-                    yield pa.RecordBatch.from_pylist([own.row(next(numbers))], arrow)
-                    own = _Chunk(plain, parts)
+            for row_key, row_text in zip(batch.column(0), batch.column(1)):
+                row_key, row_text = row_key.as_py(), row_text.as_py() or ""
+                number = next(texts) if len(row_text) >= LONG_TEXT else None
+                for piece, found in enumerate(pieces(words, row_text)):
+                    own.add(row_key, (number, piece), found, min(len(row_text), LONG_TEXT))
+                    if own.bytes >= CHUNK_BYTES:
+                        yield pa.RecordBatch.from_pylist([own.row(next(numbers))], arrow)
+                        own = _Chunk(parts)
         if own.keys:
             yield pa.RecordBatch.from_pylist([own.row(next(numbers))], arrow)
 
     chunks = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(split, shape)
-    name = f"chunks_{uuid.uuid4().hex}"
-    chunks.write.bucketBy(parts, "chunk").format("parquet").option("compression", "zstd").option("path", new_path(spark, "chunks")).saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = bucketed(chunks, "chunk", buckets, "chunks")
     shared = spark.sparkContext.broadcast(ranks)
 
     def once(table: pa.Table) -> pa.Table:
@@ -254,7 +282,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
 
     words = chunks.select("chunk", F.explode("slices").alias("s")).select("chunk", "s.part", "s.words")
     coded = words.groupBy("part").applyInArrow(once, "chunk long, part int, ids binary, sizes binary")
-    result = T.StructType().add("key", kind).add("ids", T.ArrayType(T.IntegerType()))
+    result = T.StructType().add("key", kind).add("cut", "long").add("piece", "integer").add("ids", T.ArrayType(T.IntegerType()))
     out_arrow = to_arrow_schema(result)
 
     def lay(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -277,10 +305,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
             at += n
         ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else flat))
-        return pa.table([pa.array(row["keys"], out_arrow.field(0).type), ids.cast(out_arrow.field(1).type)], ["key", "ids"])
+        plain = [pa.array(x, f.type) for x, f in zip((row["keys"], row["cut"], row["piece"]), out_arrow)]
+        return pa.table([*plain, ids.cast(out_arrow.field("ids").type)], schema=out_arrow)
+
+    rows = chunks.drop("slices").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lay, result)
+    return _joined(rows, longest >= LONG_TEXT).withColumnRenamed("key", key)
+
 
-    rows = chunks.select("chunk", "keys", "sizes", "places", "part").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lay, result)
-    return rows.withColumnRenamed("key", key)
+def _joined(rows: DataFrame, cut: bool) -> DataFrame:
+    """One row per text; pieces of a long one are put together."""
+    if not cut:
+        return rows.select("key", "ids")
+    rows = materialise(rows, "ids")
+    of = F.array_sort(F.collect_list(F.struct("piece", "ids")))
+    long = rows.filter("cut is not null").groupBy("cut").agg(F.first("key").alias("key"), F.flatten(of["ids"]).alias("ids"))
+    return rows.filter("cut is null").select("key", "ids").unionByName(long.select("key", "ids"))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "bytes") -> DataFrame:

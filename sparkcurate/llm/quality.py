@@ -17,14 +17,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkcurate.session import materialise
 
 WORDS, META = 1024, 64  # hashed features of either view
 LABELLED = 5000  # bound of the labelled sample that is fitted
 ROUNDS, SURE, PICKS = 3, 0.95, 500  # least confidence, most pseudo-labels of a view and round
+SLICE = 512  # rows whose features are in memory together
+SALTS = 64  # parts of an origin that are ranked before the origin is
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = str.maketrans("", "", ".,;:!?\"'()-")
 
@@ -149,10 +154,10 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, exchange, roun
 
 def _views(rows) -> tuple[np.ndarray, np.ndarray]:
     """Both views of (text, lang, source) rows."""
-    rows = list(rows)
-    if not rows:
+    made = [(content_features(r[0]), metadata_features(*r)) for r in rows]
+    if not made:
         return np.zeros((0, WORDS)), np.zeros((0, META))
-    return np.stack([content_features(r[0]) for r in rows]), np.stack([metadata_features(*r) for r in rows])
+    return np.stack([a for a, _ in made]), np.stack([b for _, b in made])
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
@@ -165,22 +170,30 @@ def _unpacked(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
 
 
+def _digest(text: Column, lang: Column, source: Column) -> Column:
+    """Name of what the views see: equal inputs have equal features and scores."""
+    seen = [F.coalesce(F.sha2(c, 256), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))]
+    return F.sha2(F.to_json(F.struct(*seen)), 256).substr(1, 32)
+
+
 def _features(docs: DataFrame, key: str) -> DataFrame:
     """``key``, a digest of what the views see, ``origin`` (of source and language) and both views as
     arrays, one row per row of ``docs``; computed on the executors and written."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), *[_column(docs, c).alias(c) for c in ("text", "lang", "source")])
-    seen = F.struct(*[F.coalesce(F.sha2(c, 256), F.lit("")) for c in ("text", "lang", "source")])
-    rows = rows.withColumn("digest", F.sha2(F.to_json(seen), 256).substr(1, 32)).withColumn("origin", F.xxhash64(F.struct("source", "lang")))
+    rows = rows.withColumn("digest", _digest(F.col("text"), F.col("lang"), F.col("source"))).withColumn("origin", F.xxhash64(F.struct("source", "lang")))
+    shape = T.StructType([rows.schema[c] for c in ("key", "digest", "origin")]).add("a", "binary").add("b", "binary")
+    arrow = to_arrow_schema(shape)
 
-    def compute(frames):
-        for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
-                a, b = _views(zip(part["text"], part["lang"], part["source"]))
-                yield pd.DataFrame({"key": part["key"].array, "digest": part["digest"].array, "origin": part["origin"].array, "a": _packed(a), "b": _packed(b)})
+    def compute(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                text, lang, source = (part.column(c) for c in ("text", "lang", "source"))
+                a, b = _views((t.as_py(), x.as_py(), y.as_py()) for t, x, y in zip(text, lang, source))
+                views = [pa.array(_packed(x), pa.binary()) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("key", "digest", "origin")], *views], schema=arrow)
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return materialise(rows.mapInPandas(compute, f"key {kind}, digest string, origin long, a binary, b binary"), "features")
+    return materialise(rows.mapInArrow(compute, shape), "features")
 
 
 def _picks(every: DataFrame, known: DataFrame | None, weights: list[np.ndarray], shares: tuple[float, float], taken: list[set]) -> DataFrame:
@@ -200,7 +213,10 @@ def _picks(every: DataFrame, known: DataFrame | None, weights: list[np.ndarray],
     found = found.groupBy("view", "label", "origin", "digest").agg(F.max("sure").alias("sure"))
     found = found if known is None else found.join(known, "digest", "left_anti")
     order = [F.desc("sure"), "digest"]
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy("view", "label", "origin").orderBy(*order))).filter(F.col("place") <= PICKS)
+    # a row that is not among the first of its part is not among the first of its origin
+    found = found.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    for group in (["view", "label", "origin", "salt"], ["view", "label", "origin"]):
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("place") <= PICKS)
     found = materialise(found, "sure")
     parts = [
         found.filter((F.col("view") == i) & (F.col("label") == k)).orderBy("place", *order).limit(max(1, int(PICKS * shares[k])))
@@ -217,7 +233,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, labelled:
     marks = marks.groupBy("key").agg(F.min("y").alias("y"))
     own = every.select("key").dropna().distinct()
     chosen = materialise(own.join(marks, "key").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(labelled), "chosen")
-    got = every.join(F.broadcast(chosen), "key").select("key", "y", "a", "b").toPandas().drop_duplicates("key")  # at most labelled keys
+    got = every.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("y").alias("y"), F.min(F.struct("digest", "a", "b")).alias("f"))
+    got = got.select("key", "y", "f.a", "f.b").toPandas()  # a row per chosen key: at most ``labelled``
     got = got.iloc[np.argsort([zlib.crc32(repr(k).encode()) for k in got["key"]], kind="stable")]
     if not len(got):
         return None, every
@@ -275,26 +292,33 @@ def _column(docs: DataFrame, name: str) -> Column:
 KEEP = 0.5
 
 
+def _judged(every: DataFrame, model: Model) -> DataFrame:
+    """Written features with their ``score``."""
+    shared = every.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def judged(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(_unpacked(a), _unpacked(b)) if len(a) else np.zeros(0))
+
+    return every.withColumn("score", judged("a", "b"))
+
+
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that the classifier does not reject, columns as they are. Without usable
-    labels nothing is rejected."""
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[_column(docs, c).alias(c) for c in ("text", "lang", "source")])
-    scored = score(rows, train(docs, labels, key))
-    return scored.filter(F.coalesce(F.col("score") >= KEEP, F.lit(True))).select("row.*")
+    labels nothing is rejected. The written features are scored; the digests of the rejected, a row
+    for each, go back to the documents."""
+    model, every = _fitted(docs, labels, key, "quality", LABELLED, 42)
+    if model is None:
+        return docs
+    rejected = _judged(every, model).filter(F.col("score") < KEEP).select("digest").distinct()
+    rejected = materialise(rejected, "rejected")
+    own = _digest(*[_column(docs, c) for c in ("text", "lang", "source")])
+    return docs.join(rejected, own == rejected["digest"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model, every = _fitted(docs, labels, "doc_id", "quality", LABELLED, 42)
-    if model is None:
-        out = every.select("key", F.lit(None).cast("double").alias("score"))
-    else:
-        shared = spark.sparkContext.broadcast(model)
-
-        @F.pandas_udf("double")
-        def judged(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.score(_unpacked(a), _unpacked(b)) if len(a) else np.zeros(0))
-
-        out = every.select("key", judged("a", "b").alias("score"))
+    scored = every.withColumn("score", F.lit(None).cast("double")) if model is None else _judged(every, model)
+    out = scored.select("key", "score")
     return out.select(F.col("key").alias("doc_id"), "score", F.coalesce(F.col("score") >= KEEP, F.lit(True)).alias("kept"))

@@ -23,8 +23,6 @@ ORACLES = {
     "op5_rule_ledger": rules.SQL,
     "op6_vector_pivots": vectors.SQL,
     "op9_url_reputation": urls.SQL,
-    "op11_turn_trie": trie.query,
-    "op12_exact_alignment": alignment.query,
     "op11_turn_trie": trie.SQL,
     "op13_test_suffixes": decontam.SQL,
 }

@@ -1,13 +1,14 @@
-"""Removal of long byte strings that occur more than once, by distributed prefix doubling.
+"""Removal of long byte strings that occur more than once, by names of doubled length.
 
-The rank of a position names the string that starts there. Ranks of 8 bytes are the bytes
-themselves; ranks of 16, 32, ... bytes name the pair (rank here, rank one length further),
-so a doubling costs one vector step and no shuffle. Ranks are 64-bit names instead of
-places in a sorted list: only equality counts here, and a name is the same in every task.
-Two different strings share a name with probability 2**-64. That only lets a start through
-the first sort; the second, which decides, compares two independent names (96 bits).
+This is prefix doubling without its sorts. The rank of a position names the string that starts
+there. Ranks of 8 bytes are the bytes themselves; ranks of 16, 32, ... bytes name the pair (rank
+here, rank one length further), so a doubling costs one vector step and no shuffle. Ranks are
+64-bit names instead of places in a sorted list: only equality counts here, and a name is the
+same in every task. Two different strings share a name with probability 2**-64. That only lets a
+start through the first comparison; the second, which decides, compares two independent names (96
+bits).
 
-Spark sorts ranks twice and drops what is unique, over growing lengths:
+Spark groups ranks twice, by slices of their range, and drops what is unique:
 
 1. ranks of ``base`` bytes, the largest power of two up to the threshold, at sampled
    positions: those that hold the smallest rank of a window of ``length - base + 1``
@@ -25,18 +26,19 @@ shuffled once and stay in a table bucketed by ``bucket``; every pass reads it in
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.session import materialise, new_path
+from sparkcurate.llm.tables import bucketed
+from sparkcurate.session import materialise
 
 LENGTH = 400
 SLICE = 1 << 19
 BUCKET_BYTES = 4 << 20
+PART_BYTES = 16 << 20  # of text, for each slice of a rank's range
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 NAMINGS = ((M1, M2), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)))
 S32, S29 = np.uint64(32), np.uint64(29)
@@ -233,16 +235,15 @@ FOUND = "tid string, n_removed long, spans array<struct<start:long,end:long>>, k
 def _texts(docs: DataFrame, text: str, length: int) -> tuple[DataFrame, int]:
     """One row per distinct text of at least ``length`` bytes, in buckets: ``bucket, tid, copies, text``."""
     spark = docs.sparkSession
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     long = docs.select(body.alias("text")).filter(F.octet_length("text") >= length)
     total = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(n, math.ceil(total / PART_BYTES))
     buckets = n * max(1, math.ceil(total / (n * BUCKET_BYTES)))
     once = long.withColumn("tid", F.sha2("text", 256)).groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     once = once.withColumn("bucket", F.pmod(F.hash("tid"), F.lit(buckets)))
-    name = f"texts_{uuid.uuid4().hex}"
-    once.write.bucketBy(n, "bucket").format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name), n
+    return bucketed(once, "bucket", n, "texts"), parts
 
 
 def _round(texts: DataFrame, parts: int, length: int, answers: DataFrame | None) -> DataFrame:
@@ -344,4 +345,6 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "tid").alias("kept_sha256"),
+        (F.col("n_bytes") - F.coalesce("n_removed", zero)).alias("n_kept"),
+        (F.coalesce("n_removed", zero) > 0).alias("removed"),
     )

@@ -159,7 +159,7 @@ def _cut(texts, length):
 def test_suffix_spans(spark, docs, texts, tmp_path, monkeypatch, slice_bytes):
     monkeypatch.setattr(suffixes, "SLICE", slice_bytes)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: tuple(r)[1:] for r in suffixes.query(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in suffixes.query(spark, str(tmp_path)).collect()}
     for i, (n, removed, spans, kept) in enumerate(_cut(texts, 400)):
         assert got[i if i != 3 else None] == (n, removed, spans, hashlib.sha256(kept).hexdigest()), i
     assert sum(x[1] for x in got.values()) > 5000
@@ -187,10 +187,32 @@ def test_suffix_texts(docs, texts, nothing):
     assert suffixes.without_repeats(nothing).count() == 0
 
 
+def test_planted_passages_are_removed(spark, tmp_path):
+    """Passages of 400 bytes and more that stand in several texts go, shorter ones and clean texts stay."""
+    rnd = random.Random(17)
+
+    def some(n):
+        return "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    planted, rows = {}, []
+    for size in (399, 400, 401, 650, 3000):
+        passage = f"#{some(size - 2)}#"
+        for mark in "ABC":  # so that no copy goes on beyond the passage
+            planted[len(rows)] = size
+            rows.append((len(rows), f"{some(200)}{mark}{passage}{mark}{some(200)}"))
+    clean = range(len(rows), len(rows) + 20)
+    rows += [(i, some(900)) for i in clean]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffixes.query(spark, str(tmp_path)).collect()}
+    assert all(got[i].n_removed == (size if size >= 400 else 0) for i, size in planted.items())
+    assert all(got[i].removed == (size >= 400) and got[i].n_kept == got[i].n_bytes - got[i].n_removed for i, size in planted.items())
+    assert not any(got[i].removed for i in clean)
+
+
 # ----------------------------------------------------------------------------- bpe
 
 
-@pytest.mark.parametrize("chunk", [16 << 20, 3000])
+@pytest.mark.parametrize("chunk", [bpe.CHUNK_BYTES, 3000])
 def test_bpe_is_tiktoken(spark, docs, texts, nothing, monkeypatch, chunk):
     import public_tokenizers
     import tiktoken
@@ -208,6 +230,22 @@ def test_bpe_is_tiktoken(spark, docs, texts, nothing, monkeypatch, chunk):
     assert bpe.digest(nothing).count() == 0
 
 
+def test_bpe_of_texts_in_pieces(spark):
+    """Texts above ``LONG_TEXT`` travel in pieces, two of them with one key."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(3)
+    long = [" ".join(rnd.choices(["alpha", "don't", "  ", "42", "naïve", "\n"], k=n)) for n in (600_000, 400_000)]
+    texts = [long[0], long[1], "short", None, "w" * (bpe.LONG_TEXT + 10)]
+    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = bpe.encode(rows, ranks, public_tokenizers.PATTERN).collect()
+    want = [(i // 2, known.encode_ordinary(t or "")) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted(want)
+
+
 def test_packed_numbers():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**31, 2**34])
     assert (bpe.unpack(bpe.pack(x)) == x).all() and len(bpe.unpack(bpe.pack(x[:0]))) == 0
