@@ -21,7 +21,6 @@ import functools
 import heapq
 import itertools
 import math
-import re
 import zlib
 from collections import defaultdict
 
@@ -54,35 +53,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 # ---------------------------------------------------------------------------- splitting
 
 
-def _ranges(kind: str) -> str:
-    """The characters that ``kind`` matches, as ranges for a character class."""
-    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
-    runs = (m[0] for m in regex.finditer(f"{kind}+", every))
-    return "".join(f"\\U{ord(r[0]):08x}-\\U{ord(r[-1]):08x}" for r in runs)
-
-
-@functools.lru_cache
-def spelled_out(pattern: str) -> str:
-    """``pattern`` for the standard library: Unicode classes become ranges, which matches the
-    same and runs several times faster. Done once, on the driver."""
-    known: dict[str, str] = {}
-    out, inside = [], False
-    for part in re.findall(r"\\p\{\w+\}|\\[sS]|\\.|.", pattern, re.DOTALL):
-        kind = part.lower() if part == "\\S" else part
-        if kind == "\\s" or kind.startswith("\\p"):
-            text = known.setdefault(kind, _ranges(kind))
-            if inside and part == "\\S":
-                raise ValueError("a negated class within a class is not supported")
-            part = text if inside else f"[{'^' if part == '\\S' else ''}{text}]"
-        elif part in "[]":
-            inside = part == "["
-        out.append(part)
-    return "".join(out)
-
-
 @functools.lru_cache
-def compiled(pattern: str) -> re.Pattern:
-    return re.compile(pattern)
+def compiled(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
 
 
 # ---------------------------------------------------------------------------- encoding
@@ -142,10 +115,13 @@ def pack(numbers: np.ndarray) -> bytes:
 
 def _pack(numbers: np.ndarray) -> bytes:
     x = numbers.astype(np.uint64)
-    size = 1 + sum((x >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 5))
+    most = max(1, -(-int(x.max()).bit_length() // 7))
+    size = np.ones(len(x), np.int64)
+    for k in range(1, most):
+        size += x >= 1 << 7 * k
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(5):
+    for k in range(most):
         has = size > k
         more = (size[has] > k + 1).astype(np.uint8) << 7
         out[at[has] + k] = ((x[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
@@ -172,7 +148,7 @@ def lay_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------------------ the jobs
 
 
-def pieces(pattern: re.Pattern, text: str):
+def pieces(pattern: regex.Pattern, text: str):
     """The pre-tokens of ``text``, in lists of about ``LONG_TEXT`` characters."""
     if len(text) < LONG_TEXT:
         yield pattern.findall(text)
@@ -244,10 +220,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
     shape = T.StructType().add("chunk", "long").add("keys", T.ArrayType(kind)).add("cut", T.ArrayType(T.LongType()))
     shape = shape.add("piece", T.ArrayType(T.IntegerType())).add("sizes", T.ArrayType(T.IntegerType()))
     shape = shape.add("places", "binary").add("part", "binary").add("slices", slices)
-    arrow, plain = to_arrow_schema(shape), spelled_out(pattern)
+    arrow = to_arrow_schema(shape)
 
     def split(batches):
-        words, first = compiled(plain), TaskContext.get().partitionId() << 32
+        words, first = compiled(pattern), TaskContext.get().partitionId() << 32
         numbers, texts = itertools.count(first), itertools.count(first)
         own = _Chunk(parts)
         for batch in batches:
