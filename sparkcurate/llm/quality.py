@@ -176,12 +176,15 @@ def _digest(text: Column, lang: Column, source: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*seen)), 256).substr(1, 32)
 
 
-def _features(docs: DataFrame, key: str) -> DataFrame:
+def _features(docs: DataFrame, key: str, whole: bool = False) -> DataFrame:
     """``key``, a digest of what the views see, ``origin`` (of source and language) and both views as
-    arrays, one row per row of ``docs``; computed on the executors and written."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), *[_column(docs, c).alias(c) for c in ("text", "lang", "source")])
+    arrays, one row per row of ``docs``; computed on the executors and written. ``whole`` adds the
+    columns of ``docs`` as ``row``, so that a verdict meets its row without a join."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    rows = docs.select(F.col(f"`{key}`").alias("key"), *[_column(docs, c).alias(c) for c in ("text", "lang", "source")], *row)
     rows = rows.withColumn("digest", _digest(F.col("text"), F.col("lang"), F.col("source"))).withColumn("origin", F.xxhash64(F.struct("source", "lang")))
-    shape = T.StructType([rows.schema[c] for c in ("key", "digest", "origin")]).add("a", "binary").add("b", "binary")
+    own = ["key", "digest", "origin", *(["row"] if whole else [])]
+    shape = T.StructType([rows.schema[c] for c in own]).add("a", "binary").add("b", "binary")
     arrow = to_arrow_schema(shape)
 
     def compute(batches):
@@ -191,7 +194,7 @@ def _features(docs: DataFrame, key: str) -> DataFrame:
                 text, lang, source = (part.column(c) for c in ("text", "lang", "source"))
                 a, b = _views((t.as_py(), x.as_py(), y.as_py()) for t, x, y in zip(text, lang, source))
                 views = [pa.array(_packed(x), pa.binary()) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("key", "digest", "origin")], *views], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*[part.column(c).cast(arrow.field(c).type) for c in own], *views], schema=arrow)
 
     return materialise(rows.mapInArrow(compute, shape), "features")
 
@@ -226,9 +229,9 @@ def _picks(every: DataFrame, known: DataFrame | None, weights: list[np.ndarray],
     return materialise(parts[0].union(parts[1]).union(parts[2]).union(parts[3]).select("view", "digest", "label"), "picks")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, labelled: int, seed: int) -> tuple[Model | None, DataFrame]:
+def _fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, labelled: int, seed: int, whole: bool = False) -> tuple[Model | None, DataFrame]:
     """The model, and the features of all documents."""
-    every = _features(docs, key)
+    every = _features(docs, key, whole)
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).dropna()
     marks = marks.groupBy("key").agg(F.min("y").alias("y"))
     own = every.select("key").dropna().distinct()
@@ -305,15 +308,11 @@ def _judged(every: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that the classifier does not reject, columns as they are. Without usable
-    labels nothing is rejected. The written features are scored; the digests of the rejected, a row
-    for each, go back to the documents."""
-    model, every = _fitted(docs, labels, key, "quality", LABELLED, 42)
+    labels nothing is rejected. Rows are written with their features and scored from there."""
+    model, every = _fitted(docs, labels, key, "quality", LABELLED, 42, whole=True)
     if model is None:
         return docs
-    rejected = _judged(every, model).filter(F.col("score") < KEEP).select("digest").distinct()
-    rejected = materialise(rejected, "rejected")
-    own = _digest(*[_column(docs, c) for c in ("text", "lang", "source")])
-    return docs.join(rejected, own == rejected["digest"], "left_anti")
+    return _judged(every, model).filter(F.col("score") >= KEEP).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
