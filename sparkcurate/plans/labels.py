@@ -9,7 +9,7 @@ from sparkcurate.functions import geometry, names, paths
 from sparkcurate.operators import match, metrics, regroup
 from sparkcurate.operators.ranking import rank_rows, top_per_key
 from sparkcurate.plans.registry import query, table
-from sparkcurate.session import materialise
+from sparkcurate.session import materialise, new_path
 from sparkcurate.sources import documents, sinks
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -37,7 +37,10 @@ def r6(c: Column, name: str) -> Column:
 )
 def count_buckets(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
-    return metrics.count_buckets(rows, ["l_orderkey", "l_returnflag"])
+    found = metrics.count_buckets(rows, ["l_orderkey", "l_returnflag"])
+    folder = new_path(spark, "buckets")
+    sinks.write_parts(found, folder, "bucket")
+    return sinks.read_parts(spark, folder, found.schema)
 
 
 @query(
@@ -377,7 +380,7 @@ def det_samples_filter(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_suppkey") % 5).cast("double"),
     )
     note = F.struct((F.col("l_partkey") % 25).alias("category_id"), box.alias("bbox"))
-    samples = table(spark, sf, "lineitem").select(
-        F.struct(path.alias("media_path")).alias("media"), F.array(note).alias("annotations")
-    )
-    return documents.detection_samples(samples)
+    sample = F.struct(F.struct(path.alias("media_path")).alias("media"), F.array(note).alias("annotations"))
+    folder = new_path(spark, "samples")
+    sinks.write_documents(table(spark, sf, "lineitem").select(F.to_json(sample).alias("value")), folder, "samples")
+    return documents.read_detection_samples(spark, folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkcurate.operators import sampling
 from sparkcurate.operators.ranking import rank_rows
 from sparkcurate.plans.registry import query, table
+from sparkcurate.session import new_path
 from sparkcurate.sources import sinks
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -38,7 +39,10 @@ def max_items(spark: SparkSession, sf: str) -> DataFrame:
 @query("chunk_rows", f"SELECT {ROW_SQL}, (row_number() OVER (ORDER BY {ROW_SQL}) - 1) // 20000 AS chunk FROM lineitem")
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(*ROW)
-    return sinks.chunks(rows, [F.col(c) for c in ROW], 20000).select(*ROW, "chunk")
+    made = sinks.chunks(rows, [F.col(c) for c in ROW], 20000).select(*ROW, "chunk")
+    folder = new_path(spark, "chunks")
+    sinks.write_parts(made, folder, "chunk", one_file=True)
+    return sinks.read_parts(spark, folder, made.schema)
 
 
 @query(
@@ -48,7 +52,10 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 def balanced_shards(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
     order = [F.col("o_orderpriority"), F.col("o_custkey"), F.col("o_orderkey")]
-    return sinks.shards(rows, order, 4).select("o_orderkey", "shard")
+    made = sinks.shards(rows, order, 4).select("o_orderkey", "shard")
+    folder = new_path(spark, "shards")
+    sinks.write_parts(made, folder, "shard")
+    return sinks.read_parts(spark, folder, made.schema)
 
 
 @query(

@@ -49,6 +49,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/sparkcurate/{app}/{label}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

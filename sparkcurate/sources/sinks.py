@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkcurate.operators.ranking import paged_lists, rank_rows
+from sparkcurate.session import exists
 
 
 # So many first rows are ordered by a single task without trouble.
@@ -66,3 +70,36 @@ def write_lines(df: DataFrame, path: str, line: str, folder: str | None = None,
     out = df.select(line) if folder is None else df.select(folder, line)
     writer = out.write.mode("overwrite")
     (writer.partitionBy(folder) if folder else writer).text(path)
+
+
+def write_documents(rows: DataFrame, path: str, key: str, element: str = "value") -> None:
+    """Write JSON texts as the elements of ``{key: [...]}`` documents, one per task."""
+
+    def one(batches):
+        line = "{" + json.dumps(key) + ": ["
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_arrays([pa.array([line, *texts[:1], *["," + t for t in texts[1:]]])], ["value"])
+                line = ","
+        yield pa.RecordBatch.from_arrays([pa.array([line, "]}"] if line != "," else ["]}"])], ["value"])
+
+    rows.select(F.col(element).alias("value")).mapInArrow(one, "value string").write.text(path)
+
+
+def write_parts(df: DataFrame, path: str, by: str, one_file: bool = False) -> None:
+    """Write ``df`` as JSON in one folder per value of ``by``, and a manifest of the rows of each when all of
+    them are there. The manifest commits the output: ``read_parts`` sees nothing without it, so what a
+    run that was killed has left behind is never read. ``one_file`` gives every value a single file, for
+    values whose size is bounded, such as chunks; otherwise a hot value is written by many tasks."""
+    rows = df.repartition(by) if one_file else df
+    rows.write.partitionBy(by).json(f"{path}/rows")
+    written = df.sparkSession.read.schema(df.schema).json(f"{path}/rows")
+    written.groupBy(by).agg(F.count("*").alias("rows")).write.json(f"{path}/manifest")
+
+
+def read_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a committed output."""
+    if not exists(spark, f"{path}/manifest/_SUCCESS"):
+        raise FileNotFoundError(f"{path} was not committed")
+    return spark.read.schema(schema).json(f"{path}/rows")

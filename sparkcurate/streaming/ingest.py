@@ -10,15 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.operators.ranking import first_per_key
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from sparkcurate.session import exists
 
 
 def append_new(batch: DataFrame, sink: str, uid: str, order: list[str]) -> None:
@@ -29,7 +25,7 @@ def append_new(batch: DataFrame, sink: str, uid: str, order: list[str]) -> None:
     spark = batch.sparkSession
     fresh = first_per_key(batch, [uid], [F.col(c) for c in order]).persist()
     try:
-        rows, known = fresh.count(), _exists(spark, sink)
+        rows, known = fresh.count(), exists(spark, sink)
         new = fresh
         if known:
             done = spark.read.schema(batch.schema).parquet(sink).select(uid)

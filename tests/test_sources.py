@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkcurate import session
@@ -205,3 +206,23 @@ def test_detection_samples_are_read_from_documents(spark, tmp_path):
     (tmp_path / "train.json").write_text(json.dumps({"samples": samples, "more": 1}, indent=1))
     got = sorted(tuple(r) for r in documents.read_detection_samples(spark, str(tmp_path / "train.json")).collect())
     assert got == [("objects365_v2_02", c, 1.0, 2.0, 4.0, 6.0) for c in (7, 8)]
+
+
+def test_chunk_files_hold_exact_rows(spark, tmp_path):
+    rows = spark.range(103).withColumn("v", F.concat(F.lit("é\n"), F.col("id").cast("string"))).repartition(7)
+    made = sinks.chunks(rows, [F.col("id")], 20).select("id", "v", "chunk")
+    path = str(tmp_path / "out")
+    sinks.write_parts(made, path, "chunk", one_file=True)
+    back = sinks.read_parts(spark, path, made.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, made.collect()))
+    folders = sorted((tmp_path / "out" / "rows").glob("chunk=*"))
+    assert [sum(len(p.read_text().splitlines()) for p in d.glob("*.json")) for d in folders] == [20] * 5 + [3]
+    assert all(len(list(d.glob("*.json"))) == 1 for d in folders)
+    assert {r["chunk"]: r["rows"] for r in spark.read.json(f"{path}/manifest").collect()} == {**{i: 20 for i in range(5)}, 5: 3}
+
+
+def test_uncommitted_output_is_not_read(spark, tmp_path):
+    made = spark.createDataFrame([(1, 2)], "id int, chunk int")
+    made.write.partitionBy("chunk").json(str(tmp_path / "rows"))
+    with pytest.raises(FileNotFoundError):
+        sinks.read_parts(spark, str(tmp_path), made.schema)
