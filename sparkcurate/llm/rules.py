@@ -58,7 +58,8 @@ class Rule:
     failed: str
 
 
-#: Thresholds are compared as whole numbers, so no engine rounds them.
+#: Thresholds are compared as whole numbers, so no engine rounds them. The vocabulary of a text grows
+#: slower than the text: up to 2,000 words a tenth of them must be distinct, beyond that a square root.
 RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
@@ -67,7 +68,7 @@ RULES = (
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 20 * n_words"),
     Rule(6, "upper_case", "n_words >= 20 and 2 * n_upper_words > n_words"),
-    Rule(7, "few_distinct_words", "n_words between 50 and 2000 and 10 * n_distinct_words < n_words"),
+    Rule(7, "few_distinct_words", "n_words >= 50 and 10 * n_distinct_words < n_words and n_distinct_words * n_distinct_words < 20 * n_words"),
 )
 BASE = ("few_words", "repeated_windows")
 POLICIES = {"base-1": BASE, "strict-1": tuple(r.name for r in RULES if r.bit < 6), "strict-2": tuple(r.name for r in RULES)}
@@ -151,6 +152,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 60 * n_lines
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (n_words >= 20 AND 2 * n_upper_words > n_words)
-    OR (n_words BETWEEN 50 AND 2000 AND 10 * n_distinct_words < n_words)) AS kept
+    OR (n_words >= 50 AND 10 * n_distinct_words < n_words AND n_distinct_words * n_distinct_words < 20 * n_words)) AS kept
 FROM m
 """

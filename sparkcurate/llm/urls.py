@@ -160,6 +160,11 @@ def _level_sql(name: str, rows: str) -> str:
   FROM (SELECT r.*, prior * k + bad AS a, (1 - prior) * k + n - bad AS b FROM {name}_rows r, {name}_strength))"""
 
 
+def _bound_sql(a: str, b: str) -> str:
+    """Lower bound of the share of bad pages."""
+    return f"{a} / ({a} + {b}) - {Z}::DOUBLE * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1)))"
+
+
 SQL = f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -178,8 +183,13 @@ s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 {_level_sql("suffixes", "SELECT s.*, (SELECT sum(bad) / (sum(n) + 1) FROM s) AS prior FROM s")},
 {_level_sql("domains", "SELECT d.*, mean AS prior FROM d JOIN (SELECT suffix, mean FROM suffixes) USING (suffix)")},
 {_level_sql("hosts", "SELECT h.*, mean AS prior FROM h JOIN (SELECT domain, suffix, mean FROM domains) USING (domain, suffix)")},
-bound AS (SELECT host, mean - {Z}::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM hosts)
+corpus AS (SELECT coalesce(sum(bad), 0) / (coalesce(sum(n), 0) + 1) AS share FROM s),
+evidence AS (SELECT *, least(a - bad, (a + b - n) * {LIMIT}::DOUBLE) AS base FROM hosts),
+own AS (SELECT *, base + bad AS own_a, a + b - base - bad AS own_b FROM evidence),
+bound AS (
+  SELECT host, bad, share, {_bound_sql("a", "b")} AS lower, {_bound_sql("own_a", "own_b")} AS own_lower FROM own, corpus)
 SELECT page_id, host, path, {_rules_sql(lambda name, start, verdict: name + start)} AS rule,
-  coalesce({_rules_sql(lambda name, start, verdict: verdict)}, CASE WHEN lower > {LIMIT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({_rules_sql(lambda name, start, verdict: verdict)}, CASE WHEN lower > {LIMIT}::DOUBLE AND bad > 0
+    AND (own_lower > {LIMIT}::DOUBLE OR lower > share + {MARGIN}::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN bound USING (host)
 """

@@ -8,6 +8,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -315,6 +316,42 @@ def test_reputation_shrinks_and_blocks(spark):
     assert rows["good.net"].lower < rows["two.net"].lower < rows["bad.net"].lower
 
 
+def test_sql_twin_blocks_what_earned_it(spark, tmp_path):
+    """A bad host, one with a single bad page, clean ones, and one without labels."""
+    from tests.oracle import _rows
+
+    rnd = random.Random(9)
+    hosts = {"bad.net": (120, 110), "one.net": (1, 1), "good.net": (300, 6), "a.example.io": (90, 3), "b.example.io": (60, 55), "new.net": (0, 0)}
+    pages, labels = [], []
+    for host, (n, bad) in hosts.items():
+        for i in range(max(3, n)):
+            if i < n:
+                labels.append((len(pages), 0 if i < bad else 1, rnd.choice([0, 0, None])))
+            pages.append((len(pages), f"https://{host}/{i}"))
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = urls.query(spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    cur = con.execute(urls.SQL)
+    got = _rows(out.columns, [tuple(r) for r in out.collect()])
+    assert got == _rows([d[0] for d in cur.description], cur.fetchall())
+    assert {r.host for r in out.filter("verdict = 'block'").collect()} == {"bad.net", "b.example.io"}
+
+
+def test_long_texts_of_few_words_fail():
+    """The bound on distinct words grows with the text: no length escapes it."""
+    rule = next(r for r in rules.RULES if r.name == "few_distinct_words")
+    con = duckdb.connect()
+
+    def fails(n, distinct):
+        return con.execute(f"SELECT {rule.failed} FROM (SELECT {n} AS n_words, {distinct} AS n_distinct_words)").fetchone()[0]
+
+    assert fails(2000, 199) and not fails(2000, 200)
+    assert fails(2001, 199) and fails(20_000, 600) and not fails(20_000, 700) and not fails(49, 1)
+
+
 @pytest.mark.parametrize("share", [0.3, 0.5])
 def test_bad_corpora_block_only_what_earned_it(spark, share):
     """Hosts that hardly differ get the strongest prior; it blocks nobody without own evidence."""
