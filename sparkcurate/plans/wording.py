@@ -381,9 +381,29 @@ def flagged(spark: SparkSession, sf: str) -> DataFrame:
     return match.flag_bad_triples(rows, F.upper("object"), F.col("part"), F.col("p_type"), RULES)
 
 
-@query("bad_rule_flag", f"SELECT p_partkey, p_type, {RULES_SQL} AS is_bad FROM ({PARTS})")
+# Every entry of the library's table, and the same objects and parts with another entry's affordance.
+TRIPLES = [(o, p, a) for o, p, wrong in templates.BAD_TRIPLES for a in wrong]
+_PICK = f"CAST(p_partkey % {len(TRIPLES)} AS INT)"
+_MOVE = f"CAST((p_partkey + p_size % 3) % {len(TRIPLES)} AS INT)"
+_LISTS = ["[" + ", ".join(sql_text(t[i]) for t in TRIPLES) + "]" for i in range(3)]
+_BAD = ", ".join("(" + ", ".join(sql_text(x.replace("_", " ").lower()) for x in t) + ")" for t in TRIPLES)
+
+
+@query(
+    "bad_rule_flag",
+    f"""WITH t AS (SELECT p_partkey, ({_LISTS[0]})[{_PICK} + 1] AS object, ({_LISTS[1]})[{_PICK} + 1] AS part,
+      ({_LISTS[2]})[{_MOVE} + 1] AS affordance FROM part)
+    SELECT *, (replace(lower(object), '_', ' '), replace(lower(part), '_', ' '), replace(lower(affordance), '_', ' ')) IN ({_BAD}) AS is_bad FROM t""",
+)
 def bad_rule_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return flagged(spark, sf).select("p_partkey", "p_type", "is_bad")
+    """The default rules, on objects that occur in them."""
+    pick, move = F.expr(_PICK), F.expr(_MOVE)
+
+    def of(i: int, at: Column) -> Column:
+        return F.get(F.array(*[F.lit(t[i]) for t in TRIPLES]), at)
+
+    rows = table(spark, sf, "part").select("p_partkey", of(0, pick).alias("object"), of(1, pick).alias("part"), of(2, move).alias("affordance"))
+    return match.flag_bad_triples(rows, F.col("object"), F.col("part"), F.col("affordance"))
 
 
 GOOD = f"""good AS (SELECT object, part, lower(p_type) AS label,
