@@ -274,10 +274,13 @@ def todo_antijoin(spark: SparkSession, sf: str) -> DataFrame:
 )
 def append_ledger(spark: SparkSession, sf: str) -> DataFrame:
     rows = with_uid(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"))
-    sink, third = new_path(spark, "ledger"), F.floor(F.hour("ts") / 8)
-    for batch in (0, 1, 2, 2):  # the last batch is replayed, as after a failure
-        streams.append_new(rows.filter(third == batch).select("uid", "event_id"), sink, "uid", ["event_id"])
-    return spark.read.parquet(sink)
+    feed, sink, state = (new_path(spark, n) for n in ("responses", "ledger", "ledger-state"))
+    third = F.floor(F.hour("ts") / 8)
+    for batch in (0, 1, 2, 2):  # the last batch arrives twice, as after a failure
+        rows.filter(third == batch).select("uid", "event_id").write.mode("append").parquet(feed)
+        arriving = spark.readStream.schema("uid STRING, event_id BIGINT").parquet(feed)
+        streams.ingest(arriving, sink, state, "uid", ["event_id"])
+    return streams.handled(spark, sink)
 
 
 ITEM = "array<struct<affordance:string,parts:array<string>,exists:boolean>>"
@@ -354,11 +357,11 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
     for _ in range(2):  # the second run resumes and finds nothing new
         streams.ingest(event_stream(spark, sf), sink, state, "uid", ["image_path", "object"], prepare)
-    return spark.read.parquet(sink)
+    return streams.handled(spark, sink)
 
 
 @query("stream_dedupe", f"SELECT DISTINCT {UID_SQL} AS uid FROM events")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     sink, state = new_path(spark, "dedupe"), new_path(spark, "dedupe-state")
     streams.ingest(event_stream(spark, sf), sink, state, "uid", ["uid"], lambda batch: with_uid(batch).select("uid"))
-    return spark.read.parquet(sink)
+    return streams.handled(spark, sink)

@@ -1,59 +1,101 @@
 """Resumable ingest of responses with Structured Streaming.
 
-Every response id is handled once: new files are read in micro-batches, ids already in
-the output are anti-joined away, and the rest is appended. The output is its own ledger,
-so a batch that is replayed after a failure adds nothing twice. Rows that fail to parse
-are kept with an error code and count as handled.
+Every response id is handled once. Which ids were handled is keyed state in RocksDB, next to
+the checkpoint: a micro-batch looks up its own ids and opens nothing that earlier batches have
+written, so its cost follows the batch and not the history. Each batch writes one folder of the
+sink and replaces it when it is replayed after a failure. Rows that fail to parse are kept with
+an error code and count as handled.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.operators.ranking import first_per_key
 from sparkcurate.session import exists
 
+# state on disk; a commit uploads what a batch has changed
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+RUN, BATCH = "ledger_run", "ledger_batch"  # folder levels of a sink
 
-def append_new(batch: DataFrame, sink: str, uid: str, order: list[str]) -> None:
-    """Append the first row of each id that the sink does not hold yet.
 
-    The batch is cached, so the planner knows its size: while its ids fit a broadcast,
-    the sink is only scanned for them (one column) and never shuffled."""
-    spark = batch.sparkSession
-    fresh = first_per_key(batch, [uid], [F.col(c) for c in order]).persist()
-    try:
-        rows, known = fresh.count(), exists(spark, sink)
-        new = fresh
-        if known:
-            done = spark.read.schema(batch.schema).parquet(sink).select(uid)
-            new = fresh.join(done.join(fresh.select(uid), uid, "left_semi"), uid, "left_anti")
-        if rows or not known:
-            new.write.mode("append").parquet(sink)
-    finally:
-        fresh.unpersist()
+def _first_arrivals(rows: DataFrame, uid: str, order: list[str]) -> DataFrame:
+    """The first row of each id, given out in the batch that brought the id.
+
+    All rows of a batch bear its time, which a replay repeats. The state keeps the smallest
+    (time, order) of an id; an update that still has the time of this batch is a new id."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    marked = rows.select(whole.alias("row"), F.current_timestamp().alias("arrived"))
+    place = F.struct("arrived", *[F.col(f"row.`{c}`") for c in order])
+    kept = marked.groupBy(F.col(f"row.`{uid}`").alias("id")).agg(
+        F.min("arrived").alias("arrived"), F.min_by("row", place).alias("row")
+    )
+    return kept.filter(F.col("arrived") == F.current_timestamp()).select("row.*")
+
+
+def _other_runs(spark: SparkSession, sink: str, run: str) -> list[str]:
+    """Folders of runs that began from another checkpoint."""
+    if not exists(spark, sink):
+        return []
+    root = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    folders = [f.getPath() for f in found if f.getPath().getName().startswith(f"{RUN}=")]
+    return [f.toString() for f in folders if f.getName() != f"{RUN}={run}"]
 
 
 def ingest(
     source: DataFrame, sink: str, checkpoint: str, uid: str, order: list[str],
     prepare: Callable[[DataFrame], DataFrame] | None = None,
-) -> None:
-    """Drain what is available in ``source`` into the parquet folder ``sink``."""
+) -> list[dict]:
+    """Drain what is available in ``source`` into the folder ``sink`` (read it with ``handled``)
+    and return the progress of each micro-batch.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        append_new(prepare(batch) if prepare else batch, sink, uid, order)
+    ``prepare`` works row by row. Of the rows of an id within a batch the first by ``order``
+    stays, nulls first; ties leave any one of them. A null id is one id. With a lost checkpoint
+    the state is empty: then only, ids are also looked up in the folders of the earlier runs.
+    The state holds the first row of each id."""
+    spark, begun, run = source.sparkSession, threading.Event(), []
 
-    running = (
-        source.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def each(batch: DataFrame, batch_id: int) -> None:
+        begun.wait()
+        others = _other_runs(batch.sparkSession, sink, run[0])
+        if others:
+            done = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{o}/*" for o in others])
+            done = done.select(F.col(f"`{uid}`").alias("_done"))
+            batch = batch.join(done, F.col(f"`{uid}`").eqNullSafe(F.col("_done")), "left_anti")
+        batch.write.mode("overwrite").parquet(f"{sink}/{RUN}={run[0]}/{BATCH}={batch_id}")
+
+    rows = _first_arrivals(prepare(source) if prepare else source, uid, order)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
+    try:
+        running = (
+            rows.writeStream.foreachBatch(each).outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.append(running.id)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        begun.set()
     running.awaitTermination()
     if running.exception():
         raise running.exception()
+    return [dict(p) for p in running.recentProgress]
+
+
+def handled(spark: SparkSession, sink: str) -> DataFrame:
+    """What has been ingested into ``sink`` so far."""
+    return spark.read.parquet(sink).drop(RUN, BATCH)
 
 
 def drop_repeats(stream: DataFrame, uid: str, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:

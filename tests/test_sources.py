@@ -130,7 +130,39 @@ def test_ingest_is_idempotent_across_runs(spark, tmp_path):
     ingest.ingest(read(), sink, state, "uid", ["text"])
     # a lost checkpoint replays everything; the sink is its own ledger
     ingest.ingest(read(), sink, state + "2", "uid", ["text"])
-    assert sorted(r["uid"] for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
+    assert sorted(r["uid"] for r in ingest.handled(spark, sink).collect()) == [1, 2, 3]
+
+
+def test_ingest_cost_follows_the_batch(spark, tmp_path):
+    src, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema, first = "uid long, place int, text string", {}
+    for n in range(20):
+        # forty new ids, ten of the last batch, each twice with the better place second; one null id
+        ids = [i for i in range(n * 40 - 10, n * 40 + 40) if i >= 0]
+        rows = [(i, p, f"{n}-{p}") for p in (1, 0) for i in ids] + [(None, 0, f"{n}")]
+        for i, p, t in rows:
+            if i not in first or first[i][0] > p and first[i][1].split("-")[0] == str(n):
+                first[i] = (p, t)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    seen = [p for p in ingest.ingest(stream, sink, state, "uid", ["place"]) if p["numInputRows"]]
+    back = [(r["uid"], (r["place"], r["text"])) for r in ingest.handled(spark, sink).collect()]
+    assert len(back) == 801 and dict(back) == first
+    stores = [p["stateOperators"][0] for p in seen]
+    assert [s["numRowsUpdated"] for s in stores] == [41] + [51] * 19
+    read = [s["customMetrics"]["rocksdbTotalBytesRead"] for s in stores]
+    assert max(read[1:]) <= 2 * min(read[1:])
+
+
+def test_a_replayed_batch_replaces_its_folder(spark, tmp_path):
+    src, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    read = lambda: spark.readStream.schema("uid long").parquet(src)
+    spark.createDataFrame([(1,), (2,)], "uid long").write.parquet(src)
+    ingest.ingest(read(), sink, state, "uid", ["uid"])
+    for mark in (tmp_path / "state/commits").glob("*0*"):  # as if the driver died before the commit
+        mark.unlink()
+    ingest.ingest(read(), sink, state, "uid", ["uid"])
+    assert sorted(r["uid"] for r in ingest.handled(spark, sink).collect()) == [1, 2]
 
 
 def test_stream_dedupe_without_event_time(spark, tmp_path):
