@@ -186,27 +186,81 @@ def match_vocabulary(
 # -- containment -------------------------------------------------------------
 
 
+GRAM = 3  # characters of an indexed piece
+CROWD = 1000  # labels of an image that are tested one by one; more are found by their pieces
+
+
 def _hold(a: Column, b: Column) -> Column:
     """Either text holds the other."""
     return F.contains(a, b) | F.contains(b, a)
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` characters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    cut = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>"))
+
+
+def held_pairs(short: DataFrame, long: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Pairs ``(*on, short, long)`` of distinct texts of one scope where ``long`` holds ``short``.
+
+    An inverted index over the pieces of the long texts. A short text looks up the rarest of its
+    own pieces (itself, if it is no longer than a piece) and is compared with that list only."""
+    short, long = short.select(*on, "short").distinct(), long.select(*on, "long").distinct()
+    own = F.when(F.length("short") <= GRAM, F.array("short")).otherwise(_pieces(F.col("short"), GRAM))
+    every = F.concat(F.array(F.lit("")), *[_pieces(F.col("long"), n) for n in range(1, GRAM + 1)])
+    short = materialise(short.select(*on, "short", F.explode(own).alias("piece")), "pieces")
+    asked = short.select(*on, "piece").distinct()
+    posts = long.select(*on, "long", F.explode(every).alias("piece")).join(asked, [*on, "piece"], "left_semi")
+    posts = materialise(posts, "pieces")
+    known = posts.groupBy(*on, "piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        short.join(known, [*on, "piece"], "left").groupBy(*on, "short")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rare"))
+        .filter("rare.n > 0").select(*on, "short", F.col("rare.piece").alias("piece"))
+    )
+    return rarest.join(posts, [*on, "piece"]).filter(F.contains("long", "short")).select(*on, "short", "long")
+
+
+def _meet(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """``asked`` (``image, left, exact`` and more) with the ``labels`` (``image, right`` and more) of
+    the same image that equal ``left`` or, unless ``exact``, hold it or are held by it."""
+    def tested(asked: DataFrame, labels: DataFrame) -> DataFrame:
+        other = labels.withColumnRenamed("image", "_image")
+        fits = (F.col("left") == F.col("right")) | (~F.col("exact") & _hold(F.col("left"), F.col("right")))
+        return asked.join(other, (F.col("image") == F.col("_image")) & fits).drop("_image")
+
+    many = labels.groupBy("image").count().filter(F.col("count") > CROWD).select("image")
+    many = materialise(many, "crowded")
+    if many.isEmpty():
+        return tested(asked, labels)
+    a, b = (materialise(df.join(many, "image", "left_semi"), "crowded") for df in (asked, labels))
+    names, have = a.filter(~F.col("exact")).select("image", "left"), b.select("image", "right")
+    inside = held_pairs(names.withColumnRenamed("left", "short"), have.withColumnRenamed("right", "long"), ["image"])
+    around = held_pairs(have.withColumnRenamed("right", "short"), names.withColumnRenamed("left", "long"), ["image"])
+    pairs = inside.toDF("image", "left", "right").union(around.select("image", "long", "short")).distinct()
+    loose = a.filter(~F.col("exact")).join(pairs, ["image", "left"]).join(b, ["image", "right"])
+    same = a.filter("exact").withColumn("right", F.col("left")).join(b, ["image", "right"])
+    rest = tested(asked.join(many, "image", "left_anti"), labels.join(many, "image", "left_anti"))
+    return rest.unionByName(loose).unionByName(same)
+
+
 def kth_match(requests: DataFrame, boxes: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The k-th box, in annotation order, whose category is the requested name, or,
     when no category has that name, holds it or is held by it. ``requests`` carries
     ``image, name, k`` (0-based); ``boxes`` carries ``image, category`` and payload.
     Requests without such a box are kept with nulls; an empty name is held by every one.
 
-    Distinct names meet the distinct categories of their own image only, and the test is
-    part of the join. Boxes are ranked once per distinct (image, name), not per request."""
+    Distinct names meet the distinct categories of their own image only, through an index of
+    pieces where an image has many. Boxes are ranked once per distinct (image, name), not per
+    request."""
     present = boxes.select("image", F.lower("category").alias("right")).distinct()
     asked = requests.withColumn("left", F.lower("name"))
     known = present.select(F.col("right").alias("left")).distinct().withColumn("_known", F.lit(True))
     wanted = asked.select("image", "left").distinct().join(known, "left", "left")
-    w, p = wanted.alias("w"), present.alias("p")
-    left, right = F.col("w.left"), F.col("p.right")
-    fits = (left == right) | (F.col("w._known").isNull() & _hold(left, right))
-    needed = w.join(p, (F.col("w.image") == F.col("p.image")) & fits).select("w.image", "left", "right")
+    wanted = wanted.select("image", "left", F.coalesce("_known", F.lit(False)).alias("exact"))
+    needed = _meet(wanted, present).select("image", "left", "right")
     hits = boxes.withColumn("right", F.lower("category")).join(needed, ["image", "right"]).drop("right")
     # joined once, then counted and ranked
     ranked = rank_rows(materialise(hits, "hits"), ["image", "left"], order, "_r")
@@ -219,13 +273,14 @@ def nearest_rank(requests: DataFrame, boxes: DataFrame) -> DataFrame:
     per-category index, else the closest index. ``boxes`` carries ``image, category,
     cat_index, ord`` with indexes 0..n-1 per (image, category), so the closest one is
     the request clamped to n-1: one lookup per category instead of a scan. Requests meet
-    the distinct categories of their own image only."""
-    sizes = boxes.groupBy("image", "category").agg(F.max("cat_index").alias("_last")).alias("s")
-    asked = requests.select("image", "name", "k").distinct().alias("q")
-    here = F.col("q.image") == F.col("s.image")
-    tried = asked.join(sizes, here & _hold(F.lower("q.name"), F.lower("s.category"))).select(
-        "q.image", "name", "k", "category", F.least("k", "_last").alias("cat_index")
+    the distinct categories of their own image only, as in ``kth_match``."""
+    sizes = boxes.groupBy("image", "category").agg(F.max("cat_index").alias("_last"))
+    asked = requests.select("image", "name", "k").distinct()
+    met = _meet(
+        asked.withColumn("left", F.lower("name")).withColumn("exact", F.lit(False)),
+        sizes.withColumn("right", F.lower("category")),
     )
+    tried = met.select("image", "name", "k", "category", F.least("k", "_last").alias("cat_index"))
     best = (
         tried.join(boxes, ["image", "category", "cat_index"])
         .groupBy("image", "name", "k")
@@ -253,12 +308,36 @@ def miss_report(found: DataFrame, missing: Column, keys: Sequence[str], examples
 # -- paths -------------------------------------------------------------------
 
 
+TAIL = 4  # characters by which entries without a folder are looked up
+
+
+def _endings(open_: DataFrame, cat: DataFrame, bare_too: Column) -> DataFrame:
+    """Endings ``(path, base, n, slashed)`` that may be entries of ``cat``: of the lengths that
+    occur among the entries with the path's last name, and, where ``bare_too``, among the entries
+    without a folder whose last characters agree."""
+    last = F.substring_index("slashed", "/", -1)
+    own = open_.withColumn("slashed", paths.slashed(F.col("path"))).withColumn("last", last)
+    sized = cat.filter(F.length("slashed") > 0).select("slashed", last.alias("last"), F.length("slashed").alias("len"))
+    by_name = sized.groupBy("last").agg(F.collect_set("len").alias("lens"))
+    bare = sized.filter(F.col("slashed") == F.col("last"))
+    by_tail = bare.groupBy(F.right("last", F.least(F.col("len"), F.lit(TAIL))).alias("tail")).agg(F.collect_set("len").alias("lens"))
+    tails = F.transform(F.sequence(F.lit(1), F.least(F.length("last"), F.lit(TAIL))), lambda n: F.right("last", n))
+    probes = own.filter(bare_too & (F.length("last") > 0)).select("path", "base", "n", "slashed", F.explode(tails).alias("tail"))
+
+    def cut(found: DataFrame) -> DataFrame:
+        fitting = F.filter("lens", lambda n: n <= F.length("slashed"))
+        sized = found.select("path", "base", "n", "slashed", F.explode(fitting).alias("len"))
+        return sized.select("path", "base", "n", F.right("slashed", F.col("len")).alias("slashed"))
+
+    return cut(own.join(by_name, "last")).union(cut(probes.join(by_tail, "tail")))
+
+
 def resolve_entity(requests: DataFrame, catalog: DataFrame, mode: str = "auto") -> DataFrame:
     """Resolve ``path`` to a catalog entry ``file_name`` and tell how in ``match_how``.
 
     ``catalog`` carries ``file_name`` and ``ord`` (its position). Modes: ``auto``,
     ``basename`` and ``file_name``. Every tier is an equi-join: on the base name, on
-    (base name, patch token), and on the endings of the path. Endings are compared with
+    (base name, patch token), and on endings of the path of lengths that occur. They are compared with
     ``\\`` read as ``/`` on both sides; base names are what follows the last ``/``.
     """
     req = requests.select("path").distinct().withColumn("base", paths.basename(F.col("path")))
@@ -288,12 +367,7 @@ def resolve_entity(requests: DataFrame, catalog: DataFrame, mode: str = "auto")
     # with several base hits an ending of one of them, else of any entry
     own = F.col("n") > 1
     open_ = joined if mode == "file_name" else joined.filter("n > 1 OR n IS NULL")
-    text = paths.slashed(F.col("path"))
-    shortest = F.when(own, F.length("base")).otherwise(1) if mode != "file_name" else F.lit(1)
-    every = F.transform(
-        F.sequence(F.lit(1), F.length("path") - F.greatest(shortest, F.lit(1)) + 1), lambda i: F.substr(text, i)
-    )
-    ends = open_.filter(F.length("path") > 0).select("path", "base", "n", F.explode(every).alias("slashed"))
+    ends = _endings(open_, cat, F.lit(mode == "file_name") | F.col("n").isNull())
     by_end = (
         ends.alias("e").join(cat.alias("c"), "slashed")
         .filter(F.lit(mode == "file_name") | F.col("n").isNull() | (F.col("e.base") == F.col("c.base")))

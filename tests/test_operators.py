@@ -326,6 +326,44 @@ def test_names_of_other_images_are_never_met(spark):
     assert got == {("a", "cup"): None, ("a", "big"): 0, ("b", "cup"): 1, (None, "cup"): None}
 
 
+def test_pieces_find_what_testing_every_label_finds(spark, monkeypatch):
+    """Short, empty, repeated and mixed-case names; the index against one test a label."""
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abAé ") for _ in range(draw.randint(0, n)))
+    boxes = spark.createDataFrame([(draw.choice("pq"), word(7), i) for i in range(150)] + [("r", "ab", 150)], "image string, category string, ord long")
+    asked = spark.createDataFrame(sorted({(draw.choice("pqrs"), word(9), draw.randint(0, 2)) for _ in range(120)}), "image string, name string, k long")
+    index = boxes.groupBy("image", "category").agg(F.min("ord").alias("ord")).withColumn("cat_index", F.lit(0).cast("long"))
+    got = {}
+    for crowd in (10**6, 0, 40):
+        monkeypatch.setattr(match, "CROWD", crowd)
+        kth = sorted(map(tuple, match.kth_match(asked, boxes, [F.col("ord")]).select("image", "name", "k", "ord").collect()), key=str)
+        near = sorted(map(tuple, match.nearest_rank(asked, index).collect()), key=str)
+        got[crowd] = kth, near
+    assert got[0] == got[10**6] == got[40] and sum(r[3] is not None for r in got[0][0]) > 30
+
+
+def test_an_image_with_very_many_categories(spark):
+    n = 100_000
+    boxes = spark.range(n).select(F.lit("i").alias("image"), F.format_string("part %06d", "id").alias("category"), F.col("id").alias("ord"))
+    names = spark.range(0, n, 4).select(F.lit("i").alias("image"), F.format_string("a part %06d of it", "id").alias("name"), F.lit(0).cast("long").alias("k"))
+    got = match.kth_match(names, boxes, [F.col("ord")])
+    assert got.count() == n // 4 and got.filter(F.col("name") != F.format_string("a part %06d of it", "ord")).count() == 0
+
+
+def test_endings_agree_with_every_ending(spark):
+    draw = random.Random(3)
+    name = lambda: "".join(draw.choice("ab12/\\") for _ in range(draw.randint(0, 7)))
+    entries, wanted = [name() for _ in range(60)], sorted({name() + name() for _ in range(150)} | {""})
+    cat = spark.createDataFrame([(f, i) for i, f in enumerate(entries)], "file_name string, ord long")
+    req = spark.createDataFrame([(p,) for p in wanted] + [(None,)], "path string")
+    got = {r["path"]: r["file_name"] for r in match.resolve_entity(req, cat, "file_name").collect()}
+    bases = {p.rsplit("/", 1)[-1] for p in wanted}
+    for p in wanted:
+        ends = (f for f in entries if f and f.rsplit("/", 1)[-1] in bases and p.replace("\\", "/").endswith(f.replace("\\", "/")))
+        assert got[p] == next(ends, None), p
+    assert len(got) == len(wanted) + 1 and got[None] is None
+
+
 def test_path_endings_read_backslashes_as_slashes(spark):
     files = ["d\\1.jpg", "e/1.jpg", "f/1.jpg", "g\\2.jpg", "h\\g\\2.jpg"]
     cat = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file_name string, ord long")
