@@ -1,8 +1,8 @@
-"""Masks as arrays, run tables and 64-pixel bitmaps.
+"""Masks as arrays and run tables.
 
 A mask is 0/1 pixels in column-major order. Runs are ``(mask_id, run_start, run_len)``.
-Overlaps are counted on bitmaps: one BIGINT per 64 pixels, so comparing two masks is an
-equi-join on (mask, block) and a bit count, with no run-against-run pairs.
+Two masks are compared by a sweep over the borders of their runs, so the work follows the
+number of runs, whatever the pixels, and no run meets another one.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcurate.operators.blocks import HOT_ROWS, blocked_lag, blocked_running, on_hot_keys, range_block
-
-BLOCK = 64
+from sparkcurate.session import materialise
 
 
 def runs(df: DataFrame, mask_id: str, on: Column) -> DataFrame:
@@ -56,44 +55,39 @@ def bbox(run_table: DataFrame, mask_id: str, h: int) -> DataFrame:
     )
 
 
-def bitmaps(run_table: DataFrame, mask_id: str) -> DataFrame:
-    """One row ``(mask_id, block, bits)`` per touched block of 64 pixels."""
+def overlap(pairs: DataFrame, run_table: DataFrame, mask_id: str, a: str, b: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Intersection and union of each pair ``(a, b)``; pairs without a common pixel have
+    intersection 0. Both zero-union conventions: ``iou`` is 1 when both are empty,
+    ``iou_eps`` divides by union + 1e-6. Runs of a mask may touch or overlap.
+
+    Along the borders of both masks, in order, the open runs of either are counted; a stretch
+    that is covered adds its end and takes off its start."""
+    keys = pairs.select(a, b).distinct()
     end = F.col("run_start") + F.col("run_len")
-    blocks = F.sequence(F.floor(F.col("run_start") / BLOCK), F.floor((end - 1) / BLOCK))
-    lo = F.greatest(F.lit(0), F.col("run_start") - F.col("block") * BLOCK).cast("int")
-    hi = F.least(F.lit(BLOCK), end - F.col("block") * BLOCK).cast("int")
-    ones = F.lit(-1).cast("bigint")
-    bits = F.call_function("shiftleft", ones, lo).bitwiseAND(F.call_function("shiftrightunsigned", ones, F.lit(BLOCK) - hi))
-    return (
-        run_table.select(mask_id, "run_start", "run_len", F.explode(blocks).alias("block"))
-        .select(mask_id, "block", bits.alias("bits"))
-        .groupBy(mask_id, "block")
-        .agg(F.bit_or("bits").alias("bits"))
-    )
+    border = lambda at, step: F.struct(at.cast("bigint").alias("_pos"), F.lit(step).cast("bigint").alias("_step"))
+    borders = run_table.filter("run_len > 0").select(mask_id, F.inline(F.array(border(F.col("run_start"), 1), border(end, -1))))
 
+    def side(mine: str, in_a: int, in_b: int) -> DataFrame:
+        met = keys.join(borders.withColumnRenamed(mask_id, mine), mine)
+        return met.select(a, b, "_pos", (F.col("_step") * in_a).alias("_da"), (F.col("_step") * in_b).alias("_db"))
 
-def overlap(pairs: DataFrame, bits: DataFrame, mask_id: str, a: str, b: str) -> DataFrame:
-    """Intersection and union of each pair ``(a, b)``; pairs without a common block have
-    intersection 0. Both zero-union conventions: ``iou`` is 1 when both are empty,
-    ``iou_eps`` divides by union + 1e-6."""
-    sizes = bits.groupBy(mask_id).agg(F.sum(F.bit_count("bits")).cast("bigint").alias("_area"))
-    left = bits.select(F.col(mask_id).alias(a), "block", F.col("bits").alias("_p"))
-    right = bits.select(F.col(mask_id).alias(b), "block", F.col("bits").alias("_q"))
-    keys = pairs.select(a, b).distinct()
-    inter = (
-        keys.join(left, a)
-        .join(right, [b, "block"])
-        .groupBy(a, b)
-        .agg(F.sum(F.bit_count(F.col("_p").bitwiseAND(F.col("_q")))).cast("bigint").alias("inter"))
+    def sweep(rows: DataFrame, cut: str | None) -> DataFrame:
+        # the order among borders at one place does not matter: nothing lies between them
+        return blocked_running(rows, [a, b], cut, ["_pos", "_da", "_db"], {"_na": ("sum", "_da"), "_nb": ("sum", "_db")})
+
+    events = side(a, 1, 0).unionByName(side(b, 0, 1)).withColumn("_block", range_block("_pos"))
+    swept = on_hot_keys(materialise(events, "borders"), [a, b], "_block", sweep, hot_rows)
+    na, nb = F.col("_na"), F.col("_nb")
+    was_a, was_b = na - F.col("_da") > 0, nb - F.col("_db") > 0
+
+    def covered(before: Column, after: Column) -> Column:
+        return F.sum(F.col("_pos") * (before.cast("bigint") - after.cast("bigint")))
+
+    sums = swept.groupBy(a, b).agg(
+        covered(was_a & was_b, (na > 0) & (nb > 0)).alias("inter"), covered(was_a | was_b, (na > 0) | (nb > 0)).alias("union_px")
     )
     zero = F.lit(0).cast("bigint")
-    out = (
-        keys.join(inter, [a, b], "left")
-        .join(sizes.select(F.col(mask_id).alias(a), F.col("_area").alias("_na")), a, "left")
-        .join(sizes.select(F.col(mask_id).alias(b), F.col("_area").alias("_nb")), b, "left")
-        .withColumn("inter", F.coalesce("inter", zero))
-        .withColumn("union_px", F.coalesce("_na", zero) + F.coalesce("_nb", zero) - F.col("inter"))
-    )
+    out = keys.join(sums, [a, b], "left").withColumns({c: F.coalesce(c, zero) for c in ("inter", "union_px")})
     return out.select(
         a,
         b,
@@ -108,21 +102,33 @@ def crop(
     run_table: DataFrame, mask_id: str, h: int, box: Sequence[Column], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Runs inside a crop box ``x1, y1, x2, y2``, renumbered in the crop; masks empty
-    inside it disappear. Runs are split by column, clipped, and joined up again."""
+    inside it disappear. A run is cut into its first column, its last one and the whole columns
+    between them, which stay one piece unless the box reaches above or below the image; the
+    pieces are clipped and joined up again."""
     x1, y1, x2, y2 = box
-    last = F.col("run_start") + F.col("run_len") - 1
-    split = run_table.select(
-        "*",
-        F.explode(F.sequence(F.floor(F.col("run_start") / h), F.floor(last / h))).alias("_c"),
+    first, last = F.col("run_start"), F.col("run_start") + F.col("run_len") - 1
+    c0, c1 = F.floor(first / h), F.floor(last / h)
+
+    def piece(left: Column, right: Column, top: Column, low: Column) -> Column:
+        named = zip(("c0", "c1", "r0", "r1"), (left, right, top, low))
+        return F.struct(*[c.cast("bigint").alias(f"_{n}") for n, c in named])
+
+    top, low = F.lit(0), F.lit(h - 1)
+    # whole columns inside the box only, so an overhanging box costs no more than its own width
+    left, right = F.greatest(c0 + 1, x1), F.least(c1 - 1, x2 - 1)
+    single = F.transform(F.sequence(left, right), lambda c: piece(c, c, top, low))
+    within = F.when((y1 >= 0) & (y2 <= h), F.array(piece(left, right, top, low))).otherwise(single)
+    between = F.when(left <= right, within).otherwise(F.array().cast("array<struct<_c0:bigint,_c1:bigint,_r0:bigint,_r1:bigint>>"))
+    parts = F.when(c0 == c1, F.array(piece(c0, c0, first % h, last % h))).otherwise(
+        F.concat(F.array(piece(c0, c0, first % h, low), piece(c1, c1, top, last % h)), between)
     )
-    top = F.greatest(F.col("run_start") - F.col("_c") * h, F.lit(0))
-    low = F.least(last - F.col("_c") * h, F.lit(h - 1))
-    r0, r1 = F.greatest(top, y1), F.least(low, y2 - 1)
+    split = run_table.filter("run_len > 0").select("*", F.inline(parts))
+    r0, r1 = F.greatest("_r0", y1), F.least("_r1", y2 - 1)
     new_h = y2 - y1
-    kept = split.filter((F.col("_c") >= x1) & (F.col("_c") < x2) & (r0 <= r1)).select(
+    kept = split.filter((F.col("_c0") >= x1) & (F.col("_c1") < x2) & (r0 <= r1)).select(
         mask_id,
-        ((F.col("_c") - x1) * new_h + r0 - y1).cast("bigint").alias("_s"),
-        (r1 - r0 + 1).cast("bigint").alias("_n"),
+        ((F.col("_c0") - x1) * new_h + r0 - y1).cast("bigint").alias("_s"),
+        ((F.col("_c1") - F.col("_c0")) * new_h + r1 - r0 + 1).cast("bigint").alias("_n"),
     )
     kept = kept.withColumn("_next", F.col("_s") + F.col("_n")).withColumn("_block", range_block("_s"))
 

@@ -48,7 +48,7 @@ def mask_iou(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "embeddings").select("vec_id")
     nxt = ids.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"))
     pairs = nxt.join(ids.select(F.col("vec_id").alias("a")), "a", "left_semi")
-    out = masks.overlap(pairs, masks.bitmaps(runs(spark, sf), "vec_id"), "vec_id", "a", "b")
+    out = masks.overlap(pairs, runs(spark, sf), "vec_id", "a", "b")
     return out.withColumns({"iou": F.round("iou", 6), "iou_eps": F.round("iou_eps", 6)})
 
 

@@ -732,10 +732,11 @@ def test_mask_runs_area_box(spark):
         assert (r["x"], r["y"], r["w"], r["h"]) == (min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1)
 
 
-def test_mask_overlap_both_conventions(spark):
+@pytest.mark.parametrize("heat", [10**6, 2])
+def test_mask_overlap_both_conventions(spark, heat):
     pairs = [(a, b) for a in GRIDS for b in GRIDS]
     df = spark.createDataFrame(pairs, "a string, b string")
-    for r in masks.overlap(df, masks.bitmaps(mask_runs(spark), "id"), "id", "a", "b").collect():
+    for r in masks.overlap(df, mask_runs(spark), "id", "a", "b", hot_rows=heat).collect():
         p, q = GRIDS[r["a"]], GRIDS[r["b"]]
         inter, union = sum(x & y for x, y in zip(p, q)), sum(x | y for x, y in zip(p, q))
         assert (r["inter"], r["union_px"]) == (inter, union)
@@ -744,7 +745,7 @@ def test_mask_overlap_both_conventions(spark):
         assert r["iou_eps"] == pytest.approx(inter / (union + 1e-6))
 
 
-def test_bitmaps_of_long_runs(spark):
+def test_overlap_of_long_runs(spark):
     rng = random.Random(4)
     data = {}
     for name in "ab":
@@ -755,13 +756,30 @@ def test_bitmaps_of_long_runs(spark):
                 px[i] = 1
         data[name] = px
     runs = spark.createDataFrame([(k, s, n) for k, px in data.items() for s, n in brute_runs(px)], "id string, run_start long, run_len long")
-    r = masks.overlap(spark.createDataFrame([("a", "b")], "a string, b string"), masks.bitmaps(runs, "id"), "id", "a", "b").first()
+    r = masks.overlap(spark.createDataFrame([("a", "b")], "a string, b string"), runs, "id", "a", "b").first()
     assert r["inter"] == sum(x & y for x, y in zip(data["a"], data["b"]))
     assert r["union_px"] == sum(x | y for x, y in zip(data["a"], data["b"]))
 
 
+def test_a_full_mask_is_one_row(spark):
+    """Large masks of few runs; touching and overlapping runs; the borders are all that is written."""
+    side = 4096
+    rows = [("full", 0, side * side), ("half", 0, side * side // 2), ("two", 0, 1000), ("two", 1000, side), ("two", 500, 100), ("none", 5, 0)]
+    runs = spark.createDataFrame(rows, "id string, run_start long, run_len long")
+    pairs = spark.createDataFrame([("full", "half"), ("half", "two"), ("two", "two"), ("none", "none"), ("full", None)], "a string, b string")
+    got = {(r["a"], r["b"]): (r["inter"], r["union_px"], r["iou"]) for r in masks.overlap(pairs, runs, "id", "a", "b").collect()}
+    n = 1000 + side
+    assert got == {
+        ("full", "half"): (side * side // 2, side * side, 0.5), ("half", "two"): (n, side * side // 2, n / (side * side // 2)),
+        ("two", "two"): (n, n, 1.0), ("none", "none"): (0, 0, 1.0), ("full", None): (0, 0, 1.0),
+    }
+    box = [F.lit(v) for v in (10, 20, 4000, 3000)]
+    cut = masks.crop(runs.filter("id = 'full'"), "id", side, box).collect()
+    assert [(r["run_start"], r["run_len"]) for r in cut] == [(0, 3990 * 2980)]
+
+
 @pytest.mark.parametrize("heat", [10**6, 2])
-@pytest.mark.parametrize("box", [(0, 0, 5, 4), (1, 1, 4, 3), (2, 0, 5, 4), (0, 3, 5, 4), (1, 0, 2, 1)])
+@pytest.mark.parametrize("box", [(0, 0, 5, 4), (1, 1, 4, 3), (2, 0, 5, 4), (0, 3, 5, 4), (1, 0, 2, 1), (1, -1, 4, 6)])
 def test_mask_crop(spark, box, heat):
     x1, y1, x2, y2 = box
     got = defaultdict(list)
@@ -769,7 +787,7 @@ def test_mask_crop(spark, box, heat):
         got[r["id"]].append((r["run_start"], r["run_len"]))
     want = {}
     for k, px in GRIDS.items():
-        inside = [px[c * H + r] for c in range(x1, x2) for r in range(y1, y2)]
+        inside = [px[c * H + r] if 0 <= r < H else 0 for c in range(x1, x2) for r in range(y1, y2)]
         if any(inside):
             want[k] = brute_runs(inside)
     assert {k: sorted(v) for k, v in got.items()} == want
