@@ -51,7 +51,7 @@ def _other_runs(spark: SparkSession, sink: str, run: str) -> list[str]:
 
 def ingest(
     source: DataFrame, sink: str, checkpoint: str, uid: str, order: list[str],
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, partitions: int | None = None,
 ) -> list[dict]:
     """Drain what is available in ``source`` into the folder ``sink`` (read it with ``handled``)
     and return the progress of each micro-batch.
@@ -59,7 +59,8 @@ def ingest(
     ``prepare`` works row by row. Of the rows of an id within a batch the first by ``order``
     stays, nulls first; ties leave any one of them. A null id is one id. With a lost checkpoint
     the state is empty: then only, ids are also looked up in the folders of the earlier runs.
-    The state holds the first row of each id."""
+    The state holds the first row of each id, in ``partitions`` stores that the first run fixes
+    for good: one a core unless told otherwise."""
     spark, begun, run = source.sparkSession, threading.Event(), []
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -72,8 +73,9 @@ def ingest(
         batch.write.mode("overwrite").parquet(f"{sink}/{RUN}={run[0]}/{BATCH}={batch_id}")
 
     rows = _first_arrivals(prepare(source) if prepare else source, uid, order)
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for key, value in STORE.items():
+    settings = STORE | {"spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         running = (
