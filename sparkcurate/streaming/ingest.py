@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from sparkcurate.session import exists
 
-# state on disk; a commit uploads what a batch has changed
+# state on disk; a commit uploads what a batch has changed; stores of ended runs go soon
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 RUN, BATCH = "ledger_run", "ledger_batch"  # folder levels of a sink
 
