@@ -29,6 +29,7 @@ WORDS, META = 1024, 64  # hashed features of either view
 LABELLED = 5000  # bound of the labelled sample that is fitted
 ROUNDS, SURE, PICKS = 3, 0.95, 500  # least confidence, most pseudo-labels of a view and round
 SLICE = 512  # rows whose features are in memory together
+HELD = 1 << 16  # words whose buckets a task remembers
 SALTS = 64  # parts of an origin that are ranked before the origin is
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = str.maketrans("", "", ".,;:!?\"'()-")
@@ -38,7 +39,7 @@ class _Buckets(dict):
     """Word to its bucket and the bucket of its shape; bounded, as words have no end."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 200_000:
+        if len(self) > HELD:
             self.clear()
         bare = word.translate(_PLAIN)
         shape = (min(len(word), 12), word.isupper(), word.istitle(), bare.isalpha(), bare.isdigit(), word[-1].isalnum() or word[-1])
@@ -170,6 +171,13 @@ def _unpacked(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
 
 
+def _by_slice(score, *columns) -> np.ndarray:
+    """``score`` of packed columns, unpacked ``SLICE`` rows at a time."""
+    n = len(columns[0])
+    parts = [score(*[_unpacked(c.iloc[at : at + SLICE]) for c in columns]) for at in range(0, n, SLICE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _digest(text: Column, lang: Column, source: Column) -> Column:
     """Name of what the views see: equal inputs have equal features and scores."""
     seen = [F.coalesce(F.sha2(c, 256), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))]
@@ -184,6 +192,9 @@ def _features(docs: DataFrame, key: str, whole: bool = False) -> DataFrame:
     rows = docs.select(F.col(f"`{key}`").alias("key"), *[_column(docs, c).alias(c) for c in ("text", "lang", "source")], *row)
     rows = rows.withColumn("digest", _digest(F.col("text"), F.col("lang"), F.col("source"))).withColumn("origin", F.xxhash64(F.struct("source", "lang")))
     own = ["key", "digest", "origin", *(["row"] if whole else [])]
+    # what stands in the row as a string is sent with the row only
+    inside = {c for c in ("text", "lang", "source") if whole and c in docs.columns and docs.schema[c].dataType == T.StringType()}
+    rows = rows.drop(*inside)
     shape = T.StructType([rows.schema[c] for c in own]).add("a", "binary").add("b", "binary")
     arrow = to_arrow_schema(shape)
 
@@ -191,7 +202,7 @@ def _features(docs: DataFrame, key: str, whole: bool = False) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                text, lang, source = (part.column(c) for c in ("text", "lang", "source"))
+                text, lang, source = (part.column("row").field(c) if c in inside else part.column(c) for c in ("text", "lang", "source"))
                 a, b = _views((t.as_py(), x.as_py(), y.as_py()) for t, x, y in zip(text, lang, source))
                 views = [pa.array(_packed(x), pa.binary()) for x in (a, b)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c).cast(arrow.field(c).type) for c in own], *views], schema=arrow)
@@ -207,7 +218,7 @@ def _picks(every: DataFrame, known: DataFrame | None, weights: list[np.ndarray],
     def judge(frames):
         for frame in frames:
             for i, c in enumerate("ab"):
-                p = sigmoid(logits(_unpacked(frame[c]), weights[i])) if len(frame) else np.zeros(0)
+                p = _by_slice(lambda x: sigmoid(logits(x, weights[i])), frame[c])
                 sure = np.maximum(p, 1 - p)
                 ok = (sure >= SURE) & ~frame["digest"].isin(taken[1 - i]).to_numpy()
                 yield pd.DataFrame({"view": i, "digest": frame["digest"][ok], "origin": frame["origin"][ok], "label": (p[ok] >= 0.5).astype(int), "sure": sure[ok]})
@@ -301,7 +312,7 @@ def _judged(every: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def judged(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(_unpacked(a), _unpacked(b)) if len(a) else np.zeros(0))
+        return pd.Series(_by_slice(shared.value.score, a, b))
 
     return every.withColumn("score", judged("a", "b"))
 
