@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sparkcurate.llm.tables import small_batches
 from sparkcurate.session import materialise
 
 WORDS, META = 1024, 64  # hashed features of either view
@@ -242,7 +243,7 @@ def _picks(every: DataFrame, known: DataFrame | None, weights: list[np.ndarray],
 
 def _fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, labelled: int, seed: int, whole: bool = False) -> tuple[Model | None, DataFrame]:
     """The model, and the features of all documents."""
-    every = _features(docs, key, whole)
+    every = _features(small_batches(docs), key, whole)
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).dropna()
     marks = marks.groupBy("key").agg(F.min("y").alias("y"))
     own = every.select("key").dropna().distinct()

@@ -18,3 +18,15 @@ def bucketed(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
     table = spark.table(name)
     spark.sql(f"DROP TABLE `{name}`")
     return table
+
+
+BATCH = 1024  # rows of whole texts that go to Python at a time
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends at most ``BATCH`` rows to Python at a time. A batch is held
+    by both sides of every core, so batches of whole texts add up."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return df
