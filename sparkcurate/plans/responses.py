@@ -1,4 +1,4 @@
-"""Raw responses: texts of several shapes built around ``events.props``."""
+"""Raw responses: texts of several shapes built around ``events.props`` and whole documents."""
 
 from __future__ import annotations
 
@@ -28,6 +28,26 @@ def pick_sql(n: int, *values: str) -> str:
     return f"CASE event_id % {n} {whens} ELSE {values[-1]} END"
 
 
+# Whole texts of documents stand in answers too; their numbers follow those of the events.
+DOC_IDS = 10_000_000_000
+_UNQUOTED = r'[\x00-\x1F"\\]'  # what a JSON string must escape
+
+
+def doc_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as ``event_id``, ``source``, ``text`` as it is, and ``said``, which can stand in quotes."""
+    said = F.regexp_replace("text", _UNQUOTED, " ")
+    return table(spark, sf, "documents").select((F.col("doc_id") + DOC_IDS).alias("event_id"), "source", "text", said.alias("said"))
+
+
+DOC_TEXTS = f"""(SELECT doc_id + {DOC_IDS} AS event_id, source, text,
+    regexp_replace(text, '{_UNQUOTED}', ' ', 'g') AS said FROM documents)"""
+
+
+def quoted(before: str, after: str) -> Column:
+    """``said`` between two pieces of a JSON text."""
+    return F.concat(F.lit(before), "said", F.lit(after))
+
+
 LINE = pick_sql(
     5, "props", "'   '", """'{"k": '""", "'[1, 2]'",
     """'  {"k": ' || event_id || ', "image_path": "img_' || user_id || '"} '""",
@@ -82,16 +102,30 @@ def reply() -> Column:
     )
 
 
+DOC_REPLY = pick_sql(
+    4, """'<answer>{"said": "' || said || '"}</answer>'""", """text || ' {"said": "' || said || '"} ' || text""",
+    "'<answer>' || text || '</answer>'", "text",
+)
+
+
 @query(
     "answer_extract",
-    f"""WITH r AS (SELECT event_id, trim({REPLY}) AS t FROM events),
+    f"""WITH r AS (SELECT event_id, trim({REPLY}) AS t FROM events
+      UNION ALL SELECT event_id, trim({DOC_REPLY}) FROM {DOC_TEXTS}),
     p AS (SELECT event_id, CASE WHEN contains(t, '<answer>')
           THEN trim(split_part(split_part(t, '<answer>', 2), '</answer>', 1)) END AS inside,
         nullif(regexp_extract(t, '(?s)\\{{.*\\}}'), '') AS span FROM r)
     SELECT event_id, CASE WHEN json_valid(inside) THEN inside WHEN json_valid(span) THEN span END AS answer FROM p""",
 )
 def answer_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", answers.answer_json(reply()).alias("answer"))
+    said = quoted('{"said": "', '"}')
+    long = pick(
+        4, F.concat(F.lit("<answer>"), said, F.lit("</answer>")), F.concat("text", F.lit(" "), said, F.lit(" "), "text"),
+        F.concat(F.lit("<answer>"), "text", F.lit("</answer>")), F.col("text"),
+    )
+    rows = table(spark, sf, "events").select("event_id", reply().alias("raw"))
+    rows = rows.union(doc_texts(spark, sf).select("event_id", long))
+    return rows.select("event_id", answers.answer_json(F.col("raw")).alias("answer"))
 
 
 FENCED = pick_sql(
@@ -100,10 +134,16 @@ FENCED = pick_sql(
 )
 
 
+DOC_FENCED = pick_sql(
+    3, """'```json' || chr(10) || '{"said": "' || said || '"}' || chr(10) || '```'""", """text || '{"said": "' || said || '"}'""",
+    "'``` ' || text || ' ```'",
+)
+
+
 @query(
     "fence_extract",
-    f"""WITH r AS (SELECT event_id, regexp_replace(regexp_replace(trim({FENCED}), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS t
-      FROM events)
+    f"""WITH f AS (SELECT event_id, {FENCED} AS t FROM events UNION ALL SELECT event_id, {DOC_FENCED} FROM {DOC_TEXTS}),
+    r AS (SELECT event_id, regexp_replace(regexp_replace(trim(t), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS t FROM f)
     SELECT event_id, CASE WHEN json_valid(t) THEN t WHEN json_valid(regexp_extract(t, '(?s)\\{{.*\\}}'))
       THEN regexp_extract(t, '(?s)\\{{.*\\}}') END AS answer FROM r""",
 )
@@ -112,7 +152,12 @@ def fence_extract(spark: SparkSession, sf: str) -> DataFrame:
         6, F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.concat(F.lit("``` "), "props", F.lit("```")),
         F.col("props"), F.concat(F.lit("Sure: "), "props", F.lit(" done")), "nothing", "```json {broken```",
     )
-    return table(spark, sf, "events").select("event_id", answers.fenced_json(raw).alias("answer"))
+    said = quoted('{"said": "', '"}')
+    long = pick(
+        3, F.concat(F.lit("```json\n"), said, F.lit("\n```")), F.concat("text", said), F.concat(F.lit("``` "), "text", F.lit(" ```"))
+    )
+    rows = table(spark, sf, "events").select("event_id", raw.alias("raw")).union(doc_texts(spark, sf).select("event_id", long))
+    return rows.select("event_id", answers.fenced_json(F.col("raw")).alias("answer"))
 
 
 VERDICT_TEXTS = [
@@ -121,17 +166,30 @@ VERDICT_TEXTS = [
 ]
 
 
+DOC_VERDICT = pick_sql(
+    5, "text", "text || chr(10) || 'Yes.'", "'<answer> yes </answer>' || text", "text || '<answer>No</answer>'",
+    "'yes, but ' || text",
+)
+
+
 @query(
     "yes_no_verdict",
     f"""WITH r AS (SELECT event_id, replace(replace({pick_sql(8, *["'" + t.replace(chr(10), "' || chr(10) || '") + "'" for t in VERDICT_TEXTS])},
-        ' ', ''), chr(10), '') AS t FROM events),
+        ' ', ''), chr(10), '') AS t FROM events
+      UNION ALL SELECT event_id, replace(replace({DOC_VERDICT}, ' ', ''), chr(10), '') FROM {DOC_TEXTS}),
     v AS (SELECT event_id, CASE WHEN contains(t, '<answer>') THEN split_part(split_part(t, '<answer>', 2), '<', 1)
         WHEN contains(lower(right(t, 5)), 'yes') THEN 'yes' ELSE 'no' END AS verdict FROM r)
     SELECT event_id, verdict, verdict = 'yes' AS is_yes FROM v""",
 )
 def yes_no_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    verdict = answers.yes_no(pick(8, *VERDICT_TEXTS))
-    return table(spark, sf, "events").select("event_id", verdict.alias("verdict"), (verdict == "yes").alias("is_yes"))
+    long = pick(
+        5, F.col("text"), F.concat("text", F.lit("\nYes.")), F.concat(F.lit("<answer> yes </answer>"), "text"),
+        F.concat("text", F.lit("<answer>No</answer>")), F.concat(F.lit("yes, but "), "text"),
+    )
+    rows = table(spark, sf, "events").select("event_id", pick(8, *VERDICT_TEXTS).alias("raw"))
+    rows = rows.union(doc_texts(spark, sf).select("event_id", long))
+    verdict = answers.yes_no(F.col("raw"))
+    return rows.select("event_id", verdict.alias("verdict"), (verdict == "yes").alias("is_yes"))
 
 
 TASK_DOCS = [
@@ -153,13 +211,22 @@ TASK_ROWS = [
     "SELECT event_id, " + ", ".join(
         f"{pick_sql(4, *[r[i] for r in TASK_ROWS]) if i != 1 else 'CASE WHEN event_id % 10 = 0 THEN ' + repr('spout') + ' ELSE ' + pick_sql(4, *[r[1] for r in TASK_ROWS]) + ' END'} AS {n}"
         for i, n in enumerate(["object_name", "part_name", "affordance", "tasks", "parse_error"])
-    ) + " FROM events",
+    )
+    + f""" FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 3 = 2 THEN source ELSE coalesce(said, source) END,
+      CASE WHEN event_id % 10 = 0 THEN 'spout' WHEN said IS NULL OR event_id % 3 = 2 THEN source ELSE 'rim' END, 'use',
+      CASE WHEN said IS NULL OR event_id % 3 = 2 THEN 'use the ' || source WHEN event_id % 3 = 0 THEN said
+        ELSE said || '|b' END, said IS NULL OR event_id % 3 = 2 FROM {DOC_TEXTS}""",
 )
 def default_result(spark: SparkSession, sf: str) -> DataFrame:
     known = F.when(F.col("event_id") % 10 == 0, "spout")
-    rows = table(spark, sf, "events").select(
-        "event_id", "event_type", answers.parsed(answers.fenced_json(pick(4, *TASK_DOCS))).alias("tree")
+    named, tasks = quoted('{"object_name": "', '", "part_name": "rim", "tasks": '), quoted('"', '"')
+    long = pick(
+        3, F.concat(named, tasks, F.lit("}")), F.concat(F.lit("```json "), named, F.lit("["), tasks, F.lit(', "b"]}```')),
+        F.concat(named, F.lit("["), tasks),
     )
+    rows = table(spark, sf, "events").select("event_id", "event_type", pick(4, *TASK_DOCS).alias("raw"))
+    rows = rows.union(doc_texts(spark, sf).select("event_id", "source", long))
+    rows = rows.select("event_id", "event_type", answers.parsed(answers.fenced_json(F.col("raw"))).alias("tree"))
     got = answers.default_answer(F.col("tree"), F.col("event_type"), known)
     got["tasks"] = F.array_join(got["tasks"], "|")
     return rows.select("event_id", *[c.alias(n) for n, c in got.items()])
@@ -175,6 +242,13 @@ COUNT_REPLY = pick_sql(
 )
 
 
+DOC_COUNT = pick_sql(
+    4, """'{"estimated_count": "3", "confidence": "low", "reason": "' || said || '"}'""",
+    """'Here: {"estimated_count": "' || said || '", "confidence": "low", "reason": "x"} as asked'""",
+    """'<answer>{"estimated_count": "1", "confidence": "' || said || '", "reason": "x"}</answer>'""", "text",
+)
+
+
 def count_replies(spark: SparkSession, sf: str) -> DataFrame:
     raw = pick(
         8,
@@ -188,7 +262,13 @@ def count_replies(spark: SparkSession, sf: str) -> DataFrame:
         '{"estimated_count": "2", "confidence": "low"}', "[1, 2]", "garbage",
     )
     tree = answers.answer_tree(F.col("raw"))
-    rows = table(spark, sf, "events").select("event_id", raw.alias("raw")).select("event_id", tree.alias("tree"))
+    long = pick(
+        4, quoted('{"estimated_count": "3", "confidence": "low", "reason": "', '"}'),
+        quoted('Here: {"estimated_count": "', '", "confidence": "low", "reason": "x"} as asked'),
+        quoted('<answer>{"estimated_count": "1", "confidence": "', '", "reason": "x"}</answer>'), F.col("text"),
+    )
+    rows = table(spark, sf, "events").select("event_id", raw.alias("raw")).union(doc_texts(spark, sf).select("event_id", long))
+    rows = rows.select("event_id", tree.alias("tree"))
     rows = rows.select(
         "event_id", answers.is_object(F.col("tree")).alias("parsed"),
         *[names.clean(answers.get(F.col("tree"), f)).alias(f) for f in ("estimated_count", "confidence", "reason")],
@@ -208,8 +288,9 @@ def count_replies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-COUNT_CHECK = f"""r AS (SELECT event_id, {COUNT_REPLY} AS t FROM events),
-    d AS (SELECT event_id, CASE WHEN contains(t, '<answer>') THEN regexp_extract(t, '<answer>(.*)</answer>', 1) ELSE t END AS d FROM r),
+COUNT_CHECK = f"""r AS (SELECT event_id, {COUNT_REPLY} AS t FROM events UNION ALL SELECT event_id, {DOC_COUNT} FROM {DOC_TEXTS}),
+    d AS (SELECT event_id, CASE WHEN contains(t, '<answer>') THEN regexp_extract(t, '(?s)<answer>(.*)</answer>', 1)
+      WHEN json_valid(t) THEN t ELSE regexp_extract(t, '(?s)\\{{.*\\}}') END AS d FROM r),
     j AS (SELECT event_id, CASE WHEN json_valid(d) AND starts_with(d, '{{') THEN d END AS d FROM d),
     f AS (SELECT event_id, d, lower(trim(coalesce(d ->> 'estimated_count', ''))) AS est,
         lower(trim(coalesce(d ->> 'confidence', ''))) AS conf, trim(coalesce(d ->> 'reason', '')) AS reason FROM j),
