@@ -616,3 +616,38 @@ def test_queries_with_sql_twins(spark, duck):
     for name, sql in ORACLES.items():
         ok, told, *_ = compare(spark, connect(sf), name, QUERIES[name], sql, sf)
         assert ok, (name, told)
+
+
+def test_pipeline_meets_near_duplicates_by_simhash():
+    """Close sets share a mask of their fingerprints, sets without a common shingle differ in too many bits."""
+    rnd = random.Random(3)
+    masks, missed, near = shingles.masks_for(200_000), 0, 0
+    for _ in range(300):
+        base = [rnd.getrandbits(64) for _ in range(170)]
+        a, b = base[:153], base[:136] + base[153:]  # 136 of 170: 0.8
+        x, y = (shingles.simhash_of(np.array(sorted(s), np.uint64)) for s in (a, b))
+        apart = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y))
+        missed += apart > shingles.FAR or not any((x[0] ^ y[0]) & m == 0 == (x[1] ^ y[1]) & k for m, k in masks)
+        z = shingles.simhash_of(np.array([rnd.getrandbits(64) for _ in range(153)], np.uint64))
+        near += sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, z)) <= shingles.FAR
+    assert missed <= 30 and near == 0
+    votes = np.array([3, 1, 2], np.uint64)
+    assert shingles.simhash_of(votes)[0] == 3 and shingles.simhash_of(votes[:0]) == (0, 0)
+
+
+def test_pipeline_stages_remove_the_tables_of_the_stage_before(spark, docs):
+    import corpus_pipeline
+    from sparkcurate.session import exists, materialise, new_path
+
+    made = []
+
+    def stage(spark, docs, sf_dir):
+        made.append(new_path(spark, "own"))
+        docs.select("doc_id").write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    first = corpus_pipeline._tidy(stage)(spark, docs, "")
+    second = corpus_pipeline._tidy(stage)(spark, first, "")  # still reads the first
+    assert exists(spark, made[0])
+    corpus_pipeline._tidy(stage)(spark, materialise(second, "result"), "")
+    assert not exists(spark, made[0]) and not exists(spark, made[1]) and exists(spark, made[2])
