@@ -139,6 +139,23 @@ def test_shingles_reach_similarity_of_four_fifths(spark, docs, texts, nothing, m
         assert shingles.keep_one(docs.union(docs)).count() == kept.count() and shingles.keep_one(nothing).count() == 0
 
 
+def test_a_crowd_below_four_fifths_is_not_paired_up(spark, monkeypatch):
+    """Variants of one text, each with three words of its own changed, are some 0.66 similar: parities tell them apart
+    before any set is looked at, and never part sets of 0.8."""
+    rnd = random.Random(5)
+    base = _words(rnd, 150).split()
+    texts = [" ".join(f"own{v}" if i in cut else w for i, w in enumerate(base)) for v in range(60) for cut in [[20 + v % 20, 70 + v % 19, 120 + v % 17]]]
+    sets = [shingles.shingles_of(t) for t in texts + [" ".join([*base, *["more"] * k]) for k in range(30)]]
+    for x, y in itertools.combinations(sets, 2):
+        flips = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(shingles.parity_of(x), shingles.parity_of(y)))
+        assert flips <= len(np.setxor1d(x, y))
+    seen, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *more: (seen.append(pairs.distinct().count()), verified(pairs, *more))[1])
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in shingles.keep_one(frame).collect()) == sorted(set(_alike_groups(texts)))
+    assert sum(seen) < 300
+
+
 # ------------------------------------------------------------------------ suffixes
 
 
