@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,9 +79,10 @@ def write_documents(rows: DataFrame, path: str, key: str, element: str = "value"
     def one(batches):
         line = "{" + json.dumps(key) + ": ["
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if texts:
-                yield pa.RecordBatch.from_arrays([pa.array([line, *texts[:1], *["," + t for t in texts[1:]]])], ["value"])
+            texts = batch.column(0)
+            if len(texts):
+                rest = pc.binary_join_element_wise("", texts[1:], ",")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([line]), texts[:1], rest])], ["value"])
                 line = ","
         yield pa.RecordBatch.from_arrays([pa.array([line, "]}"] if line != "," else ["]}"])], ["value"])
 

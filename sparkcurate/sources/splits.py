@@ -17,11 +17,11 @@ Nothing grows with the file but the reports: about a hundred bytes for a range.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +31,8 @@ from sparkcurate.session import materialise
 
 QUOTE, BACKSLASH, COMMA = 34, 92, 44
 OPEN = {ord("{"): "{", ord("["): "["}
-_FIRST = re.compile(rb"[{\[]")
+STEP = np.zeros(256, np.int8)
+STEP[[ord(c) for c in "{["]], STEP[[ord(c) for c in "}]"]] = 1, -1
 
 _REPORT = T.StructType().add("file", "string").add("start", "long").add("quotes", "long")
 for _name in ("out", "in"):
@@ -53,13 +54,16 @@ def _quotes(data: np.ndarray) -> np.ndarray:
     return quote
 
 
-def _brackets(data: np.ndarray, quote: np.ndarray, in_string: bool) -> tuple[np.ndarray, np.ndarray]:
+def _scanned(data: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many quotes, whether an odd number of them stands up to each byte, and the places of all brackets."""
+    quote = _quotes(data)
+    return int(np.count_nonzero(quote)), np.cumsum(quote, dtype=np.uint8) & 1, np.flatnonzero(STEP[data])
+
+
+def _brackets(data: np.ndarray, odd: np.ndarray, at: np.ndarray, in_string: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of the brackets outside strings, and +1 or -1 for each."""
-    inside = (np.cumsum(quote) + in_string) % 2 == 1
-    # { [ are } ] less two, and differ from each other in one bit
-    opens = ((data == 123) | (data == 91)) & ~inside
-    at = np.flatnonzero(opens | (((data == 125) | (data == 93)) & ~inside))
-    return at, np.where(opens[at], 1, -1)
+    at = at[odd[at] == in_string]
+    return at, STEP[data[at]]
 
 
 def _left(data: np.ndarray, at: np.ndarray, step: np.ndarray) -> tuple[int, str]:
@@ -87,12 +91,25 @@ class Report:
 
     def add(self, blob: bytes) -> None:
         data = np.frombuffer(blob, np.uint8)
-        quote = _quotes(data)
+        quotes, odd, every = _scanned(data)
         for case in (0, 1):
-            closed, left = _left(data, *_brackets(data, quote, bool((self.quotes + case) % 2)))
+            closed, left = _left(data, *_brackets(data, odd, every, bool((self.quotes + case) % 2)))
             self.closed[case] += max(0, closed - len(self.left[case]))
             self.left[case] = _after(self.left[case], closed, left)
-        self.quotes += int(quote.sum())
+        self.quotes += quotes
+
+
+def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts between places that follow each other with one byte between them."""
+    body = np.delete(data, ends[:-1])
+    offsets = np.append(starts[:1], ends)
+    offsets[1:] -= np.arange(len(ends))
+    texts = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body))
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts, ends)], pa.string())
+    return texts
 
 
 class Cutter:
@@ -111,11 +128,12 @@ class Cutter:
         text = b"".join(self.parts).decode("utf-8", "replace")
         return self.seg, self.element, self.gap, self.head, tail, text
 
-    def add(self, blob: bytes):
-        """The segments that end in ``blob``."""
+    def add(self, blob: bytes) -> tuple[list[tuple], list[pa.Array]]:
+        """The segments that end in ``blob``: a row for the one that has begun before, and the columns ``seg, element,
+        gap, text`` of all others."""
         data = np.frombuffer(blob, np.uint8)
-        quote = _quotes(data)
-        at, step = _brackets(data, quote, self.in_string)
+        quotes, odd, every = _scanned(data)
+        at, step = _brackets(data, odd, every, self.in_string)
         if self.stack:
             level = 2 if self.stack[0] == "{" else 1
         else:
@@ -125,8 +143,8 @@ class Cutter:
         opened = at[(step > 0) & (depth == level)]
         closed = at[(step < 0) & (depth == level - 1)]
         arrays = opened[data[opened] == ord("[")]
-        inside = (np.cumsum(quote) + self.in_string) % 2 == 1
-        commas = np.flatnonzero((data == COMMA) & ~inside)
+        commas = np.flatnonzero(data == COMMA)
+        commas = commas[odd[commas] == self.in_string]
         before = np.searchsorted(at, commas) - 1
         own = np.where(before >= 0, depth[np.maximum(before, 0)] if len(at) else 0, len(self.stack))
         commas = commas[own == level]
@@ -138,17 +156,26 @@ class Cutter:
             return np.where(last >= 0, kinds[np.maximum(last, 0)] if len(opened) else False, entry)
 
         commas, closed = commas[in_array(commas)], closed[in_array(closed)]
-        borders = sorted([(int(p), 0) for p in arrays] + [(int(p), 1) for p in commas] + [(int(p), 2) for p in closed])
-        done = 0
-        for place, kind in borders:
-            self.parts.append(blob[done:place])
-            yield self._row(False)
-            self.seg, self.head, self.parts, self.element, done = self.seg + 1, False, [], kind < 2, place + 1
-            if kind == 2:
-                self.gap = self.seg
-        self.parts.append(blob[done:])
         self.stack = _after(self.stack, *_left(data, at, step))
-        self.in_string ^= bool(quote.sum() % 2)
+        self.in_string ^= bool(quotes % 2)
+        places = np.concatenate([arrays, commas, closed])
+        if not len(places):
+            self.parts.append(blob)
+            return [], []
+        order = np.argsort(places)
+        places, kind = places[order], np.repeat([0, 1, 2], [len(arrays), len(commas), len(closed)])[order]
+        self.parts.append(blob[: places[0]])
+        begun = [self._row(False)]
+        seg = self.seg + 1 + np.arange(len(places))
+        gap = np.maximum.accumulate(np.where(kind == 2, seg, -1))
+        gap = np.where(gap < 0, -1 if self.gap is None else self.gap, gap)
+        rest = [
+            pa.array(seg[:-1]), pa.array(kind[:-1] < 2), pa.array(gap[:-1], mask=gap[:-1] < 0),
+            _texts(data[places[0] + 1 : places[-1]], places[:-1] - places[0], places[1:] - places[0] - 1),
+        ] if len(seg) > 1 else []
+        self.seg, self.head, self.parts = int(seg[-1]), False, [blob[places[-1] + 1 :]]
+        self.element, self.gap = bool(kind[-1] < 2), None if gap[-1] < 0 else int(gap[-1])
+        return begun, rest
 
     def rest(self) -> tuple:
         return self._row(True)
@@ -157,13 +184,15 @@ class Cutter:
 def _ranges(batches):
     """``file, start, blob`` of the rows that follow each other in one range."""
     for batch in batches:
-        files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
-        values = batch.column("value").cast(pa.binary()).to_pylist()
+        if not batch.num_rows:
+            continue
+        file, start, values = (batch.column(c) for c in ("file", "start", "value"))
+        turns = [pc.run_end_encode(c).run_ends.to_numpy(zero_copy_only=False) for c in (file, start)]
         at = 0
-        for i in range(1, len(files) + 1):
-            if i == len(files) or starts[i] != starts[at] or files[i] != files[at]:
-                yield files[at], starts[at], b"}".join(values[at:i]) + b"}"
-                at = i
+        for end in np.union1d(*turns).tolist():
+            rows = pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), values.slice(at, end - at).cast(pa.binary()))
+            yield file[at].as_py(), start[at].as_py(), pc.binary_join(rows, b"}")[0].as_py() + b"}"
+            at = end
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -211,8 +240,12 @@ def _pieces(lines: DataFrame) -> DataFrame:
                     out.append((*at, *own.rest()))
                 at = (file, start)
                 own = Cutter(start == 0, *shared.value.get(at, (False, "")))
-            out += [(file, start, *row) for row in own.add(blob)]
-            yield _batch(out, arrow)
+            begun, whole = own.add(blob)
+            yield _batch([*out, *[(*at, *row) for row in begun]], arrow)
+            if whole:
+                seg, element, gap, text = whole
+                n, no = len(seg), pa.repeat(False, len(seg))
+                yield pa.RecordBatch.from_arrays([pa.repeat(file, n), pa.repeat(start, n), seg, element, gap, no, no, text], schema=arrow)
         if own:
             yield _batch([(*at, *own.rest())], arrow)
 
@@ -228,7 +261,7 @@ def elements(spark: SparkSession, path: str, **options: str) -> DataFrame:
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     pieces = _pieces(lines)
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    counts = pieces.groupBy("file", "start").agg(F.max("seg").alias("n"), F.max("gap").alias("last"))
+    counts = pieces.filter("tail").select("file", "start", F.col("seg").alias("n"), F.col("gap").alias("last"))  # the last of a range
     offsets = counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
     offsets = offsets.withColumn("entry", F.last(F.col("last") + F.col("off"), ignorenulls=True).over(before)).drop("n", "last")
     placed = pieces.join(materialise(offsets, "document-offsets"), ["file", "start"])
@@ -239,9 +272,11 @@ def elements(spark: SparkSession, path: str, **options: str) -> DataFrame:
     met = met.filter(~F.element_at("p", -1)["tail"])
     first = F.col("p")[0]
     met = met.select("file", "seg", first["element"].alias("element"), first["gap"].alias("gap"), F.array_join("p.text", "").alias("text"))
+    met = materialise(met, "document-ends")
     every = whole.unionByName(met)
     name = F.regexp_extract("text", r'"((?:[^"\\]|\\.)*)"\s*:\s*$', 1)
     keys = every.filter("not element").select("file", F.col("seg").alias("gap"), F.nullif(name, F.lit("")).alias("key"))
+    keys = materialise(keys, "document-keys")  # few beside the elements, which then need not be shuffled
     found = every.filter("element").filter(F.btrim("text", F.lit(" \t\r\n")) != "")
     return found.join(keys, ["file", "gap"]).select("file", "key", (F.col("seg") - F.col("gap") - 1).alias("idx"), F.col("text").alias("value"))
 
@@ -250,4 +285,5 @@ def read_array(spark: SparkSession, path: str, key: str | None, schema: str, **o
     """``file``, ``idx`` and the typed fields of the elements of one top-level array."""
     own = F.col("key").isNull() if key is None else F.col("key") == key
     found = elements(spark, path, **options).filter(own)
-    return found.select("file", "idx", F.from_json("value", schema).alias("_e")).select("file", "idx", "_e.*")
+    # generated, so that what reads several fields does not parse an element for each
+    return found.select("file", "idx", F.inline(F.array(F.from_json("value", schema))))

@@ -109,3 +109,24 @@ def test_coco_tables_of_a_document_on_disk(spark, tmp_path, ranges):
     want = documents.coco_tables(documents.read_document(spark, str(path), documents.COCO_SCHEMA))
     for key, table in want.items():
         assert sorted(map(tuple, got[key].drop("file").collect())) == sorted(map(tuple, table.collect())), key
+
+
+def test_elements_are_not_shuffled_to_meet_their_array(spark, tmp_path, ranges):
+    rnd = random.Random(3)
+    (tmp_path / "train.json").write_text(json.dumps({"samples": [_sample(rnd, i) for i in range(3000)]}))
+    ranges(64 << 10)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(48 << 10))  # below the elements' size
+    try:
+        got = splits.read_array(spark, str(tmp_path), "samples", documents.SAMPLE)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        assert [r.idx for r in got.orderBy("idx").collect()] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bytes_that_are_no_text_do_not_move_elements(spark, tmp_path):
+    (tmp_path / "odd.json").write_bytes(b'{"a": ["\xff", "b", {"c": "\xc3"}, "d"]}')
+    got = splits.elements(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [r.value.strip() for r in got] == ['"�"', '"b"', '{"c": "�"}', '"d"']
