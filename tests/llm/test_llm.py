@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -156,6 +157,44 @@ def test_a_crowd_below_four_fifths_is_not_paired_up(spark, monkeypatch):
     assert sum(seen) < 300
 
 
+def test_near_copies_that_no_mask_meets_are_found(spark):
+    """Some pairs at 0.8 share no mask or differ in more than ``FAR`` bits; one of each stays all the same."""
+    rnd, texts, masks = random.Random(8), [], shingles.masks_for(100)
+    for n in range(2000):
+        base = _words(rnd, 20 + n % 60)
+        own = max(1, (16 + n % 60) // 9)
+        pair = [base + " " + _words(rnd, own) for _ in range(2)]
+        one, two = map(shingles.shingles_of, pair)
+        x, y = shingles.simhash_of(one), shingles.simhash_of(two)
+        apart = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y))
+        met = apart <= shingles.FAR and any((x[0] ^ y[0]) & m == 0 == (x[1] ^ y[1]) & k for m, k in masks)
+        if not met and len(np.intersect1d(one, two)) >= 0.8 * len(np.union1d(one, two)):
+            texts += pair
+    lost = len(texts)
+    assert 4 <= lost <= 200
+    texts += [t for t in texts[:4] for _ in range(3)] + ["", None, "one two", "a b c d e f g h", "a b c d e f g h i"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = [*range(0, lost, 2), lost + 12, lost + 14, lost + 15]
+    assert sorted(r.doc_id for r in shingles.keep_one(frame).collect()) == kept
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.9])
+def test_similar_sets_share_a_mark(least):
+    rnd = np.random.default_rng(4)
+    for n in [1, 2, 4, 5, 7, 8, 9, 16, 31, 32, 63, 64, 100, 255, 600]:
+        more = int(n / least + 1e-9) - n
+        both = max(k for k in range(n) if (n - k) / (n + k) >= least)
+        for gone, new in [(0, more), (n - math.ceil(n * least - 1e-9), 0), (both, both), (both // 2, both // 2)] * 10:
+            x = np.unique(rnd.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+            y = np.unique(np.concatenate([rnd.permutation(x)[gone:], rnd.integers(0, 1 << 63, new, np.uint64)]))
+            assert len(np.intersect1d(x, y)) >= least * len(np.union1d(x, y)) - 1e-9
+            if len(np.setxor1d(x, y)):
+                assert len(np.intersect1d(shingles.marks_of(x, least), shingles.marks_of(y, least)))
+    few = np.arange(8, dtype=np.uint64)  # all in one bin, so empty bins have to stand in
+    assert len(np.intersect1d(shingles.marks_of(few, least), shingles.marks_of(few[1:], least))) or least == 0.9
+    assert len(shingles.marks_of(few[:0], least)) == 0
+
+
 # ------------------------------------------------------------------------ suffixes
 
 
