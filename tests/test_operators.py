@@ -877,3 +877,23 @@ def test_first_listed_looks_up_in_order_and_keeps_every_row(spark):
     stock = spark.createDataFrame([("y",), ("y",), ("z",)], "path string")
     got = match.first_listed(rows, [F.col("a"), F.col("b")], stock, "hit")
     assert sorted((r.id, r.hit) for r in got.collect()) == [(1, "y"), (2, "z"), (3, "y"), (3, "y"), (4, "q")]
+
+
+@pytest.mark.parametrize("hashed", [match.HASHED, 0])
+def test_first_listed_sorts_no_expressions_and_hashes_what_fits(spark, monkeypatch, hashed):
+    monkeypatch.setattr(match, "LISTED", 0)
+    monkeypatch.setattr(match, "HASHED", hashed)
+    rows = spark.range(40).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("m"), F.col("id") % 20, F.lit(".jpg"))).alias("image"))
+    stock = spark.range(20).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("m"), "id", F.when(F.col("id") % 3 == 1, "_a").otherwise(""))).alias("path"))
+    stem = F.regexp_replace("image", r"\.jpg$", "")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = match.first_listed(rows, [stem, F.concat(stem, F.lit("_a"))], stock, "hit")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        hits = {r.id: r.hit for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not any("Sort [" in line and "regexp" in line for line in plan.splitlines())
+    assert ("SortMergeJoin" in plan) == (hashed == 0) and ("ShuffledHashJoin" in plan) == (hashed > 0)
+    assert hits == {i: f"m{i % 20}" + "_a" * (i % 20 % 3 == 1) if i % 7 else None for i in range(40)}
